@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import small_batches, table, texts
 
-CAPACITY, END, SALT_ROWS = 2048, 0, 20_000
+CAPACITY, END, SALT_ROWS = 2048, 0, 2_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space that a look-ahead would treat otherwise than a plain run.
