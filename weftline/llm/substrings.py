@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import ASK, asked, from_planes, reduce_asked, scan, stable
-from weftline.llm.shared import block_words, grams
+from weftline.llm.shared import block_words, grams, mix
 
 WINDOW, SEED, BLOCK, BUCKET_BYTES = 20, 5, 4_000_000, 16_000_000
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -96,7 +96,8 @@ class Block:
 
     def keys(self, level: int):
         g = grams(self.h, self.lengths[level])
-        return np.unique(g[self.starts], return_inverse=True, return_counts=True) if len(self.starts) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        # Seeds are least hashes; mixed again, they spread evenly over the buckets.
+        return np.unique(mix(g[self.starts]), return_inverse=True, return_counts=True) if len(self.starts) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def narrow(self, level: int, told: np.ndarray, inv: np.ndarray) -> None:
         at = self.starts[told[inv].astype(bool)]
