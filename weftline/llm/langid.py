@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import batch_of, small_batches, texts
 
-DIM, SAMPLE, UND = 4096, 5000, "und"
+DIM, SAMPLE, UND = 4096, 2400, "und"
 _SPAN = 1 << 20
 _KEEP = np.full(256, 32, np.uint32)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -128,12 +128,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), pa.array([features(t).tobytes() for t in texts(b)], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), pa.array([features(t).astype(np.float16).tobytes() for t in texts(b)], pa.binary())], names=["lang", "x"])
 
     got = chosen.select("doc_id", "text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
     lang = got.column("lang").to_pylist()
     names = sorted(set(lang))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, DIM)
+    x = np.empty((got.num_rows, DIM), np.float32)
+    for k, v in enumerate(got.column("x")):
+        x[k] = np.frombuffer(v.as_buffer(), np.float16)
+    del got
     at = {n: i for i, n in enumerate(names)}
     return Model(x, np.array([at[n] for n in lang], np.int64), names)
 
