@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 * language_id drops documents without a language (no letter, or null text), and keeps all others.
 * near_dedup keeps, of each group of near copies, the row whose doc_id is smallest; of repeated rows with one doc_id,
-  one.  Rows without a doc_id stay only if nothing with one is in their group.
+  one.  Rows without a doc_id are named by no group, and stay.
 * secret_scan replaces secrets by a mark, and sets n_chars to the new length; no document goes.
 * mix_sources repeats each document as often as the mix takes it (0, 1 or 2 times).
 * pack places each remaining copy into sequences; `copy` tells the copies of a document apart.
@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
