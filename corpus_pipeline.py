@@ -35,8 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    return mixed.withColumn("_w_each", F.explode(F.array_repeat(F.lit(1), F.col("_w_copies").cast("int")))).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

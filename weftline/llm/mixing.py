@@ -77,6 +77,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, see
     return timed.select(*keep, "_w_size", "_w_source_size", "_w_target", copies.cast("long").alias("_w_copies"))
 
 
+def repeat(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+    """docs, each row as often as the mix takes it.
+
+    A source's copies of one epoch are taken in the order of the hashes up to some document, so two bounds a source
+    decide each row where it stands, and texts are not moved.  Rows that are equal in doc_id are taken alike.
+    """
+    mixed = mix(docs.select("doc_id", "text", "source"), weights, share, epochs, seed, keep=["doc_id", "source"])
+    key = lambda: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), F.col("doc_id").alias("i"))
+    bounds = mixed.groupBy(F.col("source").alias("_w_source")).agg(*(F.max(F.when(F.col("_w_copies") > e, key())).alias(f"_w_upto{e}") for e in range(epochs)))
+    rows = docs.join(table(bounds, "bounds"), F.col("source").eqNullSafe(F.col("_w_source")), "left")
+    copies = sum(((F.coalesce(key() <= F.col(f"_w_upto{e}"), F.lit(False))).cast("int") for e in range(epochs)), F.lit(0))
+    copies = F.when(F.col("text").rlike(WORD), copies).otherwise(0)
+    return rows.withColumn("_w_each", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+
 def _limit(entries: DataFrame, words: int, share) -> float:
     """The latest finish time up to which the copies fit the budget."""
     low, width, taken, limit = 0.0, 2.0 / FINE, 0, -1.0
