@@ -182,7 +182,7 @@ f AS (SELECT doc_id, s, first_value((doc_id, s)) OVER (PARTITION BY k ORDER BY d
 c AS (SELECT DISTINCT doc_id, s + o AS place FROM f, range(0, 20) AS r(o) WHERE (doc_id, s) > e),
 r AS (SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m,
-        CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]) END AS kept
+        CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept
       FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
