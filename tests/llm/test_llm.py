@@ -100,9 +100,11 @@ def test_simhash_matches_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == slow_components(want)
 
 
-@pytest.mark.parametrize("limit", [4, 30, 2000])
-def test_links_of_dense_groups(spark, limit):
+@pytest.mark.parametrize(("limit", "batch"), [(4, 10_000), (30, 7), (2000, 3), (2000, 10_000)])
+def test_links_of_dense_groups(spark, limit, batch):
+    """Hot keys are dealt again, and groups go on from one Arrow batch to the next."""
     rng = random.Random(limit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     fps = {rng.getrandbits(64) for _ in range(150)}
     base = rng.getrandbits(64)
     fps |= {base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(250)}
