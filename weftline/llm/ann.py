@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample of unit vectors (`sample`); every vector is then put into the leaf it descends
 to.  A query opens nodes in the order of a priority queue by cosine to their centres; the leaves it meets first
-are its bins.  How many bins to visit is calibrated: for a set of sample vectors the exact neighbours among all
+are its bins.  How many bins to visit is calibrated: for some vectors, drawn apart from the sample, the exact neighbours among all
 vectors are found in blocks, and visits are widened until the asked share of them lies in visited bins.
 
 Equal vectors are searched once, with their smallest k + 1 ids.  A leaf with many vectors or queries is cut into chunks
@@ -188,11 +188,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     element = dict(every.dtypes)["embedding"]
     placed = table(every.mapInArrow(place, f"leaf long, ids array<long>, embedding {element}"), "placed")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as leaves
-    pick = np.argsort([i[0] * 0x9E3779B1 % (1 << 32) for i in few.column("ids").to_pylist()], kind="stable")[:calibrate]
-    mine = np.array([few.column("ids")[int(i)].as_py()[0] for i in pick], np.int64)
-    exact = brute_force(every, mine, x[pick], k)
+    # Drawn apart from the sample: the tree fits its own vectors better than others.
+    tried = every.where(F.pmod(F.xxhash64(F.lit(1), "embedding"), F.lit(span)) < int(span * min(1.0, calibrate / n))).toArrow()
+    tried = tried if tried.num_rows else few
+    mine, tv = np.array([i[0] for i in tried.column("ids").to_pylist()], np.int64), matrix(tried.column("embedding"))
+    exact = brute_force(every, mine, tv, k)
     where = every_leaf(exact, placed).collect()  # calibrate * k rows
-    order = {int(i): {leaf: r for r, leaf in enumerate(v)} for i, v in zip(mine, tree.visits(unit(x[pick]), tree.leaves), strict=True)}
+    order = {int(i): {leaf: r for r, leaf in enumerate(v)} for i, v in zip(mine, tree.visits(unit(tv), tree.leaves), strict=True)}
     need = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in where)
     visits = need[min(len(need) - 1, int(np.ceil(target * len(need))))] if need else tree.leaves
 
