@@ -61,3 +61,33 @@ def audit(sections: dict[str, DataFrame], warn: tuple[str, ...] = ()) -> DataFra
 
 def exit_code(report: DataFrame) -> int:
     return int(not report.where("status = 'FAIL'").isEmpty())
+
+
+def status_coverage(pairs: DataFrame, status: DataFrame, by: str) -> DataFrame:
+    """Per slice: pairs, those whose two requests were both fetched, and their share; a request without a status was not."""
+    ok = status.groupBy("repo", "pr").agg(F.bool_or("ok").alias("ok"))
+    side = lambda s: ok.select("repo", F.col("pr").alias(f"pr_{s}"), F.col("ok").alias(f"ok_{s}"))
+    j = pairs.join(side("a"), ["repo", "pr_a"], "left").join(side("b"), ["repo", "pr_b"], "left")
+    both = F.coalesce(F.col("ok_a") & F.col("ok_b"), F.lit(False))
+    g = j.groupBy(by).agg(F.count("*").alias("n"), F.count_if(both).alias("n_both_ok"))
+    return g.withColumn("share", F.round(F.col("n_both_ok") / F.col("n"), 9))
+
+
+def replay_check(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Per repository: labelled conflicts, and those that a replay of its intervals finds anew; equal if the machinery holds.
+
+    `shared` has repo, pr_a, pr_b of all requests with a common file, smaller number first.
+    """
+    side = lambda s: pairs.select("repo", F.col(f"pr_{s}").alias("pr"), F.col(f"opened_{s}").alias("opened"), F.col(f"closed_{s}").alias("closed"))
+    spans = side("a").union(side("b")).dropDuplicates(["repo", "pr"])
+    one = lambda s: spans.select("repo", F.col("pr").alias(f"pr_{s}"), F.col("opened").alias(f"o_{s}"), F.col("closed").alias(f"c_{s}"))
+    j = shared.select("repo", "pr_a", "pr_b").join(one("a"), ["repo", "pr_a"]).join(one("b"), ["repo", "pr_b"])
+    again = j.where(F.greatest("o_a", "o_b") < F.least("c_a", "c_b")).groupBy("repo").agg(F.count("*").alias("replayed"))
+    known = pairs.groupBy("repo").agg(F.count_if("conflict").alias("labeled"))
+    return known.join(again, "repo", "left").fillna(0, ["replayed"]).withColumn("same", F.col("labeled") == F.col("replayed"))
+
+
+def check_values(got: dict[str, float], want: dict[str, float], tolerance: float = 1e-9) -> list[str]:
+    """Names of figures that are missing or differ by more than the tolerance, with both values."""
+    off = lambda k: k not in got or got[k] is None or abs(got[k] - want[k]) > tolerance
+    return [f"{k}: {got.get(k)}, not {want[k]}" for k in sorted(want) if off(k)]

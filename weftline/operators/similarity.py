@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import LEAKY
 from weftline.functions import numbers as N
+from weftline.functions import paths as P
 from weftline.functions import text as X
 
 
@@ -61,3 +62,33 @@ def one_hot(df: DataFrame, column: str, prefix: str = "is_") -> DataFrame:
     """0/1 columns for each value but the most frequent (ties: the smaller); a bounded vocabulary is assumed."""
     values = [r[0] for r in df.groupBy(column).count().orderBy(F.desc("count"), column).collect()][1:]
     return df.select("*", *((F.col(column) == v).cast("int").alias(f"{prefix}{v}") for v in values))
+
+
+def pair_cosine(pairs: DataFrame, key: list[str], a: Column, b: Column, digits: int = 9) -> DataFrame:
+    """key columns and cosine of the two texts under raw counts, with idf from these two texts alone: 1 for a shared word, else ln(3/2) + 1; 0 if either has no word.
+
+    Rows are dealt by the pair once; both aggregations stay where they are.
+    """
+    side = lambda c, s: F.transform(X.word_tokens(F.coalesce(c, F.lit(""))), lambda t: F.struct(F.lit(s).alias("side"), t.alias("token")))
+    t = pairs.select(*key, F.concat(side(a, 0), side(b, 1)).alias("t")).repartition(*key).select(*key, F.inline_outer("t"))
+    n = t.groupBy(*key, "token").agg(F.count_if(F.col("side") == 0).cast("double").alias("x"), F.count_if(F.col("side") == 1).cast("double").alias("y"))
+    w = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    g = n.groupBy(*key).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum((w * F.col("x")) ** 2).alias("na"), F.sum((w * F.col("y")) ** 2).alias("nb"))
+    return g.select(*key, F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).otherwise(0.0), digits).alias("cosine"))
+
+
+def indicator_scores(flags: DataFrame, key: list[str]) -> DataFrame:
+    """Scores that need no model: always 0, overlap, overlap beyond configuration files alone, near-equal titles."""
+    shared = F.array_intersect("files_a", "files_b")
+    bit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return flags.select(*key, F.lit(0).alias("always_safe"), bit(F.col("conflict")).alias("file_overlap"), bit(F.col("conflict") & ~P.is_pure_config(shared)).alias("config_aware_overlap"), bit(F.col("dup_title")).alias("duplicate_title"))
+
+
+def hybrid_features(flags: DataFrame, key: list[str]) -> DataFrame:
+    """Title Jaccard, flags and text cosine of each pair, checked against columns that tell the outcome."""
+    ta, tb = (X.title_tokens(X.normalize_title(F.col(c))) for c in ("title_a", "title_b"))
+    bit = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c)
+    base = flags.select(*key, F.round(X.jaccard(ta, tb, 1.0), 9).alias("title_jaccard"), *map(bit, ("dup_title", "conflict", "cross_agent", "near_miss")))
+    out = base.join(pair_cosine(flags, key, F.col("title_a"), F.col("title_b")), key)
+    forbid_leaks(out.columns)
+    return out

@@ -99,7 +99,7 @@ def judge_inputs(spark, sf):
     return S.judge_inputs(B.labeled(spark, sf), cap=3).select(*PAIR, "n_files_a", "n_files_b", "files_a_text", "files_b_text", "files_shared")
 
 
-@query(wf("SELECT unnest(['pi_out_of_range', 'duplicate_key']) AS \"check\", CAST(0 AS BIGINT) AS n"))
+@query(wf("SELECT 'pi_out_of_range' AS \"check\", count(*) FILTER (pi IS NULL OR pi <= 0 OR pi > 1) AS n FROM es UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM es GROUP BY repo, pr_a, pr_b HAVING count(*) > 1)", **PARTS))
 def sample_invariants(spark, sf):
     return audit.violations(enriched(spark, sf), audit.share_rules("pi"), PAIR).withColumn("check", F.regexp_replace("check", "^pi_pi_", "pi_"))
 

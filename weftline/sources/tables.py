@@ -107,3 +107,23 @@ def write_json(path: str, value) -> None:
 def read_json(path: str):
     with open(path) as f:
         return json.load(f)
+
+
+def write_table(df: DataFrame | None, path: str, why: str = "") -> None:
+    """A result table as CSV; without one, a row that says it is not available, and why."""
+    if df is None:
+        df = SparkSession.active().createDataFrame([("NOT AVAILABLE", why)], "status string, reason string")
+    write_csv(df, path)
+
+
+def write_benchmark(gold: DataFrame, silver: DataFrame | None, path: str, group: str = "repo", split: str = "split") -> DataFrame:
+    """Gold rows as one table a split; silver rows (judged, not checked) join train only.  Gives the groups in more than one split.
+
+    Silver rows of a group that stands in test or dev are left out.
+    """
+    if silver is not None:
+        held = gold.where(F.col(split).isin("test", "dev")).select(group).distinct()
+        more = silver.join(held, group, "left_anti").withColumn(split, F.lit("train"))
+        gold = gold.withColumn("source", F.lit("gold")).unionByName(more.withColumn("source", F.lit("silver")), allowMissingColumns=True)
+    gold.write.mode("overwrite").partitionBy(split).parquet(path)
+    return gold.groupBy(group).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
