@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import fresh, open_store, small_batches, table, texts
 
-WIDTH, SHARD, HEAD = 64, 64 << 20, 33
+WIDTH, SHARD, HEAD, LEVEL = 64, 64 << 20, 33, 6
 _SIGN = b"\x89PNG\r\n\x1a\n"
 REFS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 READ = "digest string, width int, height int, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -46,7 +46,7 @@ def encode(payload: bytes) -> bytes:
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
 def header(first: bytes) -> tuple[int, int, int]:
