@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.operators import annotate, audit
 from weftline.operators import coactive as C
 from weftline.operators import similarity as T
@@ -15,6 +16,7 @@ from weftline.plans.joins import PAIR
 from weftline.plans.measures import flags, q_mh, two_raters
 from weftline.plans.pools import _CLASS, q_jaccard, wf
 from weftline.plans.registry import SQL, query
+from weftline.sources.scratch import settle
 
 KEY = "repo, pr_a, pr_b"
 
@@ -27,11 +29,9 @@ KEY = "repo, pr_a, pr_b"
 )
 def mh_robustness(spark, sf):
     """Odds of a merge by conflict, without pairs of alike titles, or of alike texts."""
-    from weftline.functions import text as X
-
-    f = flags(spark, sf)
+    f = settle(flags(spark, sf).select(*PAIR, "title_a", "title_b", "conflict", "merged_later"))
     ta, tb = (X.title_tokens(X.normalize_title(F.col(c))) for c in ("title_a", "title_b"))
-    cos = T.tfidf_cosine(B.titled(spark, sf), PAIR, F.col("title_a"), F.col("title_b"))
+    cos = T.tfidf_cosine(f, PAIR, F.col("title_a"), F.col("title_b"))
     kept = {"titles_differ": f.where(X.jaccard(ta, tb, 1.0) < 0.5), "texts_differ": f.join(cos.where("cosine < 0.7"), PAIR, "left_semi")}
     one, two = (S.mantel_haenszel(d, "repo", F.col("conflict"), F.col("merged_later")).withColumn("contrast", F.lit(n)) for n, d in kept.items())
     return one.unionByName(two)
