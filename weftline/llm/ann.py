@@ -5,7 +5,8 @@ to.  A query opens nodes in the order of a priority queue by cosine to their cen
 are its bins.  How many bins to visit is calibrated: for some vectors, drawn apart from the sample, the exact neighbours among all
 vectors are found in blocks, and visits are widened until the asked share of them lies in visited bins.
 
-Equal vectors are searched once, with their smallest k + 1 ids.  A leaf with many vectors or queries is cut into chunks
+Equal vectors are searched once, with their smallest k + 1 ids.  Neighbouring leaves are sent in bundles of up to CHUNK
+vectors, a query once to each bundle with the leaves it opens there.  A larger leaf, or many queries, are cut into chunks
 of bounded size, each pair of chunks one task group; each gives its k best for each query only.
 
 Cases: vectors that are null, zero, or hold null or non-finite numbers take no part, nor do those whose length is not
@@ -19,6 +20,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,29 +124,63 @@ class Tree:
             out.append(leaves)
         return out
 
+    def in_order(self) -> list[int]:
+        """Leaves, depth first."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if not self.children[node]:
+                out.append(node)
+            todo += reversed(self.children[node])
+        return out
+
     @property
     def leaves(self) -> int:
         return sum(not c for c in self.children)
 
 
-def best(qid: np.ndarray, q: np.ndarray, ids: list[list[int]], v: np.ndarray, k: int, margin: int = 8):
-    """(query, id, score) of the k best for each query: candidates by matrix product, scores and order pair by pair."""
+def lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and values of each row of a list column of ids."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    count = pc.list_value_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(count) - count, count, flat.flatten().to_numpy(zero_copy_only=False)
+
+
+def head(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query with the largest score, ties to the smaller id."""
+    order = np.lexsort((ids, -score, qid))
+    qid = qid[order]
+    first = np.searchsorted(qid, qid)
+    keep = np.arange(len(qid)) - first < k
+    order = order[keep]
+    return qid[keep], ids[order], score[order]
+
+
+def best(qid: np.ndarray, q: np.ndarray, ids: tuple, v: np.ndarray, k: int, margin: int = 8, block: int = 256, pairs: int = 1 << 16):
+    """(query, id, score) columns of the k best for each query: candidates by matrix product, scores and order pair by pair."""
+    start, count, flat = ids
     if not len(qid) or not len(v):
-        return
-    near = unit(q) @ unit(v).T
-    take = min(len(v), k + 1 + margin)
-    top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-    floor = np.take_along_axis(near, top, 1).min(axis=1) - 1e-9
-    for r in range(len(qid)):
-        c = top[r] if take == len(v) else np.union1d(top[r], np.flatnonzero(near[r] >= floor[r]))
-        s = cosines(np.broadcast_to(q[r], (len(c), q.shape[1])), v[c])
-        rows = sorted((-x, i) for x, j in zip(s.tolist(), c.tolist(), strict=True) for i in ids[j] if i != qid[r])
-        for x, i in rows[:k]:
-            yield int(qid[r]), i, -x
+        return _NONE
+    uv, take, found = unit(v), min(len(v), k + 1 + margin), []
+    for at in range(0, len(qid), block):
+        near = unit(q[at : at + block]) @ uv.T
+        floor = np.partition(near, len(v) - take, axis=1)[:, len(v) - take] - 1e-9
+        r, c = np.nonzero(near >= floor[:, None])
+        r += at
+        s = np.concatenate([cosines(q[r[i : i + pairs]], v[c[i : i + pairs]]) for i in range(0, len(r), pairs)])
+        n = count[c]
+        r, s = np.repeat(r, n), np.repeat(s, n)
+        i = flat[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        other = i != qid[r]
+        found.append(head(qid[r[other]], i[other], s[other], k))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
+_NONE = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
 
-def _batch(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+def _batch(found: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, _FOUND, strict=True)], schema=_FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -158,9 +194,7 @@ def brute_force(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int = K)
 
     def run(batches):
         for b in batches:
-            rows = list(best(*told.value, b.column("ids").to_pylist(), matrix(b.column("embedding")), k))
-            if rows:
-                yield _batch(rows)
+            yield _batch(best(*told.value, lists(b.column("ids")), matrix(b.column("embedding")), k))
 
     return ranked(vectors.mapInArrow(run, FOUND), k)
 
@@ -198,31 +232,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     need = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in where)
     visits = need[min(len(need) - 1, int(np.ceil(target * len(need))))] if need else tree.leaves
 
+    bins, held = bundle(tree.in_order(), sizes, chunk)
+    where_to = spark.sparkContext.broadcast(bins)  # as many as leaves
+
     def probe(batches):
         for b in batches:
-            got = told.value.visits(unit(matrix(b.column("embedding"))), visits)
-            leaf = [v for vs in got for v in vs if v in sizes]
-            at = [i for i, vs in enumerate(got) for v in vs if v in sizes]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), b.column("vec_id").take(pa.array(at, pa.int64())), b.column("embedding").take(pa.array(at, pa.int64()))], names=["leaf", "query_id", "q"])
-
-    asked = queries.select("vec_id", "embedding").distinct().mapInArrow(probe, f"leaf long, query_id long, q {element}")
-    nq = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    cuts = spark.createDataFrame([(v, -(-sizes[v] // chunk), -(-nq.get(v, 0) // (chunk // 4))) for v in sizes], "leaf long, cv int, cq int")
+            at, to, leaves = [], [], []
+            for i, row in enumerate(told.value.visits(unit(matrix(b.column("embedding"))), visits)):
+                met = {}
+                for leaf in row:
+                    if leaf in where_to.value:
+                        met.setdefault(where_to.value[leaf], []).append(leaf)
+                at += [i] * len(met)
+                to += met
+                leaves += met.values()
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(leaves, pa.list_(pa.int64()))], names=["bin", "query_id", "q", "leaves"])
+
+    asked = table(queries.select("vec_id", "embedding").distinct().mapInArrow(probe, f"bin long, query_id long, q {element}, leaves array<long>"), "asked")
+    nq = {r["bin"]: r["n"] for r in asked.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    cuts = spark.createDataFrame([(leaf, x, -(-held[x] // chunk), -(-nq[x] // (chunk // 4))) for leaf, x in bins.items() if x in nq], "leaf long, bin long, cv int, cq int")
     deal = lambda key, own, other: (F.pmod(F.xxhash64(key), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    used = F.broadcast(cuts.where("cq > 0"))  # as many rows as leaves
     a, b = deal("query_id", "cq", "cv")
-    left = asked.join(used, "leaf").select("leaf", a.alias("qc"), b.alias("vc"), "query_id", "q")
+    left = asked.join(F.broadcast(cuts.select("bin", "cv", "cq").distinct()), "bin").select("bin", a.alias("qc"), b.alias("vc"), "query_id", "q", "leaves")
     a, b = deal("ids", "cv", "cq")
-    right = placed.join(used, "leaf").select("leaf", b.alias("qc"), a.alias("vc"), "ids", "embedding")
+    right = placed.join(F.broadcast(cuts), "leaf").select("bin", b.alias("qc"), a.alias("vc"), "leaf", "ids", "embedding")
 
     def meet(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        rows = list(best(l.column("query_id").to_numpy(), matrix(l.column("q")), r.column("ids").to_pylist(), matrix(r.column("embedding")), k)) if l.num_rows and r.num_rows else []
-        return pa.Table.from_batches([_batch(rows)] if rows else [], _FOUND)
-
-    key = ["leaf", "qc", "vc"]
+        if not l.num_rows or not r.num_rows:
+            return pa.Table.from_batches([], _FOUND)
+        start, count, opened = lists(l.column("leaves"))
+        asks = np.repeat(np.arange(l.num_rows), count)
+        qid, q, v, leaf = l.column("query_id").to_numpy(), matrix(l.column("q")), matrix(r.column("embedding")), r.column("leaf").to_numpy()
+        first, n, flat = lists(r.column("ids"))
+        found = []
+        for one in np.unique(leaf):
+            rows, own = asks[opened == one], np.flatnonzero(leaf == one)
+            found.append(best(qid[rows], q[rows], (first[own], n[own], flat), v[own], k))
+        return pa.Table.from_batches([_batch(head(*(np.concatenate(x) for x in zip(*found, strict=True)), k))])
+
+    key = ["bin", "qc", "vc"]
     return ranked(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND), k)
 
 
+def bundle(order: list[int], sizes: dict[int, int], chunk: int) -> tuple[dict[int, int], dict[int, int]]:
+    """The bin of each leaf that holds vectors, and the vectors of each bin: neighbouring leaves of up to `chunk` together, a larger leaf alone."""
+    bins, held = {}, {}
+    for leaf in order:
+        if n := sizes.get(leaf):
+            if not held or held[len(held) - 1] + n > chunk:
+                held[len(held)] = 0
+            bins[leaf] = len(held) - 1
+            held[bins[leaf]] += n
+    return bins, held
+
+
 def every_leaf(found: DataFrame, placed: DataFrame) -> DataFrame:
     """found with the leaf that holds each neighbour."""
     return placed.select("leaf", F.explode("ids").alias("vec_id")).join(F.broadcast(found), "vec_id").select("query_id", "vec_id", "leaf")
