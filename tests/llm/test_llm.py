@@ -481,6 +481,18 @@ def test_secrets_base_and_entropy(spark, docs, odd, empty):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
 
 
+def test_base64_with_slashes_is_no_path():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert secrets.entropy_spans(key) and "PxRfi" not in secrets.redacted(f"a {key} b")
+    rng = random.Random(3)
+    for n, least in ((32, 0.95), (40, 0.97), (64, 0.99)):
+        keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)) for _ in range(4000)]
+        slashed = [k for k in keys if k.count("/") >= 2 and "+" not in k]
+        assert sum(bool(secrets.entropy_spans(k)) for k in slashed) >= least * len(slashed) > 0
+    for calm in ["/usr/lib/x86_64-linux-gnu/libfoo.so.1.2", "/2024/05/21/some-title-here-5", "src/main/java/org/demo/HttpServerFactory2.java", "/a1/" + "_" * 30]:
+        assert secrets.entropy_spans(calm) == []
+
+
 def test_window_entropy_by_increments():
     rng = random.Random(4)
     for _ in range(50):

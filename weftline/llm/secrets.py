@@ -3,8 +3,8 @@
 Candidates are runs of 20 or more characters of keys and tokens.  Each is cut into runs of one character class
 (hexadecimal, else letters and digits with the base64 signs), over which a window of 20 characters slides;
 its Shannon entropy follows from counts that change by one character in and one out.  Windows at or above the class's
-threshold are merged into a span.  Spans are suppressed by an allow list: paths and addresses, versions and dates,
-UUIDs, words joined by signs, strings without both letters and digits, and any that touch a span of the patterns.
+threshold are merged into a span.  Spans are suppressed by an allow list: paths and addresses of plain names, versions
+and dates, UUIDs, words joined by signs, strings without both letters and digits, and any that touch a span of the patterns.
 
 Cases: null or empty text has no span.  Repeated rows are scanned each; a null doc_id is kept.  Very long texts are
 scanned whole, and a candidate of any length in one pass.  An empty table gives an empty result.  Other columns are
@@ -38,13 +38,15 @@ _HEXRUN = re.compile(r"[0-9a-fA-F]+")
 _ALLOW = re.compile(
     r"""[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}  # UUID
     | (?:[A-Za-z]{2,}[-_./=+])+[A-Za-z]*                    # words joined by signs
-    | /?(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*             # path
     | [0-9.+/_=-]+ | [A-Za-z]+ | (?P<sign>.)(?P=sign)*                     # numbers, dates; one word; one sign
     """,
     re.X,
 )
+_PATH = re.compile(r"/?(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*")
+#: Words, names in mixed case, numbers and versions: what the names in a path are made of.
+_PLAIN = re.compile(r"[A-Z]?[a-z]*[0-9]{0,4} | [A-Z]+[0-9]{0,4} | [0-9]+[a-z]{0,2} | [a-z]{1,3}[0-9]{1,3}[a-z]{1,4} | (?:[A-Z]|[a-z]{2,})[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}", re.X)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
-_LOG = [0.0, 0.0, *(n * math.log2(n) for n in range(2, WINDOW + 1))]
+_LOG = [0.0, 0.0, *(n * math.log2(n) for n in range(2, WINDOW + 2))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,13 +81,18 @@ def windows(s: str, bits: float, size: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(s: str) -> bool:
+    """On the allow list; a path only if each of its names is plain, as base64 holds slashes too."""
+    return bool(_ALLOW.fullmatch(s)) or bool(_PATH.fullmatch(s)) and all(map(_PLAIN.fullmatch, re.split("[/._-]+", s)))
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in _CANDIDATE.finditer(text):
-        if _ALLOW.fullmatch(m[0].strip(".")):
+        if allowed(m[0].strip(".")):
             continue
         for r in _RUN.finditer(m[0]):
-            if len(r[0]) < WINDOW or _ALLOW.fullmatch(r[0]) or not (re.search("[0-9]", r[0]) and re.search("[A-Za-z]", r[0])):
+            if len(r[0]) < WINDOW or allowed(r[0]) or not (re.search("[0-9]", r[0]) and re.search("[A-Za-z]", r[0])):
                 continue
             kind = "hex" if _HEXRUN.fullmatch(r[0]) else "base64"
             at = m.start() + r.start()
