@@ -493,6 +493,18 @@ def test_base64_with_slashes_is_no_path():
         assert secrets.entropy_spans(calm) == []
 
 
+def test_random_keys_of_each_alphabet_are_found():
+    rng = random.Random(6)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for signs in (low + digits, low.upper() + "234567", low.upper() + digits, low + low.upper() + digits, low + low.upper() + digits + "+/", "abcdef" + digits):
+        for n, most in ((20, 0.06), (24, 0.03), (32, 0.01), (40, 0.005)):
+            keys = ["".join(rng.choices(signs, k=n)) for _ in range(1000)]
+            assert sum(not secrets.spans(k)[1] for k in keys) <= most * len(keys), (signs, n)
+    assert secrets.redacted("a key-7q2mzk04xw9t1ub8vh3cyd5n b").count("7q2m") == 0
+    for calm in ["internationalization2", "test_headers_overflow_32bits", "getUserAccountByNameAndId2", "top-10-ways-to-save-money-in-2024", "MAX_BUFFER_SIZE_BYTES_64"]:
+        assert secrets.entropy_spans(calm) == [], calm
+
+
 def test_window_entropy_by_increments():
     rng = random.Random(4)
     for _ in range(50):

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-Candidates are runs of 20 or more characters of keys and tokens.  Each is cut into runs of one character class
-(hexadecimal, else letters and digits with the base64 signs), over which a window of 20 characters slides;
-its Shannon entropy follows from counts that change by one character in and one out.  Windows at or above the class's
-threshold are merged into a span.  Spans are suppressed by an allow list: paths and addresses of plain names, versions
-and dates, UUIDs, words joined by signs, strings without both letters and digits, and any that touch a span of the patterns.
+Candidates are runs of 20 or more characters of keys and tokens.  Each is cut into runs of letters, digits and the
+base64 signs, of one class (hexadecimal, one case with digits, both cases with digits, or with signs), over which, and
+over its pieces without signs, a window of 20 characters slides; its Shannon entropy follows from counts that change
+by one character in and one out.  Windows at or above the class's threshold are merged into a span.  Spans are
+suppressed by an allow list: paths, addresses and identifiers of plain names, versions and dates, UUIDs, words joined
+by signs, strings without both letters and digits, and any that touch a span of the patterns.
 
 Cases: null or empty text has no span.  Repeated rows are scanned each; a null doc_id is kept.  Very long texts are
 scanned whole, and a candidate of any length in one pass.  An empty table gives an empty result.  Other columns are
@@ -30,10 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Least entropy in bits of a window, by class.
-BITS = {"hex": 3.0, "base64": 3.9}
+#: Least entropy in bits of a window, by class; of random strings of the class's alphabet, 1 to 2 % of the windows are below (hex: 3 %).
+BITS = {"hex": 3.0, "lower": 3.4, "upper": 3.35, "mixed": 3.65, "base64": 3.65}
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{WINDOW},}}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_PIECE = re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}")
 _HEXRUN = re.compile(r"[0-9a-fA-F]+")
 _ALLOW = re.compile(
     r"""[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}  # UUID
@@ -42,9 +44,8 @@ _ALLOW = re.compile(
     """,
     re.X,
 )
-_PATH = re.compile(r"/?(?:[A-Za-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*")
-#: Words, names in mixed case, numbers and versions: what the names in a path are made of.
-_PLAIN = re.compile(r"[A-Z]?[a-z]*[0-9]{0,4} | [A-Z]+[0-9]{0,4} | [0-9]+[a-z]{0,2} | [a-z]{1,3}[0-9]{1,3}[a-z]{1,4} | (?:[A-Z]|[a-z]{2,})[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}", re.X)
+#: Words, names in mixed case, numbers and versions: what the names in paths and identifiers are made of.
+_PLAIN = re.compile(r"[A-Z]?[a-z]*[0-9]{0,4} | [A-Z]+[0-9]{0,4} | [0-9]+[a-z]{0,4} | [a-z]{1,3}[0-9]{1,3}[a-z]{1,4} | [a-z]*(?:[A-Z][a-z]+)+[0-9]{0,4}", re.X)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 _LOG = [0.0, 0.0, *(n * math.log2(n) for n in range(2, WINDOW + 2))]
 
@@ -82,8 +83,24 @@ def windows(s: str, bits: float, size: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def allowed(s: str) -> bool:
-    """On the allow list; a path only if each of its names is plain, as base64 holds slashes too."""
-    return bool(_ALLOW.fullmatch(s)) or bool(_PATH.fullmatch(s)) and all(map(_PLAIN.fullmatch, re.split("[/._-]+", s)))
+    """On the allow list, or made of plain names, as paths and identifiers are; base64 holds slashes too, but not plain names."""
+    return bool(_ALLOW.fullmatch(s)) or all(map(_PLAIN.fullmatch, re.split("[/._=+-]+", s)))
+
+
+def kind_of(s: str) -> str:
+    """The class of characters of a run."""
+    if _HEXRUN.fullmatch(s):
+        return "hex"
+    if not s.isalnum():
+        return "base64"
+    return "lower" if s == s.lower() else "upper" if s == s.upper() else "mixed"
+
+
+def high(s: str) -> list[tuple[int, int]]:
+    """Merged windows of high entropy for the class of s, unless it is allowed or holds no letter or no digit."""
+    if len(s) < WINDOW or allowed(s) or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        return []
+    return windows(s, BITS[kind_of(s)])
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,11 +109,15 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
         if allowed(m[0].strip(".")):
             continue
         for r in _RUN.finditer(m[0]):
-            if len(r[0]) < WINDOW or allowed(r[0]) or not (re.search("[0-9]", r[0]) and re.search("[A-Za-z]", r[0])):
+            if allowed(r[0]):
                 continue
-            kind = "hex" if _HEXRUN.fullmatch(r[0]) else "base64"
-            at = m.start() + r.start()
-            out += [(at + a, 3, at + b) for a, b in windows(r[0], BITS[kind])]
+            at, end = m.start() + r.start(), -1
+            pieces = [p for p in _PIECE.finditer(r[0]) if p[0] != r[0]]
+            for a, b in sorted([*high(r[0]), *((p.start() + a, p.start() + b) for p in pieces for a, b in high(p[0]))]):
+                if a <= end:
+                    a = out.pop()[0] - at
+                end = max(b, end)
+                out.append((at + a, 3, at + end))
     return out
 
 
