@@ -52,6 +52,22 @@ def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() >= 1
 
 
+def test_resolvers_see_whole_texts(spark):
+    from weftline.operators.hunks import similarity
+
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None]
+    sims = {"ours": [], "theirs": []}
+    for r in docs:
+        w = r.text.split(" ")
+        for name, side in (("ours", w[:-1]), ("theirs", w[1:])):
+            sims[name].append(similarity("\n".join(side), "\n".join(w[:-1] if r.doc_id % 2 == 0 else w)))
+    got = {r.resolver: r for r in QUERIES["resolver_scores"](spark, SF).collect()}
+    for name, s in sims.items():
+        assert got[name].n == len(docs)
+        assert abs(got[name].exact_rate - sum(x for x, _ in s) / len(s)) < 1e-5
+        assert abs(got[name].mean_sim - sum(x for _, x in s) / len(s)) < 1e-5
+
+
 def test_entry(spark):
     e = importlib.import_module("__spark_entry__")
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())

@@ -156,16 +156,19 @@ def pair_verdict(spark, sf):
 
 
 
-def conflicted(spark, sf):
-    d = B.read(spark, sf, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 3).alias("w"))
-    o, t = F.array_join(F.slice("w", 1, 2), "\n"), F.array_join(F.slice("w", 2, 2), "\n")
-    text = F.concat(F.lit("head\n<<<<<<< ours\n"), o, F.lit("\n||||||| base\nx\n=======\n"), t, F.lit("\n>>>>>>> theirs\ntail"))
-    return d.where(F.size("w") == 3).select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 2 == 0, F.slice("w", 1, 2)).otherwise(F.col("w")).alias("truth"))
+def conflicted(spark, sf, words=None):
+    """A file with one hunk for each text: its sides lack the last and the first word.  All words are taken, or the first few of texts that have them."""
+    d = B.read(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    if words:
+        d = d.select("doc_id", F.slice("w", 1, words).alias("w")).where(F.size("w") == words)
+    ours, theirs = F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1)
+    text = F.concat(F.lit("head\n<<<<<<< ours\n"), F.array_join(ours, "\n"), F.lit("\n||||||| base\nx\n=======\n"), F.array_join(theirs, "\n"), F.lit("\n>>>>>>> theirs\ntail"))
+    return d.select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 2 == 0, ours).otherwise(F.col("w")).alias("truth"))
 
 
 @query(r"SELECT doc_id, CAST(0 AS INT) AS hunk, 'head' AS pre, array_to_string(string_split(w[1] || chr(10) || w[2], chr(10)), '|') AS ours, array_to_string(string_split(w[2] || chr(10) || w[3], chr(10)), '|') AS theirs, 'tail' AS post FROM (SELECT doc_id, string_split(text, ' ')[1:3] AS w FROM documents) WHERE len(w) = 3")
 def parse_hunks(spark, sf):
-    h = H.explode_hunks(conflicted(spark, sf), ["doc_id"])
+    h = H.explode_hunks(conflicted(spark, sf, 3), ["doc_id"])  # as the SQL
     return h.select("doc_id", "hunk", *(F.array_join(c, "|").alias(c) for c in ("pre", "ours", "theirs", "post")))
 
 
