@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again for the next.
 
 * language_id drops documents without a language (no letter, or null text), and keeps all others.
-* near_dedup keeps, of each group of near copies, the row whose doc_id is smallest; of repeated rows with one doc_id,
-  one.  Rows without a doc_id are named by no group, and stay.
+* near_dedup keeps, of each group of near copies, one row of the smallest doc_id.  Rows that share a doc_id but not a
+  group are kept for each group.  Rows without a doc_id are named by no group, and stay.
 * secret_scan replaces secrets by a mark, and sets n_chars to the new length; no document goes.
 * mix_sources repeats each document as often as the mix takes it (0, 1 or 2 times).
 * pack places each remaining copy into sequences; `copy` tells the copies of a document apart.
@@ -24,9 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = simhash.near_duplicates(docs).where("doc_id = component_id")
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("_text_hash"))
+    key = ["doc_id", "_text_hash"]
+    kept = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).join(first, key, "left_semi").dropDuplicates(key)
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

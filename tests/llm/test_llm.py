@@ -546,3 +546,10 @@ def test_pipeline_odd_rows(spark, odd, empty):
             path = f"{spark.sparkContext.getCheckpointDir()}/odd-{name}-{table is odd}"
             out.write.parquet(path)
             d = spark.read.parquet(path)
+
+
+def test_near_dedup_keeps_unlinked_rows_of_one_doc_id(spark):
+    pipe = importlib.import_module("corpus_pipeline")
+    a, b = "the cat sat on the mat and slept " * 4, "quick brown foxes jump over many lazy dogs " * 4
+    d = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b), (3, "one more text that is like none of them")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in pipe.near_dedup(spark, d, SF).collect()) == sorted([(1, a), (1, b), (3, "one more text that is like none of them")])

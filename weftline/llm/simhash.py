@@ -30,7 +30,7 @@ from weftline.llm.components import components
 from weftline.llm.shared import batch_of, cut, small_batches, table, texts
 
 SEED, WORDS, DISTANCE, PARTS, LIMIT = 42, 3, 3, 4, 2000
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _SIG = pa.schema([("sig", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -50,15 +50,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the text's xxhash64, and the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in texts(b)], np.uint64).view(np.int64)
-            yield batch_of(_FP, b.column("doc_id"), pa.array(fp))
+            yield batch_of(_FP, b.column("doc_id"), b.column("text_hash"), pa.array(fp))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -270,15 +271,15 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, limit: i
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, parts: int = PARTS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
+    """(doc_id, text_hash, fp, root, component_id): root is a component's own, component_id the smallest doc_id that links reach."""
     rows = table(fingerprints(docs, words), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = cut(least)
     roots = components(links(distinct.select("fp"), distance, parts, limit)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
