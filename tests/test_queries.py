@@ -68,6 +68,15 @@ def test_resolvers_see_whole_texts(spark):
         assert abs(got[name].mean_sim - sum(x for _, x in s) / len(s)) < 1e-5
 
 
+def test_bootstrap_has_the_replicates_of_the_settings(spark):
+    from weftline.config import Settings
+    from weftline.operators.stats import cluster_bootstrap
+    from weftline.plans import binding as B
+
+    want = cluster_bootstrap(B.labeled(spark, SF), "repo", "conflict", Settings().bootstrap).first()
+    assert Settings().bootstrap == 5000 and QUERIES["cluster_bootstrap"](spark, SF).first() == want
+
+
 def test_entry(spark):
     e = importlib.import_module("__spark_entry__")
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.config import Settings
 from weftline.functions import numbers as N
 from weftline.functions import paths as P
 from weftline.operators import annotate
@@ -236,7 +237,7 @@ def adjudicate(spark, sf):
 
 @query()
 def cluster_bootstrap(spark, sf):
-    return S.cluster_bootstrap(B.labeled(spark, sf), "repo", "conflict", 500)
+    return S.cluster_bootstrap(B.labeled(spark, sf), "repo", "conflict", Settings().bootstrap)
 
 
 @query(w("SELECT kind, item, gold, pred FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY item) AS r FROM (SELECT *, CASE WHEN pred <> 'none' AND gold IN ('none', 'B') THEN 'FP' WHEN gold IN ('D', 'C', 'H', 'I') AND pred IN ('none', 'B') THEN 'FN' END AS kind FROM g) WHERE kind IS NOT NULL) WHERE r <= 50", g=f"SELECT doc_id AS item, {_RATE}[(doc_id % 4) + 1] AS gold, {_RATE}[(doc_id // 3 % 4) + 1] AS pred FROM labels"))
