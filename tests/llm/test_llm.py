@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, katz, langid, media, mixing, packing, quality, secrets, simhash, substrings
+from weftline.llm import ann, blocks, katz, langid, media, mixing, packing, quality, secrets, simhash, substrings
 from weftline.llm.components import components
 from weftline.llm.shared import block_words, grams
 
@@ -211,58 +211,134 @@ def test_plan_places_each_piece_once(seed):
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
-def slow_katz(rows):
+def slow_factors(counts):
+    """Good-Turing factors of counts 1 to 5 from the n-grams' counts, by least squares on logarithms, with Katz's renormalisation."""
+    n = Counter(c for c in counts.values() if c <= 40)
+    r = sorted(n)
+    slope = -2.0
+    if len(r) > 1:
+        z = []
+        for k, x in enumerate(r):
+            low = r[k - 1] if k else 0
+            high = r[k + 1] if k + 1 < len(r) else 2 * x - low
+            z.append(math.log(2 * n[x] / (high - low)))
+        slope = min(-1.0, float(np.polyfit([math.log(x) for x in r], z, 1)[0]))
+    if slope > -1 - 1e-9:
+        slope = -1 - 1e-9
+    smooth = {x: x**slope for x in range(1, 7)}
+    common = 6 * smooth[6] / smooth[1]
+    return {x: ((x + 1) * smooth[x + 1] / (x * smooth[x]) - common) / (1 - common) for x in range(1, 6)}
+
+
+def slow_katz(rows, order=2):
     toks = {k: [*WORD.findall(lower(t or "")), None] for k, (_, t) in enumerate(rows)}
-    train = [k for k, (i, _) in enumerate(rows) if not katz.held_out(i, 10, 0)]
-    uni, bi = Counter(), Counter()
+    train = [k for k, (i, _) in enumerate(rows) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    count = {m: Counter() for m in range(1, order + 1)}
     for k in train:
-        uni.update(toks[k])
-        bi.update(zip(["<s>", *toks[k]], toks[k], strict=False))
-    uni_n, bi_n = Counter(uni.values()), Counter(bi.values())
-    meta = {"N": sum(uni.values()), "V": len(uni)} | {f"u{r}": uni_n[r] for r in range(1, 7)}
-    u, d2 = katz.Unigram(meta), katz.discounts(bi_n)
-    puni = lambda w: float(u.p(np.array([uni[w]]))[0])
-    follow = defaultdict(dict)
-    for (a, b), c in bi.items():
-        follow[a][b] = c
-
-    def p(a, b):
-        n = uni[None] if a == "<s>" else uni[a]
-        if not n:
-            return puni(b)
-        s1 = sum(float(katz.apply_discount(np.array([float(c)]), d2)[0]) for c in follow[a].values())
-        s2 = sum(puni(w) for w in follow[a])
-        left = n - s1
-        if left <= 1e-9 * n:
-            n, left = n + 1, 1.0
-        if b in follow[a]:
-            return float(katz.apply_discount(np.array([float(follow[a][b])]), d2)[0]) / n
-        return left / n / max(1 - s2, 1e-12) * puni(b)
-
-    return toks, uni, u, p
-
-
-def test_katz_matches_brute_force_and_is_normalised(spark):
+        t = ["<s>"] * (order - 1) + toks[k]
+        for j in range(order - 1, len(t)):
+            for m in count:
+                count[m][tuple(t[j - m + 1 : j + 1])] += 1
+    factor = {m: slow_factors(c) for m, c in count.items()}
+    follow = {m: defaultdict(list) for m in range(2, order + 1)}
+    for m in follow:
+        for g in count[m]:
+            follow[m][g[:-1]].append(g)
+    total = sum(count[1].values())
+    seen = sum(c * factor[1].get(c, 1) for c in count[1].values())
+
+    def taken(g):
+        c = count[len(g)][g]
+        return c * factor[len(g)].get(c, 1)
+
+    memo = {}
+
+    def state(ctx):
+        if ctx not in memo:
+            m = len(ctx) + 1
+            n = sum(count[m][g] for g in follow[m][ctx])
+            left = n - sum(map(taken, follow[m][ctx]))
+            if left <= 1e-9 * n:
+                n, left = n + 1, 1.0
+            memo[ctx] = n, left / n / max(1 - sum(p(ctx[1:], g[-1]) for g in follow[m][ctx]), 1e-12)
+        return memo[ctx]
+
+    def p(ctx, w):
+        if not ctx:
+            more = 0 if total - seen > 0 else 1
+            return (taken((w,)) if (w,) in count[1] else total - seen + more) / (total + more)
+        if not follow[len(ctx) + 1].get(ctx):
+            return p(ctx[1:], w)
+        n, back = state(ctx)
+        return taken((*ctx, w)) / n if (*ctx, w) in count[len(ctx) + 1] else back * p(ctx[1:], w)
+
+    return toks, count, factor, p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_matches_brute_force_and_is_normalised(spark, order):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("abcdefghij") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(30)))) for i in range(120)] + [(None, "a b"), (7, None), (7, "zz a")]
-    toks, uni, u, p = slow_katz(rows)
-    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=300, bucket_bytes=200).collect()
+    toks, count, _, p = slow_katz(rows, order)
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), order, block_bytes=300, bucket_bytes=200).collect()
     assert len(got) == len(rows)
-    want = []
+    n, v, want = sum(count[1].values()), len(count[1]), []
     for k, (i, _) in enumerate(rows):
-        t = toks[k]
-        want.append((i if i is not None else -1, katz.held_out(i, 10, 0), len(t), sum(uni[w] > 0 for w in t), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t, strict=False)), 6), round(sum(math.log10((uni[w] + 0.1) / (u.n + 0.1 * (u.v + 1))) for w in t), 6)))
+        t = ["<s>"] * (order - 1) + toks[k]
+        score = sum(math.log10(p(tuple(t[j - order + 1 : j]), t[j])) for j in range(order - 1, len(t)))
+        base = sum(math.log10((count[1][w,] + 0.1) / (n + 0.1 * (v + 1))) for w in toks[k])
+        want.append((i if i is not None else -1, zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, len(toks[k]), sum(count[1][w,] > 0 for w in toks[k]), round(score, 6), round(base, 6)))
     assert sorted(want) == sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in got)
-    assert {r.train_tokens for r in got} == {u.n}
-    for ctx in ["<s>", "a", "bb", "unseen"]:
-        assert abs(sum(p(ctx, w) for w in uni) + p(ctx, "never seen") - 1) < 1e-9
+    assert {r.train_tokens for r in got} == {n}
+    for ctx in [("<s>", "<s>"), ("<s>", "a"), ("a", "bb"), ("b", "a"), ("unseen", "a"), ("unseen", "unseen")]:
+        assert abs(sum(p(ctx[3 - order :], w) for (w,) in count[1]) + p(ctx[3 - order :], "never seen") - 1) < 1e-9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_good_turing_is_in_use(spark, sf):
+    """On the tables the factors come from counts of counts, not from a fixed discount."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    _, count, factor, p = slow_katz(rows)
+    for m in (1, 2):
+        n = Counter(c for c in count[m].values() if c <= 40)
+        assert katz.discounts(n)[1:].tolist() == pytest.approx(list(factor[m].values()))
+        assert all(abs(f - (r - 0.5) / r) > 0.05 for r, f in factor[m].items()) and 0 < factor[m][1] < factor[m][5] < 1
+    few = {i: t for i, t in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    got = {r.doc_id: r.score for r in katz.score(docs).where("held_out").collect()}
+    assert set(got) == set(few)
+    for i, t in few.items():
+        w = ["<s>", *WORD.findall(lower(t or "")), None]
+        assert got[i] == pytest.approx(sum(math.log10(p((a,), b)) for a, b in zip(w, w[1:], strict=False)), abs=1e-6)
 
 
 def test_katz_beats_the_base_and_odd_rows(spark, odd, empty):
     got = katz.op3_katz(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     assert katz.score(odd).count() == odd.count() and katz.score(empty).count() == 0
-    assert all(math.isfinite(r.score) for r in katz.score(odd).collect())
+    assert all(math.isfinite(r.score) for r in katz.score(odd, 3).collect())
+
+
+def test_passes_survive_another_number_of_cores(spark, tmp_path):
+    """The passes read alike when the cores alive change between them."""
+    path = f"file://{tmp_path}/nine"
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(9).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = as_rows(substrings.dedup(docs))
+    held = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    try:
+        frames = substrings.dedup(docs), katz.score(docs)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+        assert as_rows(frames[0]) == want and frames[1].count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", held) if held else spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_a_path_is_no_plan(spark, tmp_path):
+    path = f"{tmp_path}/Union Join"
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert blocks._plain(docs) and not blocks._plain(docs.where(F.rand() < 2)) and not blocks._plain(docs.distinct())
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------

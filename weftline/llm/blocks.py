@@ -7,8 +7,8 @@ that answers carry no keys.  Answers are written by reading task into the shared
 reads the same documents again finds them.  A hot key costs one entry per block, never one per occurrence.
 
 The documents are read again by each pass and are told apart by partition and position, so the input must
-give the same rows in the same partitions each time, as a scan of files does; another input is first written
-to the shared folder (`stable`).  A check sum of the keys is kept with each answer, and a differing one raises.
+give the same rows in the same partitions each time, as a scan of files does whose number of splits is fixed; another
+input is first written to the shared folder (`stable`).  A check sum of the keys is kept with each answer, and a differing one raises.
 """
 
 from __future__ import annotations
@@ -26,19 +26,46 @@ from weftline.llm.shared import fresh, in_blocks, open_store, small_batches
 
 ASK = "bucket int, pid int, block int, n int, crc long, keys binary, vals binary"
 TELL = "pid int, block int, bucket int, n int, crc long, vals binary"
+_SPLITS, EIGHT = "spark.sql.files.minPartitionNum", 8
 _ASK = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("crc", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 _TELL = pa.schema([("pid", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("crc", pa.int64()), ("vals", pa.binary())])
 
 
 def stable(docs: DataFrame) -> DataFrame:
-    """doc_id and text with partitions that stay; anything but a plain scan of files is written first."""
+    """doc_id and text with partitions that stay; anything but a plain scan of files is written first.
+
+    How a scan of files is split follows the cores that are alive, unless the session fixes the least number of
+    splits; it is fixed here at what it is now, so that executors may come and go between passes.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get(_SPLITS, None):
+        spark.conf.set(_SPLITS, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plan = docs._jdf.queryExecution().sparkPlan().toString()
-    if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "Sort", "Union", "Limit", "Python", "Pandas", "Arrow")):
+    if _plain(docs):
         return docs
-    path = fresh(docs.sparkSession, "stable")
+    path = fresh(spark, "stable")
     docs.write.parquet(path)
-    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether the plan is a scan of files with nothing but projections and filters that give the same each time."""
+    ran = docs._jdf.queryExecution()
+    node = ran.sparkPlan()
+    while node.getClass().getSimpleName() in ("ProjectExec", "FilterExec", "ColumnarToRowExec"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "FileSourceScanExec" and ran.analyzed().deterministic()
+
+
+def sizes(docs: DataFrame, bucket_bytes: int, block_bytes: int) -> tuple[int, int]:
+    """How many buckets, and the bytes of a block.
+
+    Each block sends a row to each bucket that it has keys in.  So that rows do not become as many as keys, buckets and
+    blocks grow with the text beyond 4096 and 16384 of them, up to EIGHT times; memory stays bounded.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket = min(max(bucket_bytes, size // 4096), bucket_bytes * EIGHT)
+    return max(12, -(-size // bucket)), min(max(block_bytes, size // 16384), block_bytes * EIGHT)
 
 
 def planes(a: np.ndarray) -> bytes:

@@ -1,14 +1,19 @@
 """Katz backoff language model over words: Good-Turing discounted counts, exactly normalised backoff.
 
-Tokens are the lower-cased (A-Z) words of a text and one end.  A token's probability given the one before is the
-discounted relative count if the pair was seen, else the context's backoff weight times the token's unigram
-probability; a token never seen takes the unigram mass that discounting freed.  Weights are set so that each
-context's probabilities sum to one over all known tokens and one unknown.  Counts up to 5 are discounted by
-Good-Turing, with Katz's renormalisation; where count-of-counts are too thin for that, by half a count.
+Tokens are the lower-cased (A-Z) words of a text and one end.  A token's probability given the `order` - 1 before (starts
+stand in front of a text) is the discounted relative count if the n-gram was seen, else the context's backoff weight
+times the token's probability given one token less, and so on down to the unigram; a token never seen takes the unigram
+mass that discounting freed.  Weights are set so that each context's probabilities sum to one over all known
+tokens and one unknown.
 
-Counts, and then backoff weights, are tables in the shared folder, partitioned by the task whose documents ask for
-them (see blocks.py); pair counts of a hot context are spread by the hash of the pair.  Three passes read the
-texts: ask for counts, ask for backoff weights, score.
+Counts up to KATZ are discounted by Good-Turing, with Katz's renormalisation, over smoothed counts of counts: the
+log-linear fit of those of the order, each averaged over the gap around it, up to LAST.  Counts of counts as they are
+give factors above 1 wherever documents occur several times.  With fewer than two different counts the slope is -2
+(Zipf's law); a slope above -1, which leaves no mass to free, is taken as -1, where the factors have a limit.
+
+Counts, and then the backoff weights of each order, are tables in the shared folder, partitioned by the task whose
+documents ask for them (see blocks.py); counts of a hot context are spread by the hash of the n-gram.  The texts are
+read once for counts, once an order above the first for weights, and once to score.
 
 Cases: null or empty text is its end alone.  A null doc_id counts as the empty id.  Repeated rows are counted and
 scored as often as they stand there.  Very long texts are scored whole.  No training tokens: all
@@ -25,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import ASK, asked, reduce_asked, scan, stable
+from weftline.llm.blocks import ASK, asked, from_planes, reduce_asked, scan, sizes, stable
 from weftline.llm.shared import MUL, block_words, mix
 
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
-KATZ, BLOCK, BUCKET_BYTES = 5, 4_000_000, 8_000_000
+KATZ, LAST, ORDER, BLOCK, BUCKET_BYTES = 5, 40, 2, 4_000_000, 8_000_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -37,16 +42,24 @@ def held_out(doc_id, mod: int, rest: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % mod == rest
 
 
+def slope(n: dict[int, float], last: int = LAST) -> float:
+    """Slope of the log-linear fit of the counts of counts, each averaged over the gap around it."""
+    r = sorted(k for k, v in n.items() if v > 0 and k <= last)
+    if len(r) < 2:
+        return -2.0
+    gap = [((r[i + 1] if i + 1 < len(r) else 2 * r[i] - r[i - 1]) - (r[i - 1] if i else 0)) / 2 for i in range(len(r))]
+    x, y = np.log(r), np.log([n[k] / g for k, g in zip(r, gap, strict=True)])
+    x = x - x.mean()
+    return min(-1.0, float(x @ y / (x @ x)))
+
+
 def discounts(n: dict[int, float], katz: int = KATZ) -> np.ndarray:
     """Factor for each count 1..katz (place 0 unused), from the numbers n[r] of n-grams seen r times."""
-    half = np.array([0.0, *((r - 0.5) / r for r in range(1, katz + 1))])
-    if not all(n.get(r, 0) > 0 for r in range(1, katz + 2)):
-        return half
-    common = (katz + 1) * n[katz + 1] / n[1]
-    if common >= 1:
-        return half
-    d = np.array([0.0, *(((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, katz + 1))])
-    return d if ((d[1:] > 0) & (d[1:] <= 1)).all() else half
+    b = slope(n) + 1
+    if b > -1e-9:
+        return np.array([0.0, *(1 - math.log(1 + 1 / r) / math.log(katz + 1) for r in range(1, katz + 1))])
+    common = (katz + 1.0) ** b
+    return np.array([0.0, *(((1 + 1 / r) ** b - common) / (1 - common) for r in range(1, katz + 1))])
 
 
 def apply_discount(c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -58,7 +71,7 @@ class Unigram:
 
     def __init__(self, meta: dict[str, float]):
         self.n, self.v = int(meta.get("N", 0)), int(meta.get("V", 0))
-        counts = {r: meta.get(f"u{r}", 0) for r in range(1, KATZ + 2)}
+        counts = counts_of_counts(meta, 1)
         self.d = discounts(counts)
         freed = sum((1 - self.d[r]) * r * counts[r] for r in range(1, KATZ + 1))
         self.total, self.unknown = (self.n, freed) if freed > 0 else (self.n + 1, 1.0)
@@ -70,46 +83,88 @@ class Unigram:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def tokens(ids: list, raw: list[bytes]):
-    """Tokens of a block, the context of each, whether it is for training, and where each document begins."""
-    h, off = block_words([t.lower() for t in raw])
-    tok = np.insert(h, off[1:], STOP)
-    start = off[:-1] + np.arange(len(ids))
-    prev = np.concatenate([[START], tok[:-1]])
-    prev[start] = START
-    held = np.array([held_out(i, 10, 0) for i in ids])
-    return tok, prev, ~np.repeat(held, np.diff(np.append(start, len(tok)))), start, held
-
-
-def pair(prev: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    return mix(prev * np.uint64(MUL) + tok)
-
-
-def counted(rows: list, names: str, pairs: bool):
-    """Totals of each key, as answers to each row; for pairs doubled, plus 1 in the one row that owns the key."""
+def counts_of_counts(meta: dict[str, float], m: int) -> dict[int, float]:
+    return {r: meta.get(f"{m}_{r}", 0) for r in range(1, LAST + 1)}
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different keys, a place of each, and the number of each key among them."""
+    u, inv = np.unique(keys, return_inverse=True)
+    at = np.empty(len(u), np.int64)
+    at[inv] = np.arange(len(keys))
+    return u, at, inv
+
+
+class Grams:
+    """The tokens of a block, the keys of the n-grams that end at each, and what is known of them."""
+
+    def __init__(self, ids: list, raw: list[bytes], order: int):
+        h, off = block_words([t.lower() for t in raw])
+        tok = np.insert(h, off[1:], STOP)
+        self.start = off[:-1] + np.arange(len(ids))
+        self.size = np.diff(np.append(self.start, len(tok)))
+        held = np.array([held_out(i, 10, 0) for i in ids], bool)
+        self.held, self.train = held, ~np.repeat(held, self.size)
+        padded = np.insert(tok, np.repeat(self.start, order - 1), START)
+        real = np.arange(len(tok)) + np.repeat(np.arange(1, len(ids) + 1) * (order - 1), self.size)
+        gram = padded
+        #: Keys by order; contexts by the order of the n-grams that they begin.
+        self.keys, self.contexts = {1: tok}, {}
+        for m in range(2, order + 1):
+            before = np.concatenate([[START], gram[:-1]])
+            self.contexts[m] = before[real]
+            gram = mix(before * np.uint64(MUL) + padded)
+            self.keys[m] = gram[real]
+        self.blank = np.zeros(len(tok), np.int64)
+        self.blank[self.start] = 1
+        self.order, self.of, self.own, self.weight = order, {}, {}, {}
+        self.distinct = {m: distinct(k) for m, k in self.keys.items()}
+
+    def learn_counts(self, answers, block: int, n: int) -> None:
+        for m, (u, _, inv) in self.distinct.items():
+            told = answers.of(block, (m - 1) * n, n, u, np.uint64)
+            self.own[m] = (told & np.uint64(1)).astype(bool)
+            self.of[m] = (told >> np.uint64(1)).astype(float)[inv]
+        self.ends = float(self.of[1][-1])  # a block ends with a text's end
+
+    def followed(self, m: int) -> np.ndarray:
+        """How often the context of each n-gram of order m was followed in training: its count; before a text, the number of ends."""
+        last = np.concatenate([[0.0], self.of[m - 1][:-1]])
+        return np.where(self.blank == 1, self.ends, last)
+
+    def learn_weights(self, answers, block: int, n: int, m: int) -> None:
+        u, inv = np.unique(self.contexts[m], return_inverse=True)
+        self.weight[m] = answers.of(block, 0, n, u, np.float64)[inv]
+
+    def p(self, m: int, uni: Unigram, d: dict[int, np.ndarray]) -> np.ndarray:
+        """Probability of each token given the m - 1 before, by recursion on m."""
+        if m == 1:
+            return uni.p(self.of[1])
+        w = self.weight[m]
+        total = self.followed(m) + (w < 0)
+        return np.where(self.of[m] > 0, apply_discount(self.of[m], d[m]) / np.maximum(total, 1), np.abs(w) * self.p(m - 1, uni, d))
+
+
+def counted(rows: list, m: int):
+    """Totals of each key, as answers to each row: doubled, plus 1 in the one row that owns the key."""
     keys = np.concatenate([k for k, _ in rows])
-    from weftline.llm.blocks import from_planes
-
     counts = np.concatenate([from_planes(v[0], np.uint32) for _, v in rows]).astype(np.int64)
     _, inv = np.unique(keys, return_inverse=True)
     total = np.bincount(inv, weights=counts).astype(np.uint64)
-    told = total[inv]
-    if pairs:
+    told = total[inv] * np.uint64(2)
+    if m > 1:
         seen = np.flatnonzero(counts > 0)
         _, first = np.unique(inv[seen], return_index=True)
-        told = told * np.uint64(2)
         told[seen[first]] += np.uint64(1)
-    small = np.bincount(np.minimum(total, KATZ + 2).astype(np.int64), minlength=KATZ + 3)
-    meta = {f"{names}{r}": int(small[r]) for r in range(1, KATZ + 2)}
-    if not pairs:
+    small = np.bincount(np.minimum(total, LAST + 1).astype(np.int64), minlength=LAST + 2)
+    meta = {f"{m}_{r}": int(small[r]) for r in range(1, LAST + 1) if small[r]}
+    if m == 1:
         meta |= {"N": int(total.sum()), "V": int((total > 0).sum())}
     return np.split(told, np.cumsum([len(k) for k, _ in rows])[:-1]), meta
 
 
 def weigh(rows: list):
     """Backoff weight of each context; negative if its probabilities are over one more than its count."""
-    from weftline.llm.blocks import from_planes
-
     keys = np.concatenate([k for k, _ in rows])
     cols = [np.concatenate([from_planes(v[i], np.float64) for _, v in rows]) for i in range(3)]
     _, inv = np.unique(keys, return_inverse=True)
@@ -122,61 +177,49 @@ def weigh(rows: list):
     return np.split(w, np.cumsum([len(k) for k, _ in rows])[:-1]), {}
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Train on the documents that are not held out and score all; columns of SCORES."""
+def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Train n-grams up to `order` (1 or more) on the documents that are not held out and score all; columns of SCORES."""
     docs = stable(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    nu = nb = max(12, math.ceil(size / bucket_bytes))
+    n, block_bytes = sizes(docs, bucket_bytes, block_bytes)
 
     def ask_counts(pid, block, ids, raw, _):
-        tok, prev, train, _, _ = tokens(ids, raw)
-        for first, n, keys in ((0, nu, tok), (nu, nb, pair(prev, tok))):
-            u, inv = np.unique(keys, return_inverse=True)
-            yield from asked(pid, block, first, n, u, np.bincount(inv, weights=train).astype(np.uint32))
-
-    counts, meta = reduce_asked(scan(docs, ask_counts, ASK, [], block_bytes), lambda b, rows: counted(rows, "u" if b < nu else "b", b >= nu), "counts")
-    meta = {r["name"]: r["value"] for r in meta.collect()}  # 14 rows
-    uni, d2 = Unigram(meta), discounts({r: meta.get(f"b{r}", 0) for r in range(1, KATZ + 2)})
-
-    def ask_weights(pid, block, ids, raw, answers):
-        tok, prev, _, _, _ = tokens(ids, raw)
-        u, inv = np.unique(tok, return_inverse=True)
-        c = answers[0].of(block, 0, nu, u, np.uint64)
-        g, at = np.unique(pair(prev, tok), return_index=True)
-        told = answers[0].of(block, nu, nb, g, np.uint64)
-        own = (told & np.uint64(1)).astype(bool)
-        at, n = at[own], (told[own] >> np.uint64(1)).astype(float)
-        ctx, where = np.unique(prev, return_inverse=True)
-        s1 = np.bincount(where[at], weights=apply_discount(n, d2), minlength=len(ctx))
-        s2 = np.bincount(where[at], weights=uni.p(c)[inv[at]], minlength=len(ctx))
-        yield from asked(pid, block, 0, nu, ctx, s1, s2, context_counts(ctx, u, c))
-
-    weights, _ = reduce_asked(scan(docs, ask_weights, ASK, [counts], block_bytes), lambda b, rows: weigh(rows), "weights")
+        g = Grams(ids, raw, order)
+        for m, (u, _, inv) in g.distinct.items():
+            yield from asked(pid, block, (m - 1) * n, n, u, np.bincount(inv, weights=g.train, minlength=len(u)).astype(np.uint32))
+
+    counts, meta = reduce_asked(scan(docs, ask_counts, ASK, [], block_bytes), lambda b, rows: counted(rows, b // n + 1), "counts")
+    meta = {r["name"]: r["value"] for r in meta.collect()}  # LAST rows an order, and 2
+    uni, d = Unigram(meta), {m: discounts(counts_of_counts(meta, m)) for m in range(2, order + 1)}
+    told = [counts]
+
+    for level in range(2, order + 1):
+
+        def ask_weights(pid, block, ids, raw, answers, m=level):
+            g = Grams(ids, raw, order)
+            g.learn_counts(answers[0], block, n)
+            for lower in range(2, m):
+                g.learn_weights(answers[lower - 1], block, n, lower)
+            _, at, _ = g.distinct[m]
+            at = at[g.own[m]]
+            u, first, where = distinct(g.contexts[m])
+            s1 = np.bincount(where[at], weights=apply_discount(g.of[m][at], d[m]), minlength=len(u))
+            s2 = np.bincount(where[at], weights=g.p(m - 1, uni, d)[at], minlength=len(u))
+            yield from asked(pid, block, 0, n, u, s1, s2, g.followed(m)[first])
+
+        told.append(reduce_asked(scan(docs, ask_weights, ASK, list(told), block_bytes), lambda b, rows: weigh(rows), f"weights{level}")[0])
 
     def evaluate(pid, block, ids, raw, answers):
-        tok, prev, _, start, held = tokens(ids, raw)
-        u, inv = np.unique(tok, return_inverse=True)
-        c = answers[0].of(block, 0, nu, u, np.uint64)
-        g, ginv = np.unique(pair(prev, tok), return_inverse=True)
-        n = (answers[0].of(block, nu, nb, g, np.uint64) >> np.uint64(1)).astype(float)[ginv]
-        ctx, where = np.unique(prev, return_inverse=True)
-        w = answers[1].of(block, 0, nu, ctx, np.float64)[where]
-        total = context_counts(ctx, u, c)[where] + (w < 0)
-        p = np.where(n > 0, apply_discount(n, d2) / np.maximum(total, 1), np.abs(w) * uni.p(c)[inv])
-        known = c[inv] > 0
-        size = np.diff(np.append(start, len(tok)))
-        add = lambda x: np.add.reduceat(x, start)
-        cols = (ids, held, size, add(known.astype(np.int64)), np.full(len(ids), uni.n), add(uni.base(c.astype(float))[inv]), add(np.log10(p)))
+        g = Grams(ids, raw, order)
+        g.learn_counts(answers[0], block, n)
+        for m in range(2, order + 1):
+            g.learn_weights(answers[m - 1], block, n, m)
+        add = lambda x: np.add.reduceat(x, g.start)
+        known = (g.of[1] > 0).astype(np.int64)
+        cols = (ids, g.held, g.size, add(known), np.full(len(ids), uni.n), add(uni.base(g.of[1])), add(np.log10(g.p(order, uni, d))))
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return scan(docs, evaluate, SCORES, [counts, weights], block_bytes)
-
-
-def context_counts(ctx: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """How often each context was followed in training: a word's count; for the start, the number of ends."""
-    at = np.searchsorted(u, np.where(ctx == START, STOP, ctx))
-    return c[at].astype(float)
+    return scan(docs, evaluate, SCORES, told, block_bytes)
 
 
 def op3_katz(spark, sf_dir: str) -> DataFrame:

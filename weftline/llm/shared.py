@@ -15,6 +15,7 @@ MASK = (1 << 64) - 1
 MUL = 0x9E3779B97F4A7C15
 INV = pow(MUL, -1, 1 << 64)
 CHUNK = 1 << 20
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
@@ -56,8 +59,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: texts may be long, and a batch is held whole by a Python worker."""
+    """Arrow batches of few rows and bytes: texts may be long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -18,14 +18,12 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weftline.llm.blocks import ASK, asked, from_planes, reduce_asked, scan, stable
+from weftline.llm.blocks import ASK, asked, from_planes, reduce_asked, scan, sizes, stable
 from weftline.llm.shared import block_words, grams, mix
 
 WINDOW, SEED, BLOCK, BUCKET_BYTES = 20, 5, 4_000_000, 16_000_000
@@ -116,8 +114,7 @@ class Block:
 def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, texts: bool = False) -> DataFrame:
     """Remove the words that earlier-seen windows cover; columns of KEPT, and kept_text if `texts`."""
     docs = stable(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(12, math.ceil(size / bucket_bytes))
+    n, block_bytes = sizes(docs, bucket_bytes, block_bytes)
     lengths = levels(window, seed)
     told: list[str] = []
 
