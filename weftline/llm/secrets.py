@@ -124,7 +124,13 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each ordered by start, then kind."""
     base = sorted(base_spans(text))
-    more = [s for s in entropy_spans(text) if not any(a < s[2] and s[0] < b for a, _, b in base)]
+    more, at, reach = [], 0, 0
+    for s in entropy_spans(text):  # ordered and apart; reach is the last end of the base spans that begin before s ends
+        while at < len(base) and base[at][0] < s[2]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s[0]:
+            more.append(s)
     return base, sorted(base + more)
 
 
