@@ -3,8 +3,8 @@
 Features are hashed byte bigrams and trigrams of the lower-cased text.  Families are found, not given: the
 languages' mean feature vectors are merged by average linkage until about the square root of their number is
 left.  One-versus-one linear support vector machines (squared hinge) choose the family, and others the language
-within the chosen family.  They are fitted on a bounded sample (`sample` documents over all languages, taken by hash
-of doc_id); prediction reads every text whole.
+within the chosen family.  They are fitted on a bounded sample (`sample` texts, the same number of each language: those of
+least hash, copies once, and at least one of each); prediction reads every text whole.
 
 Cases: null text or text without a letter is `und`, score 0.  A null lang teaches nothing.  Without labels every
 text is `und`.  One language or one family needs no machine and has score 1.  A null doc_id counts as the
@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import batch_of, small_batches, texts
+from weftline.llm.shared import batch_of, draw, hash_of, small_batches, texts
 
 DIM, SAMPLE, UND = 4096, 2400, "und"
-_SPAN = 1 << 20
 _KEEP = np.full(256, 32, np.uint32)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _KEEP[128:] = np.arange(128, 256)
@@ -115,23 +114,31 @@ def _fold(mod: int):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` documents, evenly over the languages; docs: doc_id, text, lang."""
-    small_batches(docs.sparkSession)
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    names = sorted(counts)
-    each = max(1, sample // max(1, len(names)))
-    rate = F.create_map(*(F.lit(v) for n in names for v in (n, int(_SPAN * min(1.0, each / counts[n]))))) if names else None
-    if rate is None:
+    """Fit on `sample` different texts, evenly over the languages, and one a language at least; docs: text, lang."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
+    counts = {r["key"]: r["n"] for r in docs.groupBy("key").agg(F.count("*").alias("n")).collect()}  # one row a language
+    chosen = draw(docs.select("key", hash_of("text").alias("h")), max(1, sample // max(1, len(counts))), counts)
+    if not chosen:
         return Model(np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), [])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)) < F.element_at(rate, F.col("lang")))
 
     def run(batches):
+        seen = set()  # no more than were chosen
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), pa.array([features(t).astype(np.float16).tobytes() for t in texts(b)], pa.binary())], names=["lang", "x"])
-
-    got = chosen.select("doc_id", "text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
-    lang = got.column("lang").to_pylist()
+            lang, h, x = [], [], []
+            for k, i, t in zip(b.column("key").to_pylist(), b.column("h").to_pylist(), texts(b), strict=True):
+                if (k, i) not in seen:
+                    seen.add((k, i))
+                    lang.append(k)
+                    h.append(i)
+                    x.append(features(t).astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(x, pa.binary())], names=["key", "h", "x"])
+
+    few = F.broadcast(spark.createDataFrame(chosen, "key string, h long"))  # `sample` rows
+    got = docs.withColumn("h", hash_of("text")).join(few, ["key", "h"]).mapInArrow(run, "key string, h long, x binary")
+    got = got.groupBy("key", "h").agg(F.first("x").alias("x")).toArrow().sort_by([("key", "ascending"), ("h", "ascending")])
+    lang = got.column("key").to_pylist()
     names = sorted(set(lang))
     x = np.empty((got.num_rows, DIM), np.float32)
     for k, v in enumerate(got.column("x")):

@@ -2,11 +2,11 @@
 
 Features of a text are its words, word pairs (a word and its own repeat share one feature), and the shapes of its
 words (classes of first, second last and last byte, length) and pairs of shapes, hashed to 2^18 places with
-logarithmic counts of unit length.  Training reads a bounded sample of labelled documents (`sample`, by hash of
+logarithmic counts of unit length.  Training reads a bounded sample of labelled documents (the `sample` of least hash of
 doc_id) in hash order, once per epoch; scoring is one sparse dot product per text, over the whole text.
 
 Cases: null or empty text has the bias's score.  Rows without a label or with a null one teach nothing; of several
-labels of a document the largest counts.  No labels at all: score 0.5.  A null doc_id counts as the empty id and
+labels of a document the largest counts; of several texts of a doc_id the one of least hash is learnt.  No labels at all: score 0.5.  A null doc_id counts as the empty id and
 matches no label.  Repeated rows are scored each.  An empty table gives an empty result.  Labels, lang, source and
 doc_id are no inputs; other columns are not read.
 """
@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.langid import _fold
-from weftline.llm.shared import MUL, batch_of, mix, placed_words, small_batches, texts
+from weftline.llm.shared import MUL, batch_of, draw, hash_of, mix, placed_words, small_batches, texts
 
 BITS, SAMPLE, EPOCHS, CUT = 18, 8000, 3, 0.7
-_SPAN = 1 << 20
 _KIND = np.full(256, 3, np.uint64)  # other
 _KIND[ord("a") : ord("z") + 1] = 0
 _KIND[128:] = 0
@@ -71,26 +70,37 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from at most about `sample` labelled documents; labels: doc_id, quality (0 or 1)."""
-    small_batches(docs.sparkSession)
-    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    """Weights from at most `sample` labelled documents; labels: doc_id, quality (0 or 1)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = labels.count()
-    rate = int(_SPAN * min(1.0, sample / max(1, n)))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)) < rate)
+    chosen = draw(labels.select(F.lit(0).alias("key"), hash_of("doc_id").alias("h")), sample, {0: n} if n else {})
+    if not chosen:
+        return Ftrl().weights()
+    few = labels.withColumn("h", hash_of("doc_id")).where(F.col("h") <= max(h for _, h in chosen))  # `sample` rows
+    use = docs.join(F.broadcast(few), "doc_id").withColumn("t", F.xxhash64("text"))
 
     def run(batches):
+        least: dict[int, int] = {}  # the least text hash of each document so far: `sample` of them
         for b in batches:
-            got = features([t.encode("utf-8", "surrogatepass") for t in texts(b)])
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("quality").cast(pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["key", "y", "i", "v"])
-
-    use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows
-    got = use.select(F.xxhash64("doc_id").alias("key"), "text", "quality").mapInArrow(run, "key long, y int, i binary, v binary").toArrow()
-    order = np.argsort(got.column("key").to_numpy(), kind="stable")
+            new = []
+            for k, (i, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True)):
+                if i not in least or t < least[i]:
+                    least[i] = t
+                    new.append(k)
+            b = b.take(pa.array(new, pa.int64()))
+            got = features([t.encode("utf-8", "surrogatepass") for t in texts(b)]) if new else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "t", "quality")), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["h", "t", "y", "i", "v"])
+
+    got = use.select("doc_id", "h", "t", "quality", "text").mapInArrow(run, "h long, t long, y int, i binary, v binary")
+    got = got.groupBy("h").agg(F.min_by(F.struct("y", "i", "v"), "t").alias("x")).select("h", "x.y", "x.i", "x.v").toArrow().sort_by("h")
     y = got.column("y").to_numpy()
     idx, val = got.column("i"), got.column("v")
     model = Ftrl()
     for _ in range(epochs):
-        for k in order.tolist():
+        for k in range(got.num_rows):
             model.learn(np.frombuffer(idx[k].as_buffer(), np.int32).astype(np.int64), np.frombuffer(val[k].as_buffer(), np.float32).astype(float), float(y[k]))
     return model.weights()
 

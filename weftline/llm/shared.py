@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 #: Multiplier of the polynomial word hash and its inverse modulo 2^64.
@@ -58,6 +60,41 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(prefix: str, columns: Iterable[str]) -> str:
+    """The prefix, behind as many more underscores as it takes until no column begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def draw(rows: DataFrame, each: int, counts: dict) -> list[tuple]:
+    """(key, h): the `each` smallest different h of every key; rows: key, h (a hash, 0 or more), counts: rows by key.
+
+    Of most rows only the hash is looked at: what is above a generous bound takes no part, unless a key comes short.
+    """
+    top = Window.partitionBy("key").orderBy("h")
+
+    def least(part: DataFrame) -> list[tuple]:
+        return [tuple(r) for r in part.distinct().withColumn("r", F.row_number().over(top)).where(F.col("r") <= each).select("key", "h").collect()]  # each * keys rows
+
+    if not counts:
+        return []
+    whole = (1 << 63) - 1
+    bound = {k: min(whole, whole * (4 * each + 100) // n) for k, n in counts.items()}
+    limit = F.create_map(*(F.lit(x) for kv in bound.items() for x in kv))
+    got = least(rows.where(F.col("h") <= F.try_element_at(limit, F.col("key"))))
+    have = Counter(k for k, _ in got)
+    short = [k for k in counts if have[k] < each and bound[k] < whole]
+    if short:
+        got = [g for g in got if g[0] not in short] + least(rows.where(F.col("key").isin(short)))
+    return sorted(got)
+
+
+def hash_of(*cols):
+    """A hash of 63 bits, 0 or more."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows and bytes: texts may be long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
