@@ -9,14 +9,17 @@ Equal vectors are searched once, with their smallest k + 1 ids.  Neighbouring le
 vectors, a query once to each bundle with the leaves it opens there.  A larger leaf, or many queries, are cut into chunks
 of bounded size, each pair of chunks one task group; each gives its k best for each query only.
 
-Cases: vectors that are null, zero, or hold null or non-finite numbers take no part, nor do those whose length is not
-the most frequent one (ties: the greater), nor rows with a null id.  Repeated rows count once.  Ties go to the
+Vectors of different lengths have no cosine: each length has a tree of its own, and shares the sample with the others.
+
+Cases: vectors that are null, zero, or hold null or non-finite numbers take no part, nor do rows with a null id.  A
+vector whose length no other has finds nothing.  Repeated rows count once.  Ties go to the
 smaller id.  Fewer candidates than k: all found.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.shared import small_batches, table
 
 K, SAMPLE, BRANCH, LEAF, TARGET, CALIBRATE, CHUNK = 5, 20_000, 8, 50, 0.97, 200, 4096
+_SPAN = 1 << 40
 FOUND = "query_id long, vec_id long, score double"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -35,9 +39,7 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """vec_id, embedding of the rows that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding")).where("vec_id is not null and embedding is not null")
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    v = v.where(F.forall("embedding", good) & F.exists("embedding", lambda x: x != 0))
-    lengths = v.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    return v.where(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
+    return v.where(F.forall("embedding", good) & F.exists("embedding", lambda x: x != 0))
 
 
 def distinct(vectors: DataFrame, keep: int) -> DataFrame:
@@ -55,6 +57,23 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.concatenate(flat) if flat else np.zeros((0, 1))
 
 
+def by_length(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, rows) of the vectors of each length in a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return [(int(d), at := np.flatnonzero(n == d), matrix(column.take(pa.array(at)))) for d in np.unique(n)]
+
+
+def shares(counts: dict[int, int], total: int) -> dict[int, int]:
+    """How many of each kind to take so that they are `total` at most, if there are no more kinds: all of the rare ones, the frequent ones alike."""
+    out, left = {}, total
+    for i, (kind, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[kind] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[kind]
+    return out
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -139,6 +158,16 @@ class Tree:
         return sum(not c for c in self.children)
 
 
+class Forest:
+    """A tree for each length of vectors; `first` is what a tree's nodes are numbered from."""
+
+    def __init__(self, trees: dict[int, Tree]):
+        self.trees, self.first, at = trees, {}, 0
+        for d, t in trees.items():
+            self.first[d] = at
+            at += len(t.children)
+
+
 def lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and values of each row of a list column of ids."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -189,12 +218,15 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def brute_force(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int = K) -> DataFrame:
-    """Exact neighbours of a bounded set of queries among all rows (ids, embedding), in blocks."""
+    """Exact neighbours of a bounded set of queries of one length among all rows (ids, embedding), in blocks."""
     told = vectors.sparkSession.sparkContext.broadcast((qid, q))
 
     def run(batches):
         for b in batches:
-            yield _batch(best(*told.value, lists(b.column("ids")), matrix(b.column("embedding")), k))
+            start, count, flat = lists(b.column("ids"))
+            for length, at, v in by_length(b.column("embedding")):
+                if length == told.value[1].shape[1]:
+                    yield _batch(best(*told.value, (start[at], count[at], flat), v, k))
 
     return ranked(vectors.mapInArrow(run, FOUND), k)
 
@@ -202,50 +234,70 @@ def brute_force(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int = K)
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, target: float = TARGET, calibrate: int = CALIBRATE, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score; both tables have vec_id and embedding and come from valid()."""
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     every = table(distinct(vectors, k + 1), "vectors")
-    n = every.count()
-    if not n:
+    length = F.size("embedding")
+    counts = {r["d"]: r["n"] for r in every.groupBy(length.alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    span = 1 << 30
-    few = every.where(F.pmod(F.xxhash64("embedding"), F.lit(span)) < int(span * min(1.0, sample / n))).toArrow()
-    few = few if few.num_rows else every.limit(1).toArrow()
-    x = matrix(few.column("embedding"))
-    tree = Tree(unit(x), leaf=LEAF)
-    told = spark.sparkContext.broadcast(tree)  # no more nodes than the sample has vectors
+
+    def drawn(total: int, mark: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(smallest ids, vectors) by length: about `total` vectors, by hash."""
+        rate = F.create_map(*(F.lit(x) for d, t in shares(counts, total).items() for x in (d, t * (_SPAN - 1) // counts[d])))
+        few = every.where(F.pmod(F.xxhash64(F.lit(mark), "embedding"), F.lit(_SPAN)) <= F.element_at(rate, length)).toArrow()
+        first = np.array([i[0] for i in few.column("ids").to_pylist()], np.int64)
+        return {d: (first[at], x) for d, at, x in by_length(few.column("embedding"))}
+
+    fitted = drawn(sample, 0)
+    forest = Forest({d: Tree(unit(fitted[d][1]) if d in fitted else np.zeros((0, d))) for d in sorted(counts)})
+    told = spark.sparkContext.broadcast(forest)  # no more nodes than the sample has vectors, and one a length
 
     def place(batches):
         for b in batches:
-            leaf = told.value.leaf_of(unit(matrix(b.column("embedding"))))
+            leaf = np.zeros(b.num_rows, np.int64)
+            for d, at, x in by_length(b.column("embedding")):
+                leaf[at] = told.value.first[d] + told.value.trees[d].leaf_of(unit(x))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("ids"), b.column("embedding")], names=["leaf", "ids", "embedding"])
 
     element = dict(every.dtypes)["embedding"]
     placed = table(every.mapInArrow(place, f"leaf long, ids array<long>, embedding {element}"), "placed")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as leaves
     # Drawn apart from the sample: the tree fits its own vectors better than others.
-    tried = every.where(F.pmod(F.xxhash64(F.lit(1), "embedding"), F.lit(span)) < int(span * min(1.0, calibrate / n))).toArrow()
-    tried = tried if tried.num_rows else few
-    mine, tv = np.array([i[0] for i in tried.column("ids").to_pylist()], np.int64), matrix(tried.column("embedding"))
-    exact = brute_force(every, mine, tv, k)
-    where = every_leaf(exact, placed).collect()  # calibrate * k rows
-    order = {int(i): {leaf: r for r, leaf in enumerate(v)} for i, v in zip(mine, tree.visits(unit(tv), tree.leaves), strict=True)}
-    need = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in where)
-    visits = need[min(len(need) - 1, int(np.ceil(target * len(need))))] if need else tree.leaves
-
-    bins, held = bundle(tree.in_order(), sizes, chunk)
+    tried = {d: x for d, x in drawn(calibrate, 1).items() if forest.trees[d].leaves > 1}
+    exact = [brute_force(every, *x, k) for x in tried.values()]
+    where = every_leaf(reduce(DataFrame.union, exact), placed).collect() if exact else []  # calibrate * k rows
+    met: dict[int, dict[int, list[int]]] = {d: {int(i): [] for i in mine} for d, (mine, _) in tried.items()}
+    of = {int(i): d for d, (mine, _) in tried.items() for i in mine}
+    for r in where:
+        met[of[r["query_id"]]][r["query_id"]].append(r["leaf"])
+    visits = {d: t.leaves for d, t in forest.trees.items()}
+    for d, (mine, x) in tried.items():
+        tree = forest.trees[d]
+        need = []
+        for i, leaves in zip(mine, tree.visits(unit(x), tree.leaves), strict=True):
+            place_of = {forest.first[d] + leaf: r for r, leaf in enumerate(leaves)}
+            need += [place_of[leaf] + 1 for leaf in met[d][int(i)]]
+        if need:
+            visits[d] = sorted(need)[min(len(need) - 1, int(np.ceil(target * len(need))))]
+
+    bins, held = bundle(forest, sizes, chunk)
     where_to = spark.sparkContext.broadcast(bins)  # as many as leaves
 
     def probe(batches):
         for b in batches:
             at, to, leaves = [], [], []
-            for i, row in enumerate(told.value.visits(unit(matrix(b.column("embedding"))), visits)):
-                met = {}
-                for leaf in row:
-                    if leaf in where_to.value:
-                        met.setdefault(where_to.value[leaf], []).append(leaf)
-                at += [i] * len(met)
-                to += met
-                leaves += met.values()
+            for d, places, x in by_length(b.column("embedding")):
+                if d not in visits:
+                    continue
+                first = told.value.first[d]
+                for i, row in zip(places.tolist(), told.value.trees[d].visits(unit(x), visits[d]), strict=True):
+                    opened = {}
+                    for leaf in row:
+                        if first + leaf in where_to.value:
+                            opened.setdefault(where_to.value[first + leaf], []).append(first + leaf)
+                    at += [i] * len(opened)
+                    to += opened
+                    leaves += opened.values()
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(leaves, pa.list_(pa.int64()))], names=["bin", "query_id", "q", "leaves"])
 
@@ -275,15 +327,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     return ranked(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND), k)
 
 
-def bundle(order: list[int], sizes: dict[int, int], chunk: int) -> tuple[dict[int, int], dict[int, int]]:
-    """The bin of each leaf that holds vectors, and the vectors of each bin: neighbouring leaves of up to `chunk` together, a larger leaf alone."""
+def bundle(forest: Forest, sizes: dict[int, int], chunk: int) -> tuple[dict[int, int], dict[int, int]]:
+    """The bin of each leaf that holds vectors, and the vectors of each bin: neighbouring leaves of a tree of up to `chunk` together, a larger leaf alone."""
     bins, held = {}, {}
-    for leaf in order:
-        if n := sizes.get(leaf):
-            if not held or held[len(held) - 1] + n > chunk:
-                held[len(held)] = 0
-            bins[leaf] = len(held) - 1
-            held[bins[leaf]] += n
+    for d, tree in forest.trees.items():
+        new = True
+        for leaf in tree.in_order():
+            if n := sizes.get(forest.first[d] + leaf):
+                if new or held[len(held) - 1] + n > chunk:
+                    held[len(held)] = 0
+                new = False
+                bins[forest.first[d] + leaf] = len(held) - 1
+                held[bins[forest.first[d] + leaf]] += n
     return bins, held
 
 
