@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, blocks, katz, langid, media, mixing, packing, quality, secrets, simhash, substrings
+from weftline.llm import ann, blocks, katz, langid, media, mixing, packing, quality, secrets, shared, simhash, substrings
 from weftline.llm.components import components
 from weftline.llm.shared import block_words, grams
 
@@ -210,6 +210,36 @@ def test_plan_places_each_piece_once(seed):
         assert at <= cap
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit_piece_by_piece(seed):
+    rng = random.Random(seed)
+    cap = rng.choice([16, 50, 200])
+    counts = Counter(min(cap, 1 + int(rng.expovariate(5 / cap))) for _ in range(400))
+    rooms = []
+    for length in sorted(counts.elements(), reverse=True):
+        fits = [r for r in rooms if r >= length]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else cap) - length)
+    used = Counter()
+    for length, runs in packing.plan(dict(counts), cap).items():
+        for (a, first, each, _), b in zip(runs, [*(r[0] for r in runs[1:]), counts[length]], strict=True):
+            for k in range(b - a):
+                used[first + k // each] += length
+    assert sorted(cap - n for n in used.values()) == sorted(rooms)
+
+
+def test_equal_pieces_are_ranked_apart(spark):
+    rows = spark.createDataFrame([(None, 7, "s")] * 3000 + [(1, 2000, "s")] * 5, "doc_id long, length int, _w_salt string").repartition(5)
+    got = packing.pack(rows).collect()
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 3005 and {r._w_salt for r in got} == {"s"} and len(seqs) == math.ceil((3000 - 5 * 6) * 7 / 2044) + 5
+    for ps in seqs.values():
+        assert [a for a, _ in sorted(ps)] == np.cumsum([0, *(n for _, n in sorted(ps))])[:-1].tolist()
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 def slow_factors(counts):
     """Good-Turing factors of counts 1 to 5 from the n-grams' counts, by least squares on logarithms, with Katz's renormalisation."""
@@ -372,6 +402,47 @@ def test_shards_are_tar_files(spark, tmp_path, docs):
     assert all(names[r.shard, r.offset] == (f"{r.digest}.png", r.length) for r in refs)
 
 
+def read_png(raw):
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, size = 8, b"", None
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        body = raw[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(raw[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert tuple(body[8:]) == (8, 0, 0, 0, 0)
+        data += body * (kind == b"IDAT")
+        at += 12 + n
+    assert kind == b"IEND" and at == len(raw)
+    rows = zlib.decompress(data)
+    assert len(rows) == size[1] * (size[0] + 1) and set(rows[:: size[0] + 1]) <= {0}
+    return size, b"".join(rows[r * (size[0] + 1) + 1 : (r + 1) * (size[0] + 1)] for r in range(size[1]))
+
+
+def test_media_against_a_reader_of_its_own(spark, tmp_path, odd):
+    """Shards are opened as tar files and images decoded by other code than the operator's."""
+    import tarfile
+
+    where = f"file://{tmp_path}/s"
+    refs = shared.table(media.store(odd, where, 3000), "refs")
+    images = {}
+    for f in os.listdir(tmp_path / "s"):
+        with tarfile.open(tmp_path / "s" / f) as t:
+            images |= {m.name.removesuffix(".png"): t.extractfile(m).read() for m in t}
+    texts = Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
+    got = Counter((r.doc_id, read_png(images[r.digest])[1][: r.n_bytes]) for r in refs.collect())
+    assert got == texts
+    for r in media.read(media.index(refs), where).collect():
+        (width, height), samples = read_png(images[r.digest])
+        n = Counter(samples)
+        bits = -sum(c / len(samples) * math.log2(c / len(samples)) for c in n.values())
+        bands = [sum(c for b, c in n.items() if b // 16 == k) for k in range(16)]
+        assert (r.width, r.height, r.depth, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (width, height, 8, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(images[r.digest]), hashlib.sha256(images[r.digest]).hexdigest())
+        assert r.feature == f"rows={height};mean={sum(samples) / len(samples):.6f};distinct={len(n)};entropy={abs(bits):.6f};band={bands.index(max(bands))}"
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 def test_mixing_agrees_with_sql(spark):
     import duckdb
@@ -410,6 +481,60 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(odd).collect()))
 
 
+def slow_mix(rows, weights=(5, 2, 1)):
+    """Copies of each row by queueing copies one by one in the order of their finish times."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    key = [hashlib.md5(f"mix|{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest() for i, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    of = {s: sum(n for n, (*_, x) in zip(size, rows, strict=True) if x == s) for s in names}
+    open_, goal = {s: weights[k % 3] for k, s in enumerate(names)}, {}
+    while open_:
+        level = (1.5 * sum(size) - sum(goal.values())) / sum(open_.values())
+        over = [s for s, w in open_.items() if w * level >= 2 * of[s] - 1e-9]
+        for s in over or list(open_):
+            goal[s] = 2 * of[s] if over else open_[s] * level
+        open_ = {s: w for s, w in open_.items() if s not in goal}
+    queue, past = [], Counter()
+    for k in sorted(range(len(rows)), key=key.__getitem__):
+        s = rows[k][2]
+        past[s] += size[k]
+        if size[k]:
+            queue += [((past[s] + e * of[s]) / goal[s], k) for e in (0, 1)]
+    taken, copies = 0, Counter()
+    for _, k in sorted(queue):
+        taken += size[k]
+        if taken > 1.5 * sum(size):
+            break
+        copies[k] += 1
+    return Counter((rows[k][0], size[k], rows[k][2], copies[k]) for k in range(len(rows)))
+
+
+@pytest.mark.parametrize("least", [200, 3])
+def test_mixing_of_rows_without_ids_reruns_alike(spark, monkeypatch, least):
+    """Null and repeated ids on unlike texts, and many equal rows (dealt to ranges of their own), however they are partitioned."""
+    monkeypatch.setattr(mixing, "LEAST", least)
+    rng = random.Random(1)
+    rows = [(None if rng.random() < 0.6 else 5, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 300))), rng.choice("abc")) for _ in range(300)]
+    rows += [(None, "x y z", "b")] * 120 + [(9, "p q", "a")] * 30
+    want = slow_mix(rows)
+    for parts in (1, 4, 7):
+        rng.shuffle(rows)
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts))
+        assert Counter((r.doc_id, r._w_size, r.source, r._w_copies) for r in got.collect()) == want
+
+
+def test_mixing_with_clashing_names(spark):
+    rows = [(i, "a b c " * (i % 5 + 1), "ab"[i % 2], i, -i, "s") for i in range(60)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, source string, _w_size long, _W_copies long, _w_source string")
+    plain = clash.select("doc_id", "text", "source")
+    want = {r.doc_id: (r._w_size, r._w_copies) for r in mixing.mix(plain).collect()}
+    got = mixing.mix(clash).collect()
+    assert {r.doc_id: (r["__w_size"], r["__w_copies"]) for r in got} == want
+    assert all((r["_w_size"], r["_W_copies"], r["_w_source"]) == (r.doc_id, -r.doc_id, "s") for r in got)
+    again = mixing.repeat(clash)
+    assert again.columns == clash.columns and Counter(r.doc_id for r in again.collect()) == {i: c for i, (_, c) in want.items() if c}
+
+
 # 6 and 8 ------------------------------------------------------------------------------------------------------------
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
@@ -427,6 +552,103 @@ def test_language_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 8, 8, 10]
 
 
+def test_draw_is_exact_and_bounded(spark):
+    """The least hashes of each key, whatever its size, and however often one repeats."""
+    rng = random.Random(2)
+    rows = [("a", rng.getrandbits(63)) for _ in range(5000)] + [("b", 7)] * 3000 + [("b", (1 << 63) - 1 - i) for i in range(9)] + [("c", (1 << 63) - 1)]
+    df = spark.createDataFrame(rows, "key string, h long")
+    want = [(k, h) for k in "abc" for h in sorted({h for x, h in rows if x == k})[:4]]
+    assert shared.draw(df, 4, Counter(k for k, _ in rows)) == want
+    assert shared.draw(df.limit(0), 4, {}) == []
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Equal rows, rows without ids and more languages than the sample: each language is learnt, from bounded rows."""
+    taught = []
+    monkeypatch.setattr(langid, "Model", lambda x, y, names: taught.append((len(x), Counter(names[i] for i in y), x)))
+    rows = [(None, "the same words", "aa")] * 2000 + [(None, f"text {i} of a language", "bb") for i in range(2000)] + [(i, f"few {i}", f"l{i}") for i in range(12)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 8)
+    assert taught[0][:2] == (14, {"aa": 1, "bb": 1, **{f"l{i}": 1 for i in range(12)}})
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), 140)
+    assert taught[1][1] == {"aa": 1, "bb": 10, **{f"l{i}": 1 for i in range(12)}}
+    learnt = []
+    monkeypatch.setattr(quality.Ftrl, "learn", lambda self, i, v, y: learnt.append((len(i), y)))
+    docs = spark.createDataFrame([(1, "the same")] * 2000 + [(2, "one two" + " three" * (i % 3)) for i in range(900)] + [(None, "x")] * 500, "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, 1)], "doc_id long, quality int"), 2, epochs=1)
+    assert len(learnt) <= 2
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int"), 100, epochs=1)
+    assert len(learnt) in (3, 4) and {y for _, y in learnt} == {0.0, 1.0}
+
+
+def test_language_features_and_machines_against_slow_ones():
+    mask = (1 << 32) - 1
+    for text in ["", "Ein Haus, 2 Häuser", "aé" * 40, "z" * 5]:
+        keep = [b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode()]
+        n = Counter()
+        for a, b in zip(keep, keep[1:], strict=False):
+            n[((a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask)) >> 20] += 1
+        for a, b, c in zip(keep, keep[1:], keep[2:], strict=False):
+            n[(((((a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask)) * 0xC2B2AE3D) & mask) ^ (c * 0x27D4EB2F & mask)) >> 20] += 1
+        want = np.zeros(langid.DIM)
+        for k, c in n.items():
+            want[k] = math.sqrt(c / n.total())
+        assert np.allclose(langid.features(text), want, atol=1e-6)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=80) > 0.2, 1.0, -1.0).astype(np.float32)
+
+    def loss(w):
+        each = [max(0.0, 1 - float(t) * (float(r @ w[:-1]) + float(w[-1]))) ** 2 for r, t in zip(x, y, strict=True)]
+        parts = [np.mean([e for e, t in zip(each, y, strict=True) if t == s]) for s in (1, -1)]
+        return float(w @ w) / 200 + 10 * (parts[0] + parts[1]) / 2
+
+    w = np.zeros(7)
+    for step in range(300):
+        g = np.array([(loss(w + d) - loss(w - d)) / 2e-5 for d in np.eye(7) * 1e-5])
+        w = w - 0.02 * g
+    assert loss(langid.svm(x, y)) <= loss(w) * 1.01
+
+
+def test_quality_features_and_leader_against_slow_ones():
+    def place(x):
+        x &= (1 << 64) - 1
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by & (1 << 64) - 1
+        return (x ^ x >> 31) >> 64 - quality.BITS
+
+    text = "The cat saw 2 cats, cats cats! Äh"
+    (h, _), words = block_words([text.encode().lower()]), text.encode().split()
+    kind = lambda b: 0 if 97 <= b <= 122 or b >= 128 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 4 + b".,;:!?'\"()-|$%&*#<>=/@_{}[]+~^\\".index(bytes([b]))
+    shape = [kind(w[0]) | kind(w[max(0, len(w) - 2)]) << 8 | kind(w[-1]) << 16 | min(len(w) - 1, 15) << 24 for w in words]
+    n, by = Counter(), int(shared.MUL)
+    n.update(int(x) >> 64 - quality.BITS for x in h)
+    for k in range(1, len(words)):
+        n[1 >> 64 - quality.BITS if h[k] == h[k - 1] else place(int(h[k]) * by + int(h[k - 1]))] += 1
+        n[place(shape[k] * by + shape[k - 1] + 7)] += 1
+    n.update(place(x + (1 << 40)) for x in shape)
+    i, v = quality.features([text.encode()])[0]
+    size = math.sqrt(sum(math.log1p(c) ** 2 for c in n.values()))
+    assert {int(a): round(float(b), 9) for a, b in zip(i, v, strict=True)} == {k: round(math.log1p(c) / size, 9) for k, c in n.items()}
+
+    rng = random.Random(3)
+    rows = [({rng.randrange(40): rng.random() for _ in range(6)}, float(rng.random() < 0.5)) for _ in range(200)]
+    model, z, q = quality.Ftrl(), Counter(), Counter()
+    bias = 1 << quality.BITS
+    weight = lambda k: 0.0 if abs(z[k]) <= 0.001 else -(z[k] - math.copysign(0.001, z[k])) / ((1 + math.sqrt(q[k])) + 0.001)
+    for x, y in rows:
+        model.learn(np.array(list(x)), np.array(list(x.values())), y)
+        x = x | {bias: 1.0}
+        w = {k: weight(k) for k in x}
+        g = 1 / (1 + math.exp(-sum(w[k] * c for k, c in x.items()))) - y
+        for k, c in x.items():
+            s = math.sqrt(q[k] + (g * c) ** 2) - math.sqrt(q[k])
+            z[k] += g * c - s * w[k]
+            q[k] += (g * c) ** 2
+    got = model.weights()
+    assert all(abs(got[k] - weight(k)) < 1e-9 for k in [*range(40), bias])
+
+
 def test_families_join_the_near():
     x = np.array([[1, 0, 0], [0.9, 0.1, 0], [0, 1, 0.2], [0, 1, 0.1]])
     assert sorted(langid.families(x)) == [[0, 1], [2, 3]]
@@ -448,12 +670,14 @@ def test_quality_odd_rows(spark, odd, empty):
 
 # 7 ------------------------------------------------------------------------------------------------------------------
 def slow_nearest(rows, k=5):
-    ok = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 8})
+    ok = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
+    size = {v: math.sqrt(math.sumprod(v, v)) for _, v in ok}
     out = {}
     for i, v in ok:
         if i % 50 == 0:
-            s = ann.cosines(np.broadcast_to(np.array(v), (len(ok), 8)), np.array([w for _, w in ok]))
-            out[i] = sorted((-x, j) for x, (j, _) in zip(s.tolist(), ok, strict=True) if j != i)[:k]
+            near = sorted((-math.sumprod(v, w) / size[v] / size[w], j) for j, w in ok if j != i and len(w) == len(v))[:k]
+            if near:
+                out[i] = [(round(a, 12), j) for a, j in near]
     return out
 
 
@@ -464,7 +688,7 @@ def test_nearest_with_ties_and_odd_vectors(spark, empty):
     v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = defaultdict(list)
     for r in ann.search(v, v.where("vec_id % 50 = 0"), sample=300, target=1.0, calibrate=300, chunk=64).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-r.score, r.vec_id))
+        got[r.query_id].append((round(-r.score, 12), r.vec_id))
     want = slow_nearest(rows)
     assert set(got) == set(want)
     same = sum(len(set(b for _, b in got[i]) & set(b for _, b in want[i])) for i in want) / sum(map(len, want.values()))
@@ -473,6 +697,24 @@ def test_nearest_with_ties_and_odd_vectors(spark, empty):
     assert ann.search(ann.valid(none), ann.valid(none)).count() == 0
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range((8, 8, 8, 3, 5)[i // 7 % 5])]) for i in range(1500)]
+    rows += [(5000, [1.0, 2.0]), (5050, [1.0] * 6), (5051, [1.0] * 5 + [2.0])]
+    v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in ann.search(v, v.where("vec_id % 50 = 0"), sample=400, target=1.0, calibrate=200, chunk=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((round(-r.score, 12), r.vec_id))
+    want = slow_nearest(rows)
+    assert set(got) == set(want) and len({len(v) for i, v in rows if i in want}) == 4 and 5000 not in got
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_shares_take_the_rare_whole():
+    assert ann.shares({8: 1000, 3: 10, 5: 400}, 500) == {3: 10, 8: 245, 5: 245}
+    assert ann.shares({8: 7}, 500) == {8: 7} and ann.shares({1: 5, 2: 5, 3: 5}, 2) == {1: 1, 2: 1, 3: 1}
+
+
 def test_recall_against_brute_force(spark):
     sf = "/root/testdata/sf0.1"
     got = ann.op7_ann(spark, sf).toPandas()
@@ -557,6 +799,22 @@ def test_secrets_base_and_entropy(spark, docs, odd, empty):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
 
 
+def test_a_text_of_many_secrets_is_scanned_in_one_pass():
+    import time
+
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    few = [f"{rng.choice(['password=', 'x ', 'token: ', ''])}{key(30)}{rng.choice([' ', '.', ',', '/'])}{'0a' * rng.randrange(20)}" for _ in range(300)]
+    for t in ["".join(few), " ".join(few), ",".join(few)]:
+        base, every = secrets.spans(t)
+        want = [s for s in secrets.entropy_spans(t) if not any(a < s[2] and s[0] < b for a, _, b in base)]
+        assert every == sorted(base + want) and base == slow_base(t) and want
+    big = " ".join(f"password={key(24)} {key(40)}" for _ in range(70_000))
+    began = time.time()
+    base, every = secrets.spans(big)
+    assert len(base) == 70_000 and len(every) > 139_000 and time.time() - began < 60
+
+
 def test_base64_with_slashes_is_no_path():
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     assert secrets.entropy_spans(key) and "PxRfi" not in secrets.redacted(f"a {key} b")
@@ -629,3 +887,24 @@ def test_near_dedup_keeps_unlinked_rows_of_one_doc_id(spark):
     a, b = "the cat sat on the mat and slept " * 4, "quick brown foxes jump over many lazy dogs " * 4
     d = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b), (3, "one more text that is like none of them")], "doc_id long, text string")
     assert sorted(tuple(r) for r in pipe.near_dedup(spark, d, SF).collect()) == sorted([(1, a), (1, b), (3, "one more text that is like none of them")])
+
+
+def test_near_dedup_of_rows_without_ids(spark):
+    pipe = importlib.import_module("corpus_pipeline")
+    a, b, c = "the cat sat on the mat and slept " * 4, "quick brown foxes jump over many lazy dogs " * 4, "a third text that is like none of the others at all"
+    d = spark.createDataFrame([(None, a, 1)] * 40 + [(None, b, 2)] * 30 + [(3, b, 3), (None, c, 4)], "doc_id long, text string, _w_id long").repartition(4)
+    got = sorted((r.doc_id or 0, r.text, r._w_id) for r in pipe.near_dedup(spark, d, SF).collect())
+    assert got == sorted([(0, a, 1), (3, b, 3), (0, c, 4)])
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
