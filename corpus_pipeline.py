@@ -3,11 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again for the next.
 
 * language_id drops documents without a language (no letter, or null text), and keeps all others.
-* near_dedup keeps, of each group of near copies, one row of the smallest doc_id.  Rows that share a doc_id but not a
-  group are kept for each group.  Rows without a doc_id are named by no group, and stay.
+* near_dedup keeps, of each group of near copies, one row of the smallest doc_id (rows without one come last).  Rows that
+  share a doc_id, or have none, but are in different groups are kept for each group.
 * secret_scan replaces secrets by a mark, and sets n_chars to the new length; no document goes.
 * mix_sources repeats each document as often as the mix takes it (0, 1 or 2 times).
-* pack places each remaining copy into sequences; `copy` tells the copies of a document apart.
+* pack places each remaining copy into sequences; `copy` tells the copies of a document apart (equal pieces of rows that share
+  a doc_id are told apart in the same way).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, packing, secrets, simhash
-from weftline.llm.shared import fresh
+from weftline.llm.shared import free, fresh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id")
-    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("_text_hash"))
-    key = ["doc_id", "_text_hash"]
-    kept = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).join(first, key, "left_semi").dropDuplicates(key)
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    groups = simhash.near_duplicates(docs)
+    w = free("_w_", docs.columns)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias(f"{w}id"), F.col("k.text_hash").alias(f"{w}text"))
+    rows = docs.withColumn(f"{w}hash", F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{w}id")) & (F.col(f"{w}hash") == F.col(f"{w}text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", f"{w}hash"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "piece").orderBy("sequence_id", "offset")) - 1
+    copy = F.row_number().over(Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy("sequence_id", "offset")) - 1
     return packed.withColumn("copy", copy)
 
 
