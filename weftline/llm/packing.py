@@ -3,8 +3,9 @@
 The plan works on counts: lengths from long to short, each placed into the open sequences of least remaining
 room that still hold it, many at a time.  Its input is at most `capacity` counts, and its size depends on the
 number of distinct lengths, not of documents.  Documents then take the planned slots by their rank within their
-length; ranks are taken within (length, salt) and shifted by the counts of smaller salts, so that a length that
-very many pieces share is not ranked in one task.
+length; ranks are taken within (length, salt) and shifted by the counts of smaller salts.  Salts are dealt by a piece's
+place in the written table, whatever it holds, and a length of n pieces has about the square root of n, so neither a
+length nor equal pieces are ranked in one task.
 
 Cases: null or empty text is one token, the end id.  Only longer documents than the capacity are cut; the first
 piece takes the remainder.  Repeated rows are packed as often as they stand there.  A null doc_id is kept.  Very
@@ -14,6 +15,7 @@ long texts are tokenised whole.  An empty table gives an empty result.  Other co
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from bisect import bisect_left
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import small_batches, table, texts
+from weftline.llm.shared import free, small_batches, table, texts
 
-CAPACITY, END, SALT_ROWS = 2048, 0, 2_000
+CAPACITY, END = 2048, 0
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space that a look-ahead would treat otherwise than a plain run.
@@ -133,41 +135,43 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tup
     return dict(runs)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """Give each row (column length, 1 to capacity) its sequence_id and offset; all columns stay."""
+def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Give each row (column length, 1 to capacity) its sequence_id and offset; all other columns stay."""
+    rows = rows.drop("sequence_id", "offset")
+    w = free("_w_", rows.columns)
+    deal, salt, salts, rank, n, shift = (w + x for x in ("deal", "salt", "salts", "rank", "n", "before"))
+    rows = table(rows.withColumn(deal, F.xxhash64(F.monotonically_increasing_id())), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     planned = plan(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=1) // salt_rows))
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in rows.columns]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = before.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("_rank", within.cast("long")).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.drop("_salt", "_before")
-    keep = [c for c in ranked.columns if c != "_rank"]
+    each = rows.sparkSession.createDataFrame([(x, math.isqrt(n - 1) + 1) for x, n in counts.items()], f"`{w}length` long, `{salts}` long")
+    salted = rows.join(F.broadcast(each), F.col("length") == F.col(w + "length")).withColumn(salt, F.pmod(deal, salts))  # as many rows as counts
+    before = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = before.select("length", salt, (F.sum(n).over(Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(shift))
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy(deal)) - 1
+    ranked = salted.withColumn(rank, within.cast("long")).join(before, ["length", salt])
+    ranked = ranked.select(*(c for c in rows.columns if c != deal), (F.col(rank) + F.col(shift)).alias(rank))
+    keep = ranked.columns[:-1]
     told = ranked.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in planned.items()})
 
     def run(batches):
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            length, at = b.column("length").to_numpy(), b.column(rank).to_numpy()
+            seq, off = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             for x in np.unique(length):
                 mine = length == x
                 runs = told.value[int(x)]
-                r = runs[np.searchsorted(runs[:, 0], rank[mine], side="right") - 1]
-                k = rank[mine] - r[:, 0]
+                r = runs[np.searchsorted(runs[:, 0], at[mine], side="right") - 1]
+                k = at[mine] - r[:, 0]
                 seq[mine] = r[:, 1] + k // r[:, 2]
                 off[mine] = r[:, 3] + k % r[:, 2] * x
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(seq), pa.array(off)], names=[*keep, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank)
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    rows = table(pieces(docs, path, capacity), "pieces")
-    return pack(rows, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(docs, path, capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
