@@ -162,7 +162,7 @@ def scan(docs: DataFrame, work: Callable, schema: str, told: list[str], block_by
 def reduce_asked(requests: DataFrame, answer: Callable, name: str) -> tuple[str, DataFrame]:
     """answer(bucket, [(keys, vals)]) -> ([values by request], meta); gives the answers' folder and the meta rows.
 
-    meta is a dict of string to number, one row each, under block -1.
+    meta is a dict of string to number, one row each, under block -1 and a negative pid.
     """
     spark = requests.sparkSession
 
@@ -172,10 +172,10 @@ def reduce_asked(requests: DataFrame, answer: Callable, name: str) -> tuple[str,
         bucket = rows[0][0]
         told, meta = answer(bucket, [(unpack_keys(r[5]), split_vals(r[6])) for r in rows])
         out = [(r[1], r[2], bucket, r[3], r[4], planes(v)) for r, v in zip(rows, told, strict=True)]
-        out += [(-1, -1, bucket, 0, 0, f"{k}={v!r}".encode()) for k, v in meta.items()]
+        out += [(-1 - bucket % 32, -1, bucket, 0, 0, f"{k}={v!r}".encode()) for k, v in meta.items()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _TELL, strict=True)], schema=_TELL)
 
     path = fresh(spark, name)
     requests.groupBy("bucket").applyInArrow(run, TELL).repartition("pid").write.partitionBy("pid").parquet(path)
-    meta = spark.read.schema(TELL).parquet(path).where("pid = -1").select(F.split(F.col("vals").cast("string"), "=").alias("kv"))
+    meta = spark.read.schema(TELL).parquet(path).where("pid < 0").select(F.split(F.col("vals").cast("string"), "=").alias("kv"))
     return path, meta.groupBy(F.col("kv")[0].alias("name")).agg(F.sum(F.col("kv")[1].cast("double")).alias("value"))
