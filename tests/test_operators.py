@@ -204,3 +204,188 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert math.isfinite(spark.sql("SELECT count(*) FROM arrivals_live").first()[0])
+
+
+def test_evidence_of_imports_and_of_nothing_strong(spark):
+    r = detect(spark, [("crate/net/wire.rs", "struct Zzz")], [("b.rs", "use crate::net::wire")])
+    assert r.prediction and (r.relation, r.symbol, r.direction, r.consumer_file, r.confidence) == ("import_path_dependency", "crate::net::wire", "A->B", "b.rs", 0.7)
+    r = detect(spark, [("pkg/mod.py", "x = 1\nmaking(2)")], [("b.py", "import other.mod")])
+    assert r.prediction and r.symbol == "other.mod"
+    files = spark.createDataFrame([("A", "a.py", "def long_name_here():\n    pass"), ("B", "b.py", "def long_name_here_too():\n    pass\nx = long_name")], "side string, path string, text string").withColumn("pair", F.lit(1))
+    events = spark.createDataFrame([(1, "A", "a.py", "ident", "shared_identifier"), (1, "B", "b.md", "ident", "shared_identifier"), (1, "B", "b.md", "ident", "short")], "pair int, side string, file string, kind string, name string")
+    every = spark.createDataFrame([(1,), (2,)], "pair int")
+    got = {r.pair: r for r in symbols.verdict(symbols.detect(events, ["pair"]), ["pair"], pairs=every).collect()}
+    for k, confidence, n in ((1, 0.35, 1), (2, 0.0, 0)):
+        r = got[k]
+        assert (r.prediction, r.direction, r.relation, r.symbol, r.definition_file, r.consumer_file, r.confidence, r.n_evidence) == (False, "none", "none", "", "", "", confidence, n)
+    assert symbols.symbol_events(files, ["pair", "side"], text="text").count() > 0
+
+
+def test_relations_and_their_files(spark):
+    """Every relation, both ways; any deleted name counts as a deleted definition."""
+    rows = [("A", "d.py", "def", "made"), ("B", "u.py", "use", "made"), ("B", "c.yml", "deleted_config_key", "conf.key"), ("A", "r.py", "use", "conf.key"), ("A", "e.ts", "export", "shown"), ("B", "i.ts", "import", "shown"), ("A", ".env", "env", "HOME_DIR"), ("B", "x.py", "env", "HOME_DIR"), ("B", "t.sql", "schema", "orders"), ("A", "m.md", "ident", "orders")]
+    e = spark.createDataFrame([(1, *r) for r in rows], "pair int, side string, file string, kind string, name string")
+    got = {(r.relation, r.direction, r.symbol, r.definition_file, r.consumer_file) for r in symbols.detect(e, ["pair"]).collect()}
+    assert got == {
+        ("changed_definition_used_by_partner", "A->B", "made", "d.py", "u.py"), ("deleted_definition_used_by_partner", "B->A", "conf.key", "", "r.py"),
+        ("config_key_producer_consumer", "B->A", "conf.key", "c.yml", ""), ("changed_definition_used_by_partner", "A->B", "shown", "", ""), ("exported_change_used_by_partner", "A->B", "shown", "e.ts", ""),
+        ("env_var_producer_consumer", "A->B", "HOME_DIR", ".env", "x.py"), ("env_var_producer_consumer", "B->A", "HOME_DIR", "x.py", ".env"), ("schema_field_intersection", "B->A", "orders", "t.sql", ""),
+    }
+    pairs = spark.createDataFrame([("r", 1, 2)], "repo string, pr_a int, pr_b int")
+    by_request = e.select(F.when(F.col("side") == "A", 1).otherwise(2).alias("pr"), "file", "kind", "name")
+    again = {(r.relation, r.direction, r.symbol, r.definition_file, r.consumer_file) for r in symbols.detect_requests(pairs, by_request, ["repo", "pr_a", "pr_b"]).collect()}
+    assert again == got
+    v = symbols.verdict(symbols.detect(e, ["pair"]), ["pair"])
+    b = symbols.verification_bundle(v, symbols.detect(e, ["pair"]), ["pair"], top=2).first()
+    assert b.direction == "both" and b.relation == "deleted_definition_used_by_partner" and [x.place for x in b.evidence] == [1, 2] and b.human_label == ""
+
+
+def test_hunks_with_lines_between(spark, tmp_path):
+    from weftline.operators import hunks
+
+    text = "a\nb\n<<<<<<< x\n1\n=======\n2\n>>>>>>> y\nc\n<<<<<<< x\n<<<<<<<no\n||||||| base\n0\n=======\n4\n>>>>>>>not yet\n>>>>>>> y\nd\ne\nf\ng"
+    got = hunks.parse_hunks(text)
+    assert [(h["pre"], h["ours"], h["theirs"], h["post"]) for h in got] == [(["a", "b"], ["1"], ["2"], ["c"]), (["a", "b", "c"], ["<<<<<<<no"], ["4", ">>>>>>>not yet"], ["d", "e", "f"])]
+    assert hunks.parse_hunks("<<<<<<<\nx") == [] and hunks.parse_hunks("<<<<<<< a\nx")[0]["ours"] == ["x"] and hunks.parse_hunks(None) == []
+    d = hunks.explode_hunks(spark.createDataFrame([("p", text)], "path string, text string"), ["path"]).withColumn("truth", F.when(F.col("hunk") == 0, F.array(F.lit("1"), F.lit("2"))))
+    hunks.write_bundle(d, f"{tmp_path}/bundle")
+    back = hunks.read_bundle(spark, f"{tmp_path}/bundle")
+    assert sorted(map(str, back.collect())) == sorted(map(str, d.select(back.columns).collect()))
+    s = {r.resolver: (r.n, r.exact_rate) for r in hunks.resolver_summary(hunks.resolver_scores(back)).collect()}
+    assert s == {"ours": (1, 0.0), "theirs": (1, 0.0), "union_ot": (1, 1.0), "union_to": (1, 0.0), "best": (1, 1.0)}
+    assert tuple(hunks.locatable(back, ["path"]).first()) == (2, 1, 0.5, 0.5, 1)
+
+
+def test_quotas_are_cut_and_topped_up(spark):
+    d = spark.range(200).select("id", (F.col("id") % 2 == 0).alias("a"), (F.col("id") % 3 == 0).alias("b"))
+    q = {"a": (F.col("a"), 30), "b": (F.col("b"), 30)}
+    for total in (20, 100, 500):
+        got = sampling.quota_sample(d, q, total, ["id"]).collect()
+        assert len(got) == len({r.id for r in got}) == min(total, 200) and sum(r.drawn for r in got) <= 60
+    assert all(r.drawn for r in sampling.quota_sample(d, q, 20, ["id"]).collect())
+
+
+def test_dev_counts_its_own_rows(spark):
+    """What test has too many is not taken from dev."""
+    sizes = [13, 7, 21, 4, 9, 30, 2, 5, 11, 8]
+    d = spark.createDataFrame([(f"r{i}",) for i, n in enumerate(sizes) for _ in range(n)], "repo string")
+    import hashlib
+
+    order = sorted(range(10), key=lambda i: hashlib.md5(f"{sampling.S.seed}|r{i}".encode()).hexdigest())
+    for least, dev_share in ((10, 0.2), (10, 0.4), (1000, 0.2)):
+        n, test, dev, want = sum(sizes), 0, 0, {}
+        for i in order:
+            if test < round(n * 0.6):
+                want[f"r{i}"], test = "test", test + sizes[i]
+            elif n < least or dev < round(n * dev_share):
+                want[f"r{i}"], dev = "dev", dev + sizes[i]
+            else:
+                want[f"r{i}"] = "train"
+        assert {r.repo: r.split for r in sampling.repo_split(d, min_train=least, dev_share=dev_share).collect()} == want
+
+
+def test_sums_over_ranges_equal_plain_ones(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "RANGES", 8)
+    rng = np.random.default_rng(1)
+    rows = [(i, float(np.round(rng.normal(), 2)), int(rng.random() < 0.3)) for i in range(900)]
+    d = spark.createDataFrame(rows, "id int, s double, y int")
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    assert ranking.auc(d, "s", "y").first().auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg), abs=1e-9)
+    values = np.array([s for _, s, _ in rows])
+    got = {r.id: r.rank for r in ranking.mid_ranks(d, "s", ["id"]).collect()}
+    assert all(got[i] == (values < s).sum() + ((values == s).sum() + 1) / 2 for i, s, _ in rows)
+    got = {r.id: r.share for r in ranking.cumulative_share(d, "s").collect()}
+    assert all(got[i] == pytest.approx((values <= s).mean(), abs=1e-9) for i, s, _ in rows)
+    f = ranking.folds(d, ["id"], 7, 3).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in f) == [128] * 3 + [129] * 4 and {r.fold for r in f if r["count"] == 129} == {1, 2, 3, 4}
+    r = ranking.binary_report(d, "s", "y").first()
+    hit = [y for _, s, y in rows if s >= 0.5]
+    assert (r.n, r.n_pos, r.n_neg) == (900, len(pos), len(neg)) and r.precision == pytest.approx(sum(hit) / len(hit), abs=1e-9) and r.recall == pytest.approx(sum(hit) / len(pos), abs=1e-9)
+    r = ranking.binary_report(d.where("y = 1"), "s", "y").first()
+    assert r.auroc is None and r.auprc is None and r.n_neg == 0
+
+
+def test_gate_by_a_function_equals_scores(spark):
+    import random
+
+    from weftline.operators import schedule
+
+    rng = random.Random(4)
+    e = spark.createDataFrame([(f"r{i % 2}", i, rng.randrange(1, 40), rng.randrange(50)) for i in range(30)], "repo string, pr int, dur long, arr long")
+    score = lambda x, y: (min(x, y) * 7 + max(x, y) * 3) % 10 / 10
+    pairs = spark.createDataFrame([(f"r{x % 2}", x, y, score(x, y)) for x in range(30) for y in range(x + 2, 30, 2)], "repo string, pr_a int, pr_b int, score double")
+    plain = lambda d: sorted(tuple(r) for r in d.collect())
+    for tau in (0.2, 0.7):
+        assert plain(schedule.gated(e, None, tau, score_fn=score)) == plain(schedule.gated(e, pairs, tau))
+    both = schedule.gated_at(e, pairs, (0.2, 0.7))
+    assert plain(both.where("tau = 0.7").drop("tau")) == plain(schedule.gated(e, pairs, 0.7))
+
+
+def slow_gate(prs, blocked):
+    """Minute by minute: whoever waits starts once nobody who runs blocks him, in order of arrival."""
+    order, start, end, now, waiting, running = sorted(prs, key=lambda p: (p[1], p[0])), {}, {}, 0, [], set()
+    while len(start) < len(prs):
+        done = {p for p in running if end[p] <= now}
+        running -= done
+        arrived = [p for p in order if p[1] == now]
+        for batch in ([waiting, arrived] if done else [[], arrived]):
+            for p in list(batch):
+                if not any(blocked(p[0], q) for q in running):
+                    start[p[0]] = now
+                    end[p[0]] = now + p[2]
+                    running.add(p[0])
+                    waiting = [w for w in waiting if w[0] != p[0]]
+                elif p not in waiting:
+                    waiting.append(p)
+        now += 1
+    return start
+
+
+def test_gate_against_a_clock():
+    import random
+
+    from weftline.operators import schedule
+
+    for seed in range(20):
+        rng = random.Random(seed)
+        prs = [(i, rng.randrange(60), rng.randrange(1, 25)) for i in range(20)]
+        bad = {frozenset((a, b)) for a in range(20) for b in range(a) if rng.random() < 0.25}
+        blocked = lambda a, b: frozenset((a, b)) in bad  # noqa: E731, B023
+        got = schedule.gate([p[0] for p in prs], [p[1] for p in prs], [p[2] for p in prs], blocked)
+        assert dict(enumerate(got)) == slow_gate(prs, blocked)
+
+
+def test_models_against_plain_newton(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * [1, 2, 0.5] + [0, 1, 3]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [0.8, -0.5, 0.2])))).astype(int)
+    names = ["a", "b", "c"]
+    d = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, c double, y int")
+
+    def newton(x, y, l2):
+        x1, w = np.hstack([np.ones((len(x), 1)), x]), np.zeros(4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x1 @ w))
+            pen = l2 * np.array([0, 1, 1, 1])
+            w = w - np.linalg.solve(x1.T @ (x1 * (p * (1 - p))[:, None]) + np.diag(pen), x1.T @ (p - y) + pen * w)
+        return w
+
+    assert np.allclose(models.fit_hybrid(d, names, "y"), newton(x, y, 1.0), atol=1e-5)
+    train, test = d.where("id % 2 = 0"), d.where("id % 2 = 1")
+    mu, sd = x[::2].mean(0), x[::2].std(0) + 1e-9
+    w = newton((x[::2] - mu) / sd, y[::2], 1e-4)
+    got = {r.id: r.prob for r in models.train_to_test(train, test, names, "y", ["id"]).collect()}
+    assert np.allclose([got[i] for i in range(1, 400, 2)], 1 / (1 + np.exp(-(np.hstack([np.ones((200, 1)), (x[1::2] - mu) / sd]) @ w))), atol=1e-5)
+    r = models.cv_auc(d, names, "y", ["id"]).first()
+    assert 0.6 < r.auc < 1 and 0.6 < r.mean_fold_auc < 1
+
+
+def test_pending_repos(spark):
+    p = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(7)] + [("c", 1)], "repo string, k int")
+    done = p.where("repo = 'b' and k > 2")
+    assert [tuple(r) for r in pools.pending_repos(p, done, ["repo", "k"]).collect()] == [("a", 5), ("b", 3), ("c", 1)]
+    assert [r.repo for r in pools.pending_repos(p, None, ["repo", "k"], 1).collect()] == ["b"]

@@ -15,13 +15,41 @@ SF = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F  # noqa: E402
 
 
-def test_pair_cosine_by_hand(spark):
-    d = spark.createDataFrame([(1, "a a b", "a c"), (2, "same words", "same words"), (3, "", "x"), (4, None, None), (5, "p", "q")], "id int, a string, b string")
-    got = {r.id: r.cosine for r in T.pair_cosine(d, ["id"], F.col("a"), F.col("b")).collect()}
-    k = (math.log(1.5) + 1) ** 2
-    want = 2 / math.sqrt((4 + k) * (1 + k))
-    assert got[1] == pytest.approx(want, abs=1e-8) and got[2] == pytest.approx(1)
-    assert got[3] == got[4] == got[5] == 0 and len(got) == 5
+def slow_cosines(rows, log_tf, train=None):
+    """Vectors over one vocabulary: every side of every (training) pair is a document."""
+    import re
+    from collections import Counter
+
+    words = lambda t: Counter(re.findall("[a-z0-9_]+", (t or "").lower()))
+    docs = [words(t) for r in (rows if train is None else train) for t in r[1:]]
+    df = Counter(w for d in docs for w in d)
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1
+    out = {}
+    for i, a, b in rows:
+        x, y = ({w: (1 + math.log(c) if log_tf else c) * idf(w) for w, c in words(t).items()} for t in (a, b))
+        n = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        out[i] = round(sum(v * y.get(w, 0) for w, v in x.items()) / n, 9) if n else 0.0
+    return out
+
+
+ROWS = [(1, "a a b", "a c"), (2, "same words", "same words"), (3, "", "x"), (4, None, None), (5, "p", "q"), (6, "a a b", "same c")]
+
+
+@pytest.mark.parametrize("log_tf", [True, False])
+def test_tfidf_is_fitted_over_all_texts(spark, log_tf):
+    d = spark.createDataFrame(ROWS, "id int, a string, b string")
+    got = {r.id: r.cosine for r in T.tfidf_cosine(d, ["id"], F.col("a"), F.col("b"), log_tf).collect()}
+    assert got == pytest.approx(slow_cosines(ROWS, log_tf), abs=2e-9) and got[2] == 1 and got[3] == got[4] == got[5] == 0
+    few = d.where("id < 3")
+    got = {r.id: r.cosine for r in T.tfidf_cosine(d, ["id"], F.col("a"), F.col("b"), log_tf, train=few).collect()}
+    assert got == pytest.approx(slow_cosines(ROWS, log_tf, ROWS[:2]), abs=2e-9)
+
+
+def test_hybrid_cosine_takes_titles_and_bodies(spark):
+    schema = "id int, title_a string, title_b string, body_a string, body_b string, dup_title boolean, conflict boolean, cross_agent boolean, near_miss boolean"
+    rows = [(i, a, b, "z " * i, None if i == 2 else "b c", False, True, None, False) for i, a, b in ROWS]
+    got = {r.id: r.cosine for r in T.hybrid_features(spark.createDataFrame(rows, schema), ["id"]).collect()}
+    assert got == pytest.approx(slow_cosines([(r[0], f"{r[1] or ''} {r[3]}", f"{r[2] or ''} {r[4] or ''}") for r in rows], False), abs=2e-9)
 
 
 def test_indicators_see_configuration_files(spark):
@@ -86,3 +114,28 @@ def test_result_tables_and_manifest(spark, tmp_path, monkeypatch):
     assert main(["tables", "--data", SF, "--out", f"{tmp_path}/t"], spark) == 0
     m = json.load(open(f"{tmp_path}/t/manifest.json"))
     assert m["row_counts"] == {"pool_counts": 1, "macro_rate": 1} and "documents.parquet" in m["inputs"] and len(m["inputs"]["documents.parquet"]) == 64
+
+
+def test_features_are_counted_on_training_pairs_alone(spark):
+    import datetime as dt
+
+    t = lambda d: dt.datetime(2024, 1, d)
+    schema = "repo string, pr_a int, pr_b int, agent_a string, agent_b string, title_a string, title_b string, files_a array<string>, files_b array<string>, opened_a timestamp, closed_a timestamp, opened_b timestamp, closed_b timestamp, conflict boolean"
+    row = lambda repo, a, x, y, ta, tb, c: (repo, a, a + 100, x, y, ta, tb, ["f.py"], ["f.py"], t(1), t(5), t(2), t(4), c)
+    train = spark.createDataFrame([row("r", 1, "x", "y", "add a", "add b", True), row("r", 2, "y", "x", "add a", "fix", False), row("s", 3, "x", "x", "b", "c", False)], schema)
+    test = spark.createDataFrame([row("r", 4, "x", "x", "add a", "add new", True), row("t", 5, "z", "x", "new", "new", False)], schema)
+    x, y, names = T.trained_features(train, test, ["repo", "pr_a", "pr_b"], F.col("title_a"), F.col("title_b"))
+    assert names == ["repo_rate", "log_overlap", "cosine", "title_jaccard", "same_agent", "pair_0"]
+    got = {r.pr_a: r for r in y.collect()}
+    assert (got[4].repo_rate, got[4].same_agent, got[4].pair_0) == (0.5, 1, 1) and got[5].pair_0 == 0
+    assert got[5].repo_rate == pytest.approx(1 / 3) and got[4].log_overlap == pytest.approx(math.log1p(48), abs=1e-8)
+    want = slow_cosines([(4, "add a", "add new"), (5, "new", "new")], True, [(1, "add a", "add b"), (2, "add a", "fix"), (3, "b", "c")])
+    assert {i: r.cosine for i, r in got.items()} == pytest.approx(want, abs=2e-9) and x.count() == 3
+
+
+def test_one_hot_leaves_out_the_most_frequent(spark):
+    d = spark.createDataFrame([("b",), ("b",), ("a",), ("c",), (None,)], "v string")
+    assert T.frequent_values(d.where("v is not null"), "v") == ["a", "c"]
+    assert [tuple(r) for r in T.one_hot(d.where("v is not null"), "v").orderBy("v").collect()] == [("a", 1, 0), ("b", 0, 0), ("b", 0, 0), ("c", 0, 1)]
+    with pytest.raises(ValueError, match="more than"):
+        T.frequent_values(d, "v", 2)

@@ -23,6 +23,7 @@ BLIND_PARTS = ("merged", "closed", "pool", "stratum", "incl_prob", "pi_", "llm",
 
 @dataclass(frozen=True)
 class Settings:
+    # Thresholds, sizes, targets and shares of the study.
     dup_min_tokens: int = 3
     dup_jaccard: float = 0.5
     dup_containment_chars: int = 15
@@ -40,6 +41,7 @@ class Settings:
     bootstrap: int = 5000
     extreme: float = 50.0
     test_share: float = 0.6
+    dev_share: float = 0.4
     min_train: int = 200
     seed: int = 20260824
     body_chars: int = 1200

@@ -10,27 +10,32 @@ from pyspark.sql import functions as F
 
 HUNK = "hunk int, pre array<string>, ours array<string>, theirs array<string>, post array<string>"
 LONG = 20_000
+RESOLVERS = ("ours", "theirs", "union_ot", "union_to")
 
 
 def parse_hunks(text: str | None, context: int = 3) -> list[dict]:
-    """Conflict hunks of a file: both sides and up to `context` lines around; the base section is skipped."""
-    out, open_hunk, side, plain = [], None, None, []
+    """Conflict hunks of a file: both sides and up to `context` lines around; the base section is skipped.
+
+    Lines before are the last ones outside all hunks so far; lines after end at the next hunk.  A hunk that the file's end cuts off counts.
+    """
+    out, side, plain, after = [], None, [], 0
     for line in (text or "").split("\n"):
-        if line.startswith("<<<<<<<") and side is None:
-            open_hunk, side = {"pre": plain[-context:], "ours": [], "theirs": [], "post": []}, "ours"
-        elif line.startswith("|||||||") and side == "ours":
+        if side is None and line.startswith("<<<<<<< "):
+            out.append({"hunk": len(out), "pre": plain[-context:], "ours": [], "theirs": [], "post": []})
+            side = "ours"
+        elif side == "ours" and line.startswith("||||||| "):
             side = "base"
-        elif line.startswith("=======") and side in ("ours", "base"):
+        elif side in ("ours", "base") and line.startswith("======="):
             side = "theirs"
-        elif line.startswith(">>>>>>>") and side == "theirs":
-            out.append({"hunk": len(out)} | open_hunk)
-            side, plain = None, []
+        elif side == "theirs" and line.startswith(">>>>>>> "):
+            side, after = None, context
         elif side in ("ours", "theirs"):
-            open_hunk[side].append(line)
+            out[-1][side].append(line)
         elif side is None:
             plain.append(line)
-            if out and len(out[-1]["post"]) < context and len(plain) <= context:
+            if after:
                 out[-1]["post"].append(line)
+                after -= 1
     return out
 
 
@@ -76,27 +81,44 @@ def explode_hunks(files: DataFrame, key: list[str], text: str = "text") -> DataF
 
 
 def resolver_scores(hunks: DataFrame, truth: str = "truth") -> DataFrame:
-    """For each trivial resolver: exact and similar to the lines that stand there in the end."""
-    sides = {"ours": F.col("ours"), "theirs": F.col("theirs"), "union_ot": F.concat("ours", "theirs"), "union_to": F.concat("theirs", "ours")}
+    """For each trivial resolver: exact and similar to the lines that stand there in the end; null where these are not known."""
 
-    @F.pandas_udf("exact boolean, sim double")
-    def score(got: pd.Series, want: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([similarity(g, w) for g, w in zip(got, want, strict=True)], columns=["exact", "sim"])
+    @F.pandas_udf(", ".join(f"{n}_exact boolean, {n}_sim double" for n in RESOLVERS))
+    def score(ours: pd.Series, theirs: pd.Series, want: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b, w in zip(ours, theirs, want, strict=True):
+            tried = (a, b, f"{a}\n{b}", f"{b}\n{a}")
+            rows.append([None] * 8 if w is None else [x for t in tried for x in similarity(t, w)])
+        return pd.DataFrame(rows, columns=[f"{n}_{x}" for n in RESOLVERS for x in ("exact", "sim")])
 
-    d = hunks
-    for name, side in sides.items():
-        d = d.withColumn("_s", score(F.array_join(side, "\n"), F.array_join(truth, "\n"))).withColumns({f"{name}_exact": F.col("_s.exact"), f"{name}_sim": F.col("_s.sim")}).drop("_s")
-    return d
+    lines = lambda c: F.array_join(c, "\n")
+    d = hunks.withColumn("_s", score(lines("ours"), lines("theirs"), lines(truth)))
+    return d.select(*hunks.columns, *(F.col(f"_s.{n}_{x}").alias(f"{n}_{x}") for n in RESOLVERS for x in ("exact", "sim")))
 
 
 def resolver_summary(scored: DataFrame, names=("ours", "theirs", "union_ot", "union_to")) -> DataFrame:
-    """Per resolver and for the best of all: exact rate, rate of similarity of .9 or more, mean similarity."""
+    """Per resolver and for the best of all, over the hunks that have a truth: exact rate, rate of similarity of .9 or more, mean similarity."""
     rows = [F.struct(F.lit(n).alias("resolver"), F.col(f"{n}_exact").alias("exact"), F.col(f"{n}_sim").alias("sim")) for n in names]
     rows.append(F.struct(F.lit("best").alias("resolver"), F.greatest(*(F.col(f"{n}_exact") for n in names)).alias("exact"), F.greatest(*(F.col(f"{n}_sim") for n in names)).alias("sim")))
-    t = scored.select(F.inline(F.array(*rows)))
+    t = scored.select(F.inline(F.array(*rows))).where("exact is not null")
     return t.groupBy("resolver").agg(F.count("*").alias("n"), F.round(F.avg(F.col("exact").cast("int")), 6).alias("exact_rate"), F.round(F.avg((F.col("sim") >= 0.9).cast("int")), 6).alias("sim90_rate"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
+def locatable(hunks: DataFrame, group: list[str], truth: str = "truth") -> DataFrame:
+    """One row: hunks, those whose place is known in the end, their share, and its mean over the groups."""
+    g = hunks.groupBy(*group).agg(F.count("*").alias("n"), F.count(truth).alias("k"))
+    return g.agg(F.sum("n").alias("n_hunks"), F.sum("k").alias("n_located"), F.round(F.sum("k") / F.sum("n"), 6).alias("share"), F.round(F.avg(F.col("k") / F.col("n")), 6).alias("macro_share"), F.count("*").alias("n_groups"))
+
+
+def write_bundle(hunks: DataFrame, path: str) -> None:
+    """Hunks as gzipped JSON lines, lists as lists."""
+    hunks.write.mode("append").option("compression", "gzip").json(path)
+
+
+def read_bundle(spark, path: str, key: str = "path string") -> DataFrame:
+    return spark.read.schema(f"{key}, {HUNK}, truth array<string>").json(path)
+
+
 def merge_status(exit_code, missing_ref, merge_base, conflict_files, timed_out):
     """Status of a trial merge from what the tool reported."""
     return (

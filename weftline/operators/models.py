@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import sigmoid
 from weftline.operators.ranking import auc, folds
+from weftline.sources.scratch import settle
 
 
 def moments(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -35,7 +36,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 1e-
         h = F.col("_p") * (1 - F.col("_p")) + 1e-9
         r = d.agg(*(F.sum(x[i] * (F.col("_p") - F.col("_y"))).alias(f"g{i}") for i in range(k)), *(F.sum(x[i] * x[j] * h).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
         g = np.array([r[f"g{i}"] or 0.0 for i in range(k)]) + l2 * np.append(0, w[1:])
-        hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + l2 * np.eye(k)
+        hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + l2 * np.diag([0.0] + [1.0] * (k - 1)) + 1e-12 * np.eye(k)
         step = np.linalg.solve(hess, g)
         w = w - step
         if np.abs(step).max() < tol:
@@ -43,9 +44,9 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 1e-
     return w
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, key: list[str], k: int = 5, seed: int = 0, iterations: int = 25) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], label: str, key: list[str], k: int = 5, seed: int = 0, iterations: int = 200) -> DataFrame:
     """Every row's probability from the model of the other folds; scales are those of the fold's training rows."""
-    dealt = folds(df.select(*key, *features, label), key, k, seed).cache()
+    dealt = settle(folds(df.select(*key, *features, label), key, k, seed))
     out = None
     for f in range(1, k + 1):
         train, test = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
@@ -57,8 +58,22 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, key: list[str],
 
 
 def cv_auc(df: DataFrame, features: list[str], label: str, key: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """Pooled AUC of out-of-fold scores."""
-    return auc(out_of_fold(df, features, label, key, k, seed), "prob", label)
+    """Pooled AUC of out-of-fold scores, and the mean of the folds' own."""
+    scored = settle(out_of_fold(df, features, label, key, k, seed))
+    each = auc(scored, "prob", label, ["fold"], 15).agg(F.round(F.avg("auc"), 9).alias("mean_fold_auc"))
+    return auc(scored, "prob", label).crossJoin(F.broadcast(each))  # one row
+
+
+def train_to_test(train: DataFrame, test: DataFrame, features: list[str], label: str, key: list[str], l2: float = 1e-4) -> DataFrame:
+    """Probabilities of test's rows from a model of train's, scaled by train's means and deviations."""
+    m = moments(train, features)
+    w = fit_logistic(settle(standardized(train, m).select(*features, label)), features, label, l2)
+    return standardized(test, m).select(*key, label, sigmoid(logit(features, w)).alias("prob"))
+
+
+def fit_hybrid(df: DataFrame, features: list[str], label: str) -> np.ndarray:
+    """Bias and weights on the features as they are, with the penalty of half the squared weights."""
+    return fit_logistic(settle(df.select(*features, label)), features, label, l2=1.0)
 
 
 # Weights (bias first), means and deviations of the gate that predicts interference.

@@ -16,8 +16,16 @@ def later_is_b() -> Column:
     return F.coalesce(F.col("opened_b") >= F.col("opened_a"), F.lit(False))
 
 
-def pool_flags(pairs: DataFrame, mega: list, s: Settings = S) -> DataFrame:
-    """The flags of each pair (titles, files, outcomes of both sides in its columns), and its primary stratum."""
+def pool_flags(pairs: DataFrame, mega: list | DataFrame, s: Settings = S) -> DataFrame:
+    """The flags of each pair (titles, files, outcomes of both sides in its columns), and its primary stratum.
+
+    mega: the repositories that count as such, or a table of a few (column repo).
+    """
+    if isinstance(mega, DataFrame):
+        pairs = pairs.join(F.broadcast(mega.select("repo", F.lit(True).alias("mega"))), "repo", "left")  # as many rows as were asked for
+        is_mega = F.coalesce("mega", F.lit(False))
+    else:
+        is_mega = F.col("repo").isin(*mega) if mega else F.lit(False)
     na, nb = X.normalize_title(F.col("title_a")), X.normalize_title(F.col("title_b"))
     d = pairs.withColumns({"norm_a": na, "norm_b": nb, "merged_a": F.coalesce("merged_a", F.lit(False)), "merged_b": F.coalesce("merged_b", F.lit(False))})
     key = lambda p: P.directory_key(p, s.near_depth)
@@ -29,7 +37,7 @@ def pool_flags(pairs: DataFrame, mega: list, s: Settings = S) -> DataFrame:
             "fix_in_flight": F.col("conflict") & X.has_fix_word(F.when(later_is_b(), F.col("norm_b")).otherwise(F.col("norm_a")), s),
             "both_merged": F.col("merged_a") & F.col("merged_b"),
             "bm_shared": F.col("merged_a") & F.col("merged_b") & F.col("conflict"),
-            "mega": F.col("repo").isin(*mega) if mega else F.lit(False),
+            "mega": is_mega,
             "near_miss": F.coalesce(near, F.lit(False)),
         }
     )
@@ -83,6 +91,21 @@ def later_outcome(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"pr_later": pick("pr_b", "pr_a"), "merged_later": F.coalesce(pick("merged_b", "merged_a"), F.lit(False)), "merged_earlier": F.coalesce(pick("merged_a", "merged_b"), F.lit(False))})
 
 
-def largest_repos(pairs: DataFrame, n: int = 2) -> list:
-    """The repos with the most pairs, ties by key: n rows to the driver."""
-    return [r["repo"] for r in pairs.groupBy("repo").count().orderBy(F.desc("count"), "repo").limit(n).collect()]
+def largest_repos(pairs: DataFrame, n: int = 2) -> DataFrame:
+    """The n repos with the most pairs, ties by key."""
+    return pairs.groupBy("repo").count().orderBy(F.desc("count"), "repo").limit(n).select("repo")
+
+
+def pending_repos(pairs: DataFrame, done: DataFrame | None, key: list[str], n: int | None = None) -> DataFrame:
+    """repo, pending: repos by the number of pairs whose key is not done yet; the first n of them."""
+    left = pairs if done is None else pairs.join(done.select(*key).distinct(), key, "left_anti")
+    order = left.groupBy("repo").agg(F.count("*").alias("pending")).orderBy(F.desc("pending"), "repo")
+    return order if n is None else order.limit(n)
+
+
+def near_miss_examples(pairs: DataFrame, key: list[str], least: int = 15) -> DataFrame:
+    """Up to `least` disjoint pairs, by key, that one reading of a directory key calls near and the canonical one does not, or the other way round."""
+    v = near_miss_variants()
+    names = ("canonical", "with_name", "dirs_only")
+    d = pairs.where(~F.col("conflict")).select(*key, "files_a", "files_b", *(F.coalesce(v[n], F.lit(False)).alias(n) for n in names))
+    return d.where((F.col("canonical") != F.col("with_name")) | (F.col("canonical") != F.col("dirs_only"))).orderBy(*key).limit(least)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.config import Settings
 from weftline.functions.text import order_hash
+from weftline.operators.ranking import hash_ranks
+from weftline.sources.scratch import settle
 
 S = Settings()
 
@@ -30,10 +34,16 @@ def hamilton(sizes: DataFrame, key: str, size: str, n: int, least: int = 0) -> D
 
 
 def draw(df: DataFrame, quotas: DataFrame, cell: str, key: list[str], seed: int = S.seed) -> DataFrame:
-    """quota rows of each cell in hash order, and their inclusion share pi = quota / size."""
-    order = Window.partitionBy(cell).orderBy(order_hash(seed, *map(F.col, key)), *key)
-    ranked = df.join(quotas.select(cell, "size", "quota"), cell).withColumn("_turn", F.row_number().over(order))
-    return ranked.where(F.col("_turn") <= F.col("quota")).withColumn("pi", F.col("quota") / F.col("size")).drop("_turn", "size", "quota")
+    """quota rows of each cell in hash order, and their inclusion share pi = quota / size.
+
+    Rows are ranked only where the hash is below a share of its range that leaves twelve deviations and 60 rows of room above the quota.
+    """
+    order = Window.partitionBy(cell).orderBy("_h", *key)
+    asked = df.join(F.broadcast(quotas.select(cell, "size", "quota")), cell).withColumn("_h", order_hash(seed, *map(F.col, key)))  # one row a cell
+    share = (F.col("quota") + 12 * F.sqrt(F.col("quota").cast("double")) + 60) / F.col("size")
+    near = asked.where(F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") <= share * float(1 << 52))
+    ranked = near.withColumn("_turn", F.row_number().over(order))
+    return ranked.where(F.col("_turn") <= F.col("quota")).withColumn("pi", F.col("quota") / F.col("size")).drop("_turn", "_h", "size", "quota")
 
 
 def cells(df: DataFrame, cell: str) -> DataFrame:
@@ -79,38 +89,65 @@ def frame(prevalence: DataFrame, enriched: DataFrame, key: list[str], seed: int
     p = prevalence.select(*key, F.col("pi").alias("pi_prevalence"), F.lit(True).alias("in_prevalence_sample"))
     e = enriched.select(*key, F.col("pi").alias("pi_enriched"), F.lit(True).alias("in_enriched_sample"))
     u = p.join(e, key, "full_outer").fillna(False, ["in_prevalence_sample", "in_enriched_sample"]).withColumn("incl_prob", F.col("pi_enriched"))
-    return u.withColumn("frame_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order_hash(seed, *map(F.col, key)), *key)))
+    return hash_ranks(u, seed, key, "frame_id").drop("_total").withColumn("frame_id", (F.col("frame_id") + 1).cast("int"))
 
 
 def quota_sample(df: DataFrame, quotas: dict[str, tuple[Column, int]], total: int, key: list[str], seed: int = S.seed + 1) -> DataFrame:
-    """For each name its quota of rows that fit, in hash order; rows drawn twice stay once; topped up to the total.
+    """For each name its quota of rows that fit, in hash order; rows drawn twice stay once; cut to the total, or topped up to it.
 
-    Each row carries one rank for each quota, so all quotas come from one pass; only rows within some quota and the
-    first `total` others take part in the top-up.
+    `drawn` tells rows of the quotas from those of the top-up.  Each draw is a bounded top-k, taken in part by every task.
     """
     h = order_hash(seed, *map(F.col, key))
-    none = Window.partitionBy
-    t = df.withColumn("_h", h)
-    for i, (name, (cond, _)) in enumerate(quotas.items()):
-        t = t.withColumn(f"_q{i}", F.when(cond, F.row_number().over(none(F.coalesce(cond, F.lit(False))).orderBy("_h", *key))))
-    drawn = F.lit(False)
-    for i, (_, q) in enumerate(quotas.values()):
-        drawn = drawn | (F.coalesce(F.col(f"_q{i}"), F.lit(q + 1)) <= q)
-    t = t.withColumn("drawn", drawn).withColumn("_turn", F.row_number().over(none(F.lit(1)).orderBy(F.desc("drawn"), "_h", *key)))
-    return t.where(F.col("drawn") | (F.col("_turn") <= total)).select(*df.columns, "drawn")
+    first = lambda d, n: d.orderBy("_h", *key).limit(n)
+    marks = {f"_q{i}": F.coalesce(cond, F.lit(False)) for i, (cond, _) in enumerate(quotas.values())}
+    t = settle(df.withColumns({"_h": h, **marks}))
+    parts = [first(t.where(f"_q{i}"), q) for i, (_, q) in enumerate(quotas.values())]
+    drawn = settle(first(reduce(DataFrame.union, parts, t.limit(0)).dropDuplicates(key), total))  # no more rows than the total
+    room = total - drawn.count()
+    rest = first(t.join(F.broadcast(drawn.select(*key)), key, "left_anti"), room)
+    return drawn.withColumn("drawn", F.lit(True)).unionByName(rest.withColumn("drawn", F.lit(False))).select(*df.columns, "drawn")
 
 
 def repo_split(df: DataFrame, repo: str = "repo", test_share: float = S.test_share, min_train: int = S.min_train, dev_share: float = 0.2, seed: int = S.seed) -> DataFrame:
-    """repo, n, split: whole repositories in hash order fill test, then dev, then train (none below min_train rows)."""
+    """repo, n, split: whole repositories in hash order fill test up to its share of all rows, then dev up to its own, then train.
+
+    What test has too many is not taken from dev.  Below min_train rows there is no train.
+    """
     g = df.groupBy(repo).agg(F.count("*").alias("n"))
     everything = Window.partitionBy(F.lit(1))
-    before = F.coalesce(F.sum("n").over(everything.orderBy(order_hash(seed, F.col(repo)), repo).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(everything)
-    t = g.withColumn("before", before).withColumn("total", total)
+    order = everything.orderBy(order_hash(seed, F.col(repo)), repo).rowsBetween(Window.unboundedPreceding, -1)
+    t = g.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", F.sum("n").over(everything))
+    share = lambda x: F.bround(F.col("total") * F.lit(float(x)))
     small = F.col("total") < min_train
-    dev_to = F.when(small, F.col("total")).otherwise(F.col("total") * (test_share + dev_share))
-    split = F.when(F.col("before") < F.col("total") * test_share, "test").when(F.col("before") < dev_to, "dev").otherwise("train")
-    return t.select(repo, "n", split.alias("split"))
+    goal = F.when(small, F.least(F.greatest(share(test_share), F.lit(1.0)), F.col("total").cast("double"))).otherwise(share(test_share))
+    t = t.withColumn("test", F.col("before") < goal)
+    tested = F.coalesce(F.sum(F.when(F.col("test"), F.col("n"))).over(everything), F.lit(0))
+    split = F.when(F.col("test"), "test").when(small | (F.col("before") - tested < share(dev_share)), "dev").otherwise("train")
+    return t.withColumn("split", split).select(repo, "n", "split")
+
+
+def framed(prevalence: DataFrame, enriched: DataFrame, flags: DataFrame, key: list[str], s: Settings = S, version: str = "v1") -> dict[str, DataFrame]:
+    """The frame with its rows' columns and versions; a calibration sample of it; a validation sample apart from that; and the design's figures."""
+    f = settle(frame(prevalence, enriched, key, s.seed).join(flags, key).withColumns({"dataset_version": F.lit(version), "config_version": F.lit(version)}))
+    named = {k: F.col("conflict") if k == "overlap" else F.col("primary_stratum") == k for k in s.calibration}
+    cal = quota_sample(f, {k: (c, s.calibration[k]) for k, c in named.items()}, s.calibration_n, key)
+    val = f.join(F.broadcast(cal.select(*key)), key, "left_anti").withColumn("_h", order_hash(s.seed + 2, *map(F.col, key)))  # calibration_n rows
+    val = val.orderBy("_h", *key).limit(s.validation_n).drop("_h")
+    return {"frame": f, "calibration": cal, "validation": val, "design": design_report(f, cal, val, s)}
+
+
+def design_report(f: DataFrame, calibration: DataFrame, validation: DataFrame, s: Settings = S) -> DataFrame:
+    """One row a sample: rows, effective size, range and median of the weights, and how many are extreme; and rows of calibration and validation."""
+    out = None
+    for name in ("prevalence", "enriched"):
+        w = f.where(f"in_{name}_sample").select((1 / F.col(f"pi_{name}")).alias("w"))
+        med = w.agg(F.median("w").alias("m"))
+        one = w.crossJoin(F.broadcast(med)).agg(F.count("*").alias("n"), F.round(F.sum("w") ** 2 / F.sum(F.col("w") * F.col("w")), 6).alias("n_eff"), F.min("w").alias("w_min"), F.first("m").alias("w_median"), F.max("w").alias("w_max"), F.count_if(F.col("w") >= F.col("m") * s.extreme).alias("n_extreme"))  # one row
+        one = one.withColumn("sample", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    for name, d in (("frame", f), ("calibration", calibration), ("validation", validation)):
+        out = out.unionByName(d.agg(F.count("*").alias("n")).withColumn("sample", F.lit(name)), allowMissingColumns=True)
+    return out.fillna(0, ["n_extreme"]).select("sample", "n", "n_eff", "w_min", "w_median", "w_max", "n_extreme")
 
 
 def cap_per_group(df: DataFrame, group: str, label: str, cap: int, key: list[str], seed: int = S.seed) -> DataFrame:

@@ -71,27 +71,40 @@ def gate(prs: list, arr: list[int], dur: list[int], blocks: Callable[[object, ob
     return start
 
 
-def gated(eps: DataFrame, scores: DataFrame, tau: float, strict: bool = False) -> DataFrame:
+def gated(eps: DataFrame, scores: DataFrame | None, tau: float, strict: bool = False, score_fn: Callable[[object, object], float] | None = None) -> DataFrame:
     """start under the gate that blocks pairs whose score is at least tau (`strict`: above it).
 
-    scores: repo, pr_a, pr_b, score.  Inherently sequential in a repo, so each repo is one group; a repo's requests
-    and blocking pairs are its group's size.
+    scores: repo, pr_a, pr_b, score; or score_fn(pr, pr) instead.  Inherently sequential in a repo, so each repo is one
+    group; a repo's requests and blocking pairs are its group's size.
     """
-    keep = F.col("score") > tau if strict else F.col("score") >= tau
-    hits = scores.where(keep).select("repo", F.least("pr_a", "pr_b").alias("a"), F.greatest("pr_a", "pr_b").alias("b")).distinct()
+    return gated_at(eps, scores, (tau,), strict, score_fn).drop("tau")
 
-    def run(left, right):
-        import pandas as pd
 
+def gated_at(eps: DataFrame, scores: DataFrame | None, taus: tuple[float, ...], strict: bool = False, score_fn: Callable[[object, object], float] | None = None) -> DataFrame:
+    """As gated(), for several thresholds side by side: a group is a repo and a threshold."""
+    import pandas as pd
+
+    enough = (lambda s, tau: s > tau) if strict else (lambda s, tau: s >= tau)
+
+    def start(left: pd.DataFrame, blocks) -> pd.DataFrame:
+        return left[["repo", "pr", "dur", "arr", "tau"]].assign(start=gate(left["pr"].tolist(), left["arr"].tolist(), left["dur"].tolist(), blocks))
+
+    kinds = dict(eps.dtypes)
+    schema = f"repo {kinds['repo']}, pr {kinds['pr']}, dur long, arr long, tau double, start long"
+    several = F.explode(F.array(*(F.lit(float(t)) for t in taus))).alias("tau")
+    e = eps.select("repo", "pr", "dur", "arr", several)
+    if score_fn is not None:
+        return e.groupBy("repo", "tau").applyInPandas(lambda left: start(left, lambda x, y: enough(score_fn(x, y), left["tau"].iloc[0])), schema)
+
+    def run(left, right):
         if left.empty:
-            return pd.DataFrame({"repo": [], "pr": [], "dur": [], "arr": [], "start": []})
+            return pd.DataFrame({c: [] for c in ("repo", "pr", "dur", "arr", "tau", "start")})
         bad = set(zip(right["a"].tolist(), right["b"].tolist(), strict=True))
-        prs, arr, dur = left["pr"].tolist(), left["arr"].tolist(), left["dur"].tolist()
-        return left[["repo", "pr", "dur", "arr"]].assign(start=gate(prs, arr, dur, lambda x, y: (min(x, y), max(x, y)) in bad))
+        return start(left, lambda x, y: (min(x, y), max(x, y)) in bad)
 
-    kinds = dict(eps.dtypes)
-    schema = f"repo {kinds['repo']}, pr {kinds['pr']}, dur long, arr long, start long"
-    return eps.select("repo", "pr", "dur", "arr").groupBy("repo").cogroup(hits.groupBy("repo")).applyInPandas(run, schema)
+    hits = scores.select("repo", F.least("pr_a", "pr_b").alias("a"), F.greatest("pr_a", "pr_b").alias("b"), "score", several)
+    hits = hits.where(enough(F.col("score"), F.col("tau"))).select("repo", "tau", "a", "b").distinct()
+    return e.groupBy("repo", "tau").cogroup(hits.groupBy("repo", "tau")).applyInPandas(run, schema)
 
 
 def schedule_conflicts(starts: DataFrame, shared: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.numbers import Z, wilson
+from weftline.functions.numbers import Z, gap_hours, wilson
 
 
 def rate_table(df: DataFrame, *by, flag: str = "conflict") -> DataFrame:
@@ -19,8 +19,11 @@ def with_wilson(df: DataFrame, k: str = "k", n: str = "n", z: float = Z, digits:
 
 
 def strata_cells(df: DataFrame, stratum: str, exposed: Column, outcome: Column) -> DataFrame:
-    c = lambda e, o: F.count_if(e & o)
-    return df.groupBy(stratum).agg(c(exposed, outcome).alias("a"), c(exposed, ~outcome).alias("b"), c(~exposed, outcome).alias("c"), c(~exposed, ~outcome).alias("d"))
+    return df.groupBy(stratum).agg(*(c.alias(n) for n, c in zip("abcd", _cells(exposed, outcome), strict=True)))
+
+
+def _cells(exposed: Column, outcome: Column) -> list[Column]:
+    return [F.count_if(e & o) for e, o in ((exposed, outcome), (exposed, ~outcome), (~exposed, outcome), (~exposed, ~outcome))]
 
 
 def mantel_haenszel(df: DataFrame, stratum: str, exposed: Column, outcome: Column, z: float = Z, digits: int = 9) -> DataFrame:
@@ -28,12 +31,16 @@ def mantel_haenszel(df: DataFrame, stratum: str, exposed: Column, outcome: Colum
 
     The interval is that of Robins, Breslow and Greenland.  Crude cells are over the used strata.
     """
-    t = strata_cells(df, stratum, F.coalesce(exposed, F.lit(False)), F.coalesce(outcome, F.lit(False)))
+    return pooled_odds(strata_cells(df, stratum, F.coalesce(exposed, F.lit(False)), F.coalesce(outcome, F.lit(False))), [], z, digits)
+
+
+def pooled_odds(cells: DataFrame, by: list[str], z: float = Z, digits: int = 9) -> DataFrame:
+    """mantel_haenszel's figures from the cells a, b, c, d of each stratum, per group of `by`."""
     a, b, c, d = (F.col(x) for x in "abcd")
-    used = t.where((a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0)).withColumn("n", a + b + c + d)
+    used = cells.where((a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0)).withColumn("n", a + b + c + d)
     n = F.col("n").cast("double")
     r, s, p, q = a * d / n, b * c / n, (a + d) / n, (b + c) / n
-    g = used.agg(
+    g = used.groupBy(*by).agg(
         F.count("*").alias("n_strata"), F.count_if((a * d > 0) | (b * c > 0)).alias("n_discordant"), *(F.sum(x).alias(x) for x in "abcd"),
         F.sum(r).alias("r"), F.sum(s).alias("s"), F.sum(p * r).alias("pr"), F.sum(p * s + q * r).alias("psqr"), F.sum(q * s).alias("qs"),
     )
@@ -42,23 +49,46 @@ def mantel_haenszel(df: DataFrame, stratum: str, exposed: Column, outcome: Colum
     se = F.sqrt(F.when((r > 0) & (s > 0), F.col("pr") / (2 * r * r) + F.col("psqr") / (2 * r * s) + F.col("qs") / (2 * s * s)))
     crude = F.when((b > 0) & (c > 0), a * d / (b * c))
     rd = lambda x, name: F.round(x, digits).alias(name)
-    return g.select("n_strata", "n_discordant", (a + b).alias("n_exposed"), (a + b + c + d).alias("n_used"), rd(ratio, "odds_ratio"), rd(ratio * F.exp(-z * se), "lo"), rd(ratio * F.exp(z * se), "hi"), rd(crude, "crude_or"))
+    return g.select(*by, "n_strata", "n_discordant", (a + b).alias("n_exposed"), (a + b + c + d).alias("n_used"), rd(ratio, "odds_ratio"), rd(ratio * F.exp(-z * se), "lo"), rd(ratio * F.exp(z * se), "hi"), rd(crude, "crude_or"))
 
 
 def outcome_battery(flags: DataFrame) -> DataFrame:
-    """The odds ratio of each contrast with the later request's merge; flags also has merged_later and pr_later."""
-    col = F.col
-    per_pr = lambda f: flags.groupBy("repo", "pr_later").agg(F.bool_or(f).alias("e"), F.bool_or("merged_later").alias("merged_later"))
-    contrasts = [
-        ("conflict", flags, "conflict"), ("dup_title", flags, "dup_title"), ("fix_in_flight", flags.where(col("conflict")), "fix_in_flight"),
-        ("near_miss", flags.where(~col("conflict")), "near_miss"), ("conflict_no_mega", flags.where(~col("mega")), "conflict"),
-        ("conflict_per_pr", per_pr("conflict"), "e"), ("dup_title_per_pr", per_pr("dup_title"), "e"),
-    ]
-    out = None
-    for name, df, flag in contrasts:
-        one = mantel_haenszel(df, "repo", col(flag), col("merged_later")).withColumn("contrast", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The odds ratio of each contrast with the later request's merge; flags also has merged_later and pr_later.
+
+    The flags are read once: counts go by later request, then by repository, and all contrasts are pooled together.
+    Contrasts per request take one as exposed if any of its pairs is.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    every = F.lit(True)
+    contrasts = {"conflict": (every, "conflict"), "dup_title": (every, "dup_title"), "fix_in_flight": (yes("conflict"), "fix_in_flight"), "near_miss": (~yes("conflict"), "near_miss"), "conflict_no_mega": (~yes("mega"), "conflict")}
+    parts = [x.alias(f"{n}_{k}") for n, (who, e) in contrasts.items() for k, x in zip("abcd", [F.count_if(who & p & q) for p, q in ((yes(e), yes("merged_later")), (yes(e), ~yes("merged_later")), (~yes(e), yes("merged_later")), (~yes(e), ~yes("merged_later")))], strict=True)]
+    ever = [F.bool_or(yes(c)).alias(f"ever_{c}") for c in ("conflict", "dup_title", "merged_later")]
+    per = flags.groupBy("repo", "pr_later").agg(*parts, *ever)
+    once = [x.alias(f"{c}_per_pr_{k}") for c in ("conflict", "dup_title") for k, x in zip("abcd", _cells(F.col(f"ever_{c}"), F.col("ever_merged_later")), strict=True)]
+    names = [*contrasts, "conflict_per_pr", "dup_title_per_pr"]
+    g = per.groupBy("repo").agg(*(F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in contrasts for k in "abcd"), *once)
+    t = g.select("repo", F.inline(F.array(*(F.struct(F.lit(n).alias("contrast"), *(F.col(f"{n}_{k}").alias(k) for k in "abcd")) for n in names))))
+    whole = flags.sparkSession.createDataFrame([(n,) for n in names], "contrast string")
+    return whole.join(pooled_odds(t, ["contrast"]), "contrast", "left").fillna(0, ["n_strata", "n_discordant"])  # seven rows
+
+
+def headlines(flags: DataFrame) -> DataFrame:
+    """Shares of the outcome report with Wilson intervals, from one pass: headline, k, n, p, lo, hi.
+
+    The intervals take pairs as independent; cluster_bootstrap gives those that do not.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    every, dup, bm = F.lit(True), yes("dup_title"), yes("bm_shared")
+    hours = gap_hours(F.col("closed_a"), F.col("closed_b"))
+    a, b = yes("merged_a"), yes("merged_b")
+    shares = {
+        "conflict_rate_all_pairs": (every, yes("conflict")), "conflict_rate_cross_agent": (yes("cross_agent"), yes("conflict")),
+        "dup_both_merged": (dup, a & b), "dup_exactly_one_merged": (dup, a != b), "dup_neither_merged": (dup, ~a & ~b), "dup_no_shared_file": (dup, ~yes("conflict")),
+        "both_merged_shared_gap_lt24h": (bm, F.coalesce(hours < 24, F.lit(False))),
+    }
+    one = flags.agg(*(F.count_if(w).alias(f"n_{h}") for h, (w, _) in shares.items()), *(F.count_if(w & k).alias(f"k_{h}") for h, (w, k) in shares.items()))
+    rows = one.select(F.inline(F.array(*(F.struct(F.lit(h).alias("headline"), F.col(f"k_{h}").alias("k"), F.col(f"n_{h}").alias("n")) for h in shares))))
+    return with_wilson(rows.where("n > 0"))
 
 
 def design_weighted(df: DataFrame, y: str, pi: str, population: float | None = None, ratio: float = 50.0, digits: int = 9) -> DataFrame:
@@ -139,7 +169,7 @@ def binary_confusion(df: DataFrame, positive: Column, flag: Column, digits: int
     return g.select("tp", "fp", "fn", "tn", rd(tp, tp + fp, "precision"), rd(tp, tp + fn, "recall"), rd(tn, tn + fp, "specificity"), rd(2 * tp, 2 * tp + fp + fn, "f1"), rd(fp, fp + tn, "fpr"), rd(fn, fn + tp, "fnr"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, y: str, iterations: int = 5000, seed: int = 20260824, level: float = 0.95) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, y: str, iterations: int = 5000, seed: int = 20260824, level: float = 0.95, digits: int = 9) -> DataFrame:
     """Percentile interval of a mean over clusters drawn with replacement (Poisson weights from hashes).
 
     Only each cluster's sum and count enter; replicates are dealt over the cluster, and a cluster's weight in a
@@ -148,12 +178,13 @@ def cluster_bootstrap(df: DataFrame, cluster: str, y: str, iterations: int = 500
     sums = df.groupBy(cluster).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n"))
     # Cumulative Poisson(1) probabilities.
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("it")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    drawn = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("it").cast("string"))), 1, 13)
+    u = (F.conv(drawn, 16, 10).cast("double") + 0.5) / float(1 << 52)
     weight = sum(((u > t).cast("int") for t in steps), F.lit(0))
     reps = sums.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("w", weight).groupBy("it").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     q = (1 - level) / 2
     point = sums.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count("*").alias("n_clusters"))
-    return point.crossJoin(F.broadcast(reps.agg(F.percentile("m", F.array(F.lit(q), F.lit(1 - q))).alias("p")))).select("estimate", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "n_clusters")  # one row
+    return point.crossJoin(F.broadcast(reps.agg(F.percentile("m", F.array(F.lit(q), F.lit(1 - q))).alias("p")))).select(*(F.round(c, digits).alias(n) for n, c in (("estimate", F.col("estimate")), ("lo", F.col("p")[0]), ("hi", F.col("p")[1]))), "n_clusters")  # one row
 
 
 def cluster_bootstrap_any(df: DataFrame, cluster: str, statistic, iterations: int = 200, seed: int = 20260824) -> DataFrame:

@@ -72,6 +72,14 @@ def titled(spark: SparkSession, sf: str) -> DataFrame:
     return labeled(spark, sf).join(a, "pr_a", "left").join(b, "pr_b", "left")
 
 
+def with_bodies(spark: SparkSession, sf: str, d: DataFrame) -> DataFrame:
+    """d with body_a, body_b: the names of a request's files stand for its text."""
+    body = file_sets(spark, sf).select("pr", F.array_join("files", " ").alias("body"))
+    for s in "ab":
+        d = d.join(body.select(F.col("pr").alias(f"pr_{s}"), F.col("body").alias(f"body_{s}")), f"pr_{s}", "left")
+    return d
+
+
 def repositories(spark: SparkSession, sf: str) -> DataFrame:
     """repo, language, stars."""
     c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
@@ -88,6 +96,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "pairs": (("capped",), "SELECT a.repo, a.pr AS pr_a, b.pr AS pr_b, a.agent AS agent_a, b.agent AS agent_b, a.opened AS opened_a, a.closed AS closed_a, b.opened AS opened_b, b.closed AS closed_b, a.merged AS merged_a, b.merged AS merged_b, a.agent <> b.agent AS cross_agent FROM capped a JOIN capped b ON a.repo = b.repo AND a.closed > b.opened AND (a.opened < b.opened OR (a.opened = b.opened AND a.pr < b.pr))"),
     "labeled": (("pairs", "sets"), "SELECT p.*, x.files AS files_a, y.files AS files_b, list_has_any(x.files, y.files) AS conflict FROM pairs p JOIN sets x ON x.pr = pr_a JOIN sets y ON y.pr = pr_b"),
     "titled": (("labeled", "titles"), "SELECT l.*, x.title AS title_a, y.title AS title_b FROM labeled l LEFT JOIN titles x ON x.pr = pr_a LEFT JOIN titles y ON y.pr = pr_b"),
+    "bodies": (("sets",), "SELECT pr, array_to_string(files, ' ') AS body FROM sets"),
     "repositories": ((), "SELECT c_custkey AS repo, n_name AS language, CAST(trunc(c_acctbal) AS INT) AS stars FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
 }
 

@@ -9,12 +9,14 @@ from weftline.functions import numbers as N
 from weftline.functions import paths as P
 from weftline.operators import annotate
 from weftline.operators import stats as S
+from weftline.operators.ranking import cumulative_share
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import _MID, _SPANS, PAIR
 from weftline.plans.pools import flags, wf
 from weftline.plans.ranks import scored
 from weftline.plans.registry import query
+from weftline.sources.scratch import settle
 
 Z = "1.959963984540054"
 
@@ -83,24 +85,27 @@ def concentration(spark, sf):
     return c(B.labeled(spark, sf).where("conflict").groupBy("repo").agg(F.count("*").alias("n")), "repo").withColumn("rank", F.col("rank").cast("long"))
 
 
-_GAP = "SELECT repo, pr_a, pr_b, abs(epoch_us(closed_a) - epoch_us(closed_b)) / 3600000000 AS gap FROM flags WHERE dup_title"
+_GAP = "SELECT repo, pr_a, pr_b, mega, abs(epoch_us(closed_a) - epoch_us(closed_b)) / 3600000000 AS gap FROM flags WHERE dup_title"
 
 
-@query(wf("SELECT count(*) AS n, median(gap) AS med, quantile_cont(gap, 0.25) AS p25, quantile_cont(gap, 0.75) AS p75, quantile_cont(gap, 0.9) AS p90, count(*) FILTER (gap < 24) AS n_day, count(*) FILTER (gap < 72) AS n_3days FROM gaps", gaps=_GAP))
+@query(wf("SELECT count(*) AS n, median(gap) AS med, quantile_cont(gap, 0.25) AS p25, quantile_cont(gap, 0.75) AS p75, quantile_cont(gap, 0.9) AS p90, count(*) FILTER (gap < 24) AS n_day, count(*) FILTER (gap < 72) AS n_3days, round(avg(gap), 9) AS mean, count(*) FILTER (gap < 1) AS n_hour, count(*) FILTER (gap < 24 AND NOT mega) AS n_day_no_mega, count(*) FILTER (NOT mega) AS n_no_mega FROM gaps", gaps=_GAP))
 def close_gap_stats(spark, sf):
     g = N.gap_hours(F.col("closed_a"), F.col("closed_b"))
-    d = flags(spark, sf).where("dup_title").select(g.alias("gap"))
+    d = flags(spark, sf).where("dup_title").select(g.alias("gap"), "mega")
     q = lambda x: F.percentile("gap", F.lit(x))
-    return d.agg(F.count("*").alias("n"), F.median("gap").alias("med"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.count_if(F.col("gap") < 24).alias("n_day"), F.count_if(F.col("gap") < 72).alias("n_3days"))
+    return d.agg(F.count("*").alias("n"), F.median("gap").alias("med"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.count_if(F.col("gap") < 24).alias("n_day"), F.count_if(F.col("gap") < 72).alias("n_3days"), F.round(F.avg("gap"), 9).alias("mean"), F.count_if(F.col("gap") < 1).alias("n_hour"), F.count_if((F.col("gap") < 24) & ~F.col("mega")).alias("n_day_no_mega"), F.count_if(~F.col("mega")).alias("n_no_mega"))
+
+
+@query(wf("SELECT repo, count(*) AS n FROM flags WHERE dup_title GROUP BY 1 ORDER BY n DESC, repo LIMIT 5"))
+def dup_top_repos(spark, sf):
+    """The five repositories with the most pairs of alike titles."""
+    return flags(spark, sf).where("dup_title").groupBy("repo").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "repo").limit(5)
 
 
 @query(wf("SELECT repo, pr_a, pr_b, gap, round(cume_dist() OVER (ORDER BY gap), 9) AS share FROM gaps", gaps=_GAP))
 def close_gap_ecdf(spark, sf):
-    from pyspark.sql import Window
-
     g = N.gap_hours(F.col("closed_a"), F.col("closed_b"))
-    d = flags(spark, sf).where("dup_title").select(*PAIR, g.alias("gap"))
-    return d.withColumn("share", F.round(F.cume_dist().over(Window.partitionBy(F.lit(1)).orderBy("gap")), 9))
+    return cumulative_share(settle(flags(spark, sf).where("dup_title").select(*PAIR, g.alias("gap"))), "gap")
 
 
 @query(w("SELECT coalesce(language, 'All') AS language, count(*) AS n, count(*) FILTER (conflict) AS k, CAST(count(*) FILTER (merged_a AND merged_b) AS BIGINT) AS n_both_merged FROM labeled l JOIN repositories r ON r.repo = l.repo GROUP BY ROLLUP (language)", "labeled", "repositories"))
@@ -159,6 +164,15 @@ def outcome_battery(spark, sf):
     return S.outcome_battery(flags(spark, sf))
 
 
+_GAPH = "abs(epoch_us(closed_b) - epoch_us(closed_a)) / 3600000000"
+_HEADS = {"conflict_rate_all_pairs": ("true", "conflict"), "conflict_rate_cross_agent": ("cross_agent", "conflict"), "dup_both_merged": ("dup_title", "merged_a AND merged_b"), "dup_exactly_one_merged": ("dup_title", "merged_a <> merged_b"), "dup_neither_merged": ("dup_title", "NOT merged_a AND NOT merged_b"), "dup_no_shared_file": ("dup_title", "NOT conflict"), "both_merged_shared_gap_lt24h": ("bm_shared", f"{_GAPH} < 24")}
+
+
+@query(wf("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS headline, k, n, {q_wilson('k', 'n')} FROM (SELECT count(*) FILTER (({who}) AND ({what})) AS k, count(*) FILTER ({who}) AS n FROM flags)" for h, (who, what) in _HEADS.items()) + ") WHERE n > 0"))
+def outcome_headlines(spark, sf):
+    return S.headlines(flags(spark, sf))
+
+
 _PI = "SELECT conflict::INT AS y, 1.0::DOUBLE / (1 + pr_b % 7) AS pi FROM labeled"
 
 
@@ -235,11 +249,27 @@ def adjudicate(spark, sf):
     return out.select("item", "ann1", "ann2", "decided", "agreed", "gold", "label_source")
 
 
-@query()
+# Cumulative Poisson(1) probabilities.
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+def q_bootstrap(source, y):
+    weight = " + ".join(f"(u > {x!r}::DOUBLE)::INT" for x in _POISSON)
+    reps = f"SELECT it, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT it, s, n, {weight} AS w FROM (SELECT it, s, n, (CAST('0x' || substr(md5(concat_ws('|', '20260824', repo, it)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM g, range(1, 5001) AS r(it))) GROUP BY 1"
+    return f"WITH g AS (SELECT repo, sum({y}::INT)::DOUBLE AS s, count(*) AS n FROM {source} GROUP BY 1) SELECT round(sum(s) / sum(n), 9) AS estimate, (SELECT round(quantile_cont(m, 0.025), 9) FROM ({reps})) AS lo, (SELECT round(quantile_cont(m, 0.975), 9) FROM ({reps})) AS hi, count(*) AS n_clusters FROM g"
+
+
+@query(w(f"SELECT * FROM ({q_bootstrap('labeled', 'conflict')})", "labeled"))
 def cluster_bootstrap(spark, sf):
     return S.cluster_bootstrap(B.labeled(spark, sf), "repo", "conflict", Settings().bootstrap)
 
 
+@query(wf(f"SELECT * FROM ({q_bootstrap('(SELECT * FROM flags WHERE NOT conflict)', 'near_miss')})"))
+def near_miss_bootstrap(spark, sf):
+    """Share of near misses among disjoint pairs, over clusters drawn anew."""
+    return S.cluster_bootstrap(flags(spark, sf).where(~F.col("conflict")).withColumn("near_miss", F.col("near_miss").cast("int")), "repo", "near_miss", Settings().bootstrap)
+
+
 @query(w("SELECT kind, item, gold, pred FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY item) AS r FROM (SELECT *, CASE WHEN pred <> 'none' AND gold IN ('none', 'B') THEN 'FP' WHEN gold IN ('D', 'C', 'H', 'I') AND pred IN ('none', 'B') THEN 'FN' END AS kind FROM g) WHERE kind IS NOT NULL) WHERE r <= 50", g=f"SELECT doc_id AS item, {_RATE}[(doc_id % 4) + 1] AS gold, {_RATE}[(doc_id // 3 % 4) + 1] AS pred FROM labels"))
 def error_bundles(spark, sf):
     d = B.read(spark, sf, "labels").select(F.col("doc_id").alias("item"))

@@ -11,6 +11,7 @@ from weftline.operators import annotate, audit
 from weftline.operators import pools as O
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
+from weftline.operators.ranking import hash_ranks
 from weftline.plans.joins import PAIR
 from weftline.plans.registry import query
 
@@ -179,6 +180,11 @@ def merge_candidates(spark, sf):
     return d.select(*PAIR, "n_shared_src", "sa", "sb")
 
 
+@query(w(f"SELECT repo, pr_a, pr_b, canonical, with_name, dirs_only FROM (SELECT repo, pr_a, pr_b, {', '.join(f'coalesce({NEAR[k]}, false) AS {k}' for k in ('canonical', 'with_name', 'dirs_only'))} FROM labeled WHERE NOT conflict) WHERE canonical <> with_name OR canonical <> dirs_only ORDER BY repo, pr_a, pr_b LIMIT 15", "labeled"))
+def near_miss_examples(spark, sf):
+    return O.near_miss_examples(B.labeled(spark, sf), PAIR).select(*PAIR, "canonical", "with_name", "dirs_only")
+
+
 @query(wf("SELECT * FROM (SELECT 'pairs' AS section, unnest(['null_key', 'self_pair', 'opened_out_of_order', 'null_conflict', 'conflict_differs', 'cross_agent_differs', 'duplicate_key']) AS \"check\", CAST(0 AS BIGINT) AS n, 'PASS' AS status UNION ALL SELECT 'flags', unnest(['near_miss_with_conflict', 'bm_shared_without_conflict', 'fix_in_flight_without_conflict', 'unknown_stratum']), CAST(count(*) FILTER (near_miss AND conflict) AS BIGINT), 'PASS' FROM flags)"))
 def audit_report(spark, sf):
     f = flags(spark, sf)
@@ -212,9 +218,7 @@ def fenced_code(spark, sf):
 @query(w("SELECT batch, count(*) AS n, sha256(string_agg(p, '' ORDER BY rn)) AS digest FROM (SELECT rn, (rn - 1) // 10 AS batch, format('### Pair {}\nA: {}\nB: {}\n', rn, title_a, title_b) AS p FROM (SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '7', repo, pr_a, pr_b))) AS rn, substr(coalesce(title_a, ''), 1, 900) AS title_a, substr(coalesce(title_b, ''), 1, 900) AS title_b FROM titled)) GROUP BY 1", "titled"))
 def prompt_batches(spark, sf):
     """Prompts of ten pairs each, in hash order."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(X.order_hash(7, *map(F.col, PAIR))))
-    d = B.titled(spark, sf).select(n.cast("long").alias("rn"), F.coalesce("title_a", F.lit("")).alias("title_a"), F.coalesce("title_b", F.lit("")).alias("title_b"))
+    d = hash_ranks(B.titled(spark, sf).select(*PAIR, "title_a", "title_b"), 7, PAIR)
+    d = d.select((F.col("rank") + 1).alias("rn"), F.coalesce("title_a", F.lit("")).alias("title_a"), F.coalesce("title_b", F.lit("")).alias("title_b"))
     p = d.select("rn", F.floor((F.col("rn") - 1) / 10).cast("long").alias("batch"), X.pair_prompt(F.col("rn"), F.col("title_a"), F.col("title_b")).alias("p"))
     return p.groupBy("batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "p"))), lambda x: x["p"]), ""), 256).alias("digest"))

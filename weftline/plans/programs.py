@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers as N
@@ -10,14 +12,16 @@ from weftline.operators import coactive as C
 from weftline.operators import hunks as H
 from weftline.operators import models as M
 from weftline.operators import ranking as R
+from weftline.operators import sampling as S
 from weftline.operators import schedule as D
 from weftline.operators import similarity as T
 from weftline.operators import symbols as Y
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
+from weftline.plans.pools import flags
 from weftline.plans.ranks import scored
-from weftline.plans.registry import query
+from weftline.plans.registry import SQL, query
 from weftline.sources.scratch import settle
 
 # Episodes of the small corpus: repositories with at least 8 pairs and one conflict.
@@ -86,21 +90,28 @@ def oracle_gate(spark, sf):
     return gate_metrics(e, both, both.withColumn("score", F.lit(1.0)), 0.5, "oracle")
 
 
-@query()
-def tau_sweep(spark, sf):
-    """Summary of the predictor's gate at some thresholds."""
+# Thresholds of the sweep.
+TAUS = (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.65, 0.8)
+
+
+def sweep(spark, sf):
+    """Per repository and threshold: the predictor's gate at nine thresholds."""
     e = eps(spark, sf)
     t = B.titles(spark, sf)
     both = d = shared(spark, sf, e)
     for s in "ab":
         d = d.join(t.select(F.col("pr").alias(f"pr_{s}"), F.col("title").alias(f"title_{s}")), f"pr_{s}", "left")
     j = X.jaccard(X.title_tokens(X.normalize_title(F.col("title_a"))), X.title_tokens(X.normalize_title(F.col("title_b"))), 1.0)
-    scores = settle(d.select(*PAIR, j.alias("score")))
-    out = None
-    for tau in (0.1, 0.2, 0.3):
-        m = gate_metrics(e, both, scores, tau, "predictor").withColumn("tau", F.lit(tau))
-        out = m if out is None else out.unionByName(m)
-    return D.policy_summary(out, ["policy", "tau"])
+    starts = settle(D.gated_at(e, settle(d.select(*PAIR, j.alias("score"))), TAUS))
+    base = D.observed(e)
+    each = [D.episode_metrics(starts.where(F.col("tau") == tau).drop("tau"), base, both, "predictor").withColumn("tau", F.lit(tau)) for tau in TAUS]
+    return reduce(lambda x, y: x.unionByName(y), each)
+
+
+@query()
+def tau_sweep(spark, sf):
+    """Summary of the predictor's gate at each threshold."""
+    return D.policy_summary(settle(sweep(spark, sf)), ["policy", "tau"])
 
 
 # Patches made of the lines of an order: definitions and uses of names by return flag.
@@ -128,63 +139,93 @@ def symbol_events(spark, sf):
     return Y.symbol_events(patches(spark, sf), ["pr"])
 
 
-_EV_PAIR = "SELECT repo, pr_a, pr_b, 'A' AS side, e.* FROM labeled JOIN ev e ON e.pr = pr_a UNION ALL SELECT repo, pr_a, pr_b, 'B', e.* FROM labeled JOIN ev e ON e.pr = pr_b"
+_SIDES = "SELECT repo, pr_a, pr_b, 'A' AS side, p.* EXCLUDE pr FROM labeled JOIN pf p ON p.pr = pr_a UNION ALL SELECT repo, pr_a, pr_b, 'B', p.* EXCLUDE pr FROM labeled JOIN pf p ON p.pr = pr_b"
+_PROFILE = "SELECT pr, name, min(file) FILTER (kind = 'def') AS def, min(file) FILTER (kind = 'deleted_def') AS del, min(file) FILTER (kind = 'use') AS used FROM ev GROUP BY 1, 2"
+_MET = "SELECT a.repo, a.pr_a, a.pr_b, a.side || '->' || b.side AS direction, a.name AS symbol, a.def, a.del, b.used FROM sides a JOIN sides b ON a.repo = b.repo AND a.pr_a = b.pr_a AND a.pr_b = b.pr_b AND a.name = b.name AND a.side <> b.side WHERE b.used IS NOT NULL"
+_KEYS = "repo, pr_a, pr_b"
+_EVIDENCE = (
+    f"SELECT {_KEYS}, 'changed_definition_used_by_partner' AS relation, 0.91::DOUBLE AS confidence, direction, symbol, def AS definition_file, used AS consumer_file FROM met WHERE def IS NOT NULL"
+    f" UNION ALL SELECT {_KEYS}, 'deleted_definition_used_by_partner', 0.93::DOUBLE, direction, symbol, del, used FROM met WHERE del IS NOT NULL"
+    f" UNION ALL SELECT {_KEYS}, 'identifier_similarity_fallback', 0.35::DOUBLE, direction, symbol, def, used FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY symbol) AS r FROM met WHERE def IS NOT NULL AND direction = 'A->B' AND length(symbol) >= 6) WHERE r <= 8"
+)
+EVIDENCE = {"ev": _EVENTS, "pf": _PROFILE, "sides": _SIDES, "met": _MET, "evidence": _EVIDENCE}
 
 
-def pair_events(spark, sf):
-    ev = Y.symbol_events(patches(spark, sf), ["pr"])
-    d = B.labeled(spark, sf).select(*PAIR)
-    side = lambda s: d.join(ev.withColumnRenamed("pr", f"pr_{s}"), f"pr_{s}").select(*PAIR, F.lit(s.upper()).alias("side"), "file", "kind", "name")
-    return side("a").union(side("b"))
+def evidence(spark, sf):
+    ev = settle(Y.symbol_events(patches(spark, sf), ["pr"]))
+    pairs = B.labeled(spark, sf).select(*PAIR)
+    return Y.detect_requests(pairs, ev, PAIR)
 
 
-@query(
-    w(
-        "SELECT a.repo, a.pr_a, a.pr_b, CASE a.kind WHEN 'def' THEN 'changed_definition_used_by_partner' ELSE 'deleted_definition_used_by_partner' END AS relation, CASE a.side WHEN 'A' THEN 'A->B' ELSE 'B->A' END AS direction, a.name AS symbol, min(a.file) AS definition_file, min(b.file) AS consumer_file FROM ep a JOIN ep b ON a.repo = b.repo AND a.pr_a = b.pr_a AND a.pr_b = b.pr_b AND a.name = b.name AND a.side <> b.side WHERE a.kind IN ('def', 'deleted_def') AND b.kind = 'use' GROUP BY ALL",
-        "labeled", "lines", ev=_EVENTS, ep=_EV_PAIR,
-    )
-)
+@query(w(f"SELECT {_KEYS}, relation, confidence, direction, symbol, definition_file, consumer_file FROM evidence", "labeled", "lines", **EVIDENCE))
 def def_use_pairs(spark, sf):
-    d = Y.detect(pair_events(spark, sf), PAIR).where("confidence > 0.9")
-    return d.select(*PAIR, "relation", "direction", "symbol", "definition_file", "consumer_file")
+    return evidence(spark, sf).drop("changed_file")
 
 
-@query()
+_TOLD = f"SELECT {_KEYS}, min((-confidence, relation, direction, symbol, definition_file, consumer_file)) AS t, bool_or(direction = 'A->B') AS ab, bool_or(direction = 'B->A') AS ba, count(*) AS n FROM evidence WHERE confidence >= 0.5 GROUP BY 1, 2, 3"
+
+
+@query(w("SELECT l.repo, l.pr_a, l.pr_b, t IS NOT NULL AS prediction, CASE WHEN ab AND ba THEN 'both' WHEN ab THEN 'A->B' WHEN ba THEN 'B->A' ELSE 'none' END AS direction, coalesce(t[2], 'none') AS relation, coalesce(t[4], '') AS symbol, coalesce(t[5], '') AS definition_file, coalesce(t[6], '') AS consumer_file, coalesce(-t[1], 0) AS confidence, coalesce(n, 0) AS n_evidence FROM labeled l LEFT JOIN told d ON d.repo = l.repo AND d.pr_a = l.pr_a AND d.pr_b = l.pr_b", "labeled", "lines", **EVIDENCE, told=_TOLD))
 def pair_verdict(spark, sf):
-    return Y.verdict(Y.detect(pair_events(spark, sf), PAIR), PAIR)
+    """Every pair's verdict; of two relations of one confidence the first in the table leads (here confidences differ)."""
+    return Y.verdict(evidence(spark, sf), PAIR, pairs=B.labeled(spark, sf))
 
 
+@query()
+def verification_bundle(spark, sf):
+    """What a human checks: verdicts that predict, with their evidence and both titles."""
+    e = settle(evidence(spark, sf))
+    t = B.titled(spark, sf).select(*PAIR, "title_a", "title_b")
+    return Y.verification_bundle(Y.verdict(e, PAIR).where("prediction"), e, PAIR, t)
 
 
-def conflicted(spark, sf, words=None):
-    """A file with one hunk for each text: its sides lack the last and the first word.  All words are taken, or the first few of texts that have them."""
+def conflicted(spark, sf):
+    """A file with two hunks for each text, over all its words: one whose sides lack the last and the first word, one of the first and the last alone."""
     d = B.read(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
-    if words:
-        d = d.select("doc_id", F.slice("w", 1, words).alias("w")).where(F.size("w") == words)
     ours, theirs = F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1)
-    text = F.concat(F.lit("head\n<<<<<<< ours\n"), F.array_join(ours, "\n"), F.lit("\n||||||| base\nx\n=======\n"), F.array_join(theirs, "\n"), F.lit("\n>>>>>>> theirs\ntail"))
-    return d.select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 2 == 0, ours).otherwise(F.col("w")).alias("truth"))
+    first, last = F.col("w")[0], F.element_at("w", -1)
+    text = F.concat(F.lit("head\n<<<<<<< ours\n"), F.array_join(ours, "\n"), F.lit("\n||||||| base\nx\n=======\n"), F.array_join(theirs, "\n"), F.lit("\n>>>>>>> theirs\nmid\n<<<<<<< ours\n"), first, F.lit("\n=======\n"), last, F.lit("\n>>>>>>> theirs\ntail"))
+    truth = F.when(F.col("doc_id") % 2 == 0, ours).otherwise(F.col("w"))
+    return d.select("doc_id", text.alias("text"), truth.alias("truth"))
+
+
+_LINES = "array_to_string(string_split(array_to_string({}, chr(10)), chr(10)), '|')"
 
 
-@query(r"SELECT doc_id, CAST(0 AS INT) AS hunk, 'head' AS pre, array_to_string(string_split(w[1] || chr(10) || w[2], chr(10)), '|') AS ours, array_to_string(string_split(w[2] || chr(10) || w[3], chr(10)), '|') AS theirs, 'tail' AS post FROM (SELECT doc_id, string_split(text, ' ')[1:3] AS w FROM documents) WHERE len(w) = 3")
+@query(f"SELECT doc_id, h.* FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), LATERAL (SELECT CAST(0 AS INT) AS hunk, 'head' AS pre, {_LINES.format('w[1:len(w) - 1]')} AS ours, {_LINES.format('w[2:]')} AS theirs, 'mid' AS post UNION ALL SELECT CAST(1 AS INT), 'head|mid', {_LINES.format('w[1:1]')}, {_LINES.format('w[len(w):]')}, 'tail') h")
 def parse_hunks(spark, sf):
-    h = H.explode_hunks(conflicted(spark, sf, 3), ["doc_id"])  # as the SQL
+    """Two hunks a file: what stands between them is after the one and before the other."""
+    h = H.explode_hunks(conflicted(spark, sf), ["doc_id"])
     return h.select("doc_id", "hunk", *(F.array_join(c, "|").alias(c) for c in ("pre", "ours", "theirs", "post")))
 
 
+def with_truth(spark, sf):
+    """The first hunk of each file with the lines that stand there in the end; of texts with an id divisible by 7 the place is not known."""
+    c = conflicted(spark, sf)
+    known = F.when(F.col("doc_id") % 7 != 0, F.col("truth"))
+    return H.explode_hunks(c, ["doc_id"]).where("hunk = 0").join(c.select("doc_id", known.alias("truth")), "doc_id")
+
+
 @query()
 def resolver_scores(spark, sf):
     c = conflicted(spark, sf)
-    h = H.explode_hunks(c, ["doc_id"]).join(c.select("doc_id", "truth"), "doc_id")
+    h = H.explode_hunks(c, ["doc_id"]).where("hunk = 0").join(c.select("doc_id", "truth"), "doc_id")
     return H.resolver_summary(H.resolver_scores(h))
 
 
-_COMMITS = "SELECT o_custkey AS repo, o_orderdate AS done, 'c' || o_orderkey AS sha FROM orders WHERE o_orderkey % 3 = 0"
+@query("SELECT sum(n)::BIGINT AS n_hunks, sum(k)::BIGINT AS n_located, round(sum(k) / sum(n), 6) AS share, round(avg(k / n), 6) AS macro_share, count(*) AS n_groups FROM (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS k FROM documents WHERE text IS NOT NULL GROUP BY 1)")
+def locatable_share(spark, sf):
+    """Of hunks whose place in the end is known, as a share and as a mean over sources."""
+    by = B.read(spark, sf, "documents").select("doc_id", "source")
+    return H.locatable(with_truth(spark, sf).join(by, "doc_id"), ["source"])
+
+
+_COMMITS = "SELECT o_custkey AS repo, o_orderdate AS done, 'c' || o_orderkey AS sha FROM orders"
 
 
 @query(w("SELECT l.repo, l.pr_a, l.pr_b, (SELECT min((epoch_us(done), sha))[2] FROM cm WHERE cm.repo = l.repo AND done > greatest(l.closed_a, l.closed_b)) AS recon_sha FROM labeled l", "labeled", cm=_COMMITS))
 def recon_commit(spark, sf):
-    c = B.read(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("at"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("sha"))
+    c = B.read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("at"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("sha"))
     return H.first_commit_after(B.labeled(spark, sf), c)
 
 
@@ -208,21 +249,55 @@ def model_rows(spark, sf):
 
 @query()
 def logreg_irls(spark, sf):
-    d = model_rows(spark, sf)
-    m = M.moments(d, FEATS)
-    weights = M.fit_logistic(M.standardized(d, m), FEATS, "label", iterations=25)
+    d = settle(model_rows(spark, sf))
+    weights = M.fit_logistic(M.standardized(d, M.moments(d, FEATS)), FEATS, "label")
     return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(["bias", *FEATS], weights, strict=True)], "term string, weight double")
 
 
 @query()
 def oof_auc(spark, sf):
-    return R.auc(M.out_of_fold(model_rows(spark, sf), FEATS, "label", PAIR, iterations=8), "prob", "label")
+    """AUC of out-of-fold scores, pooled and as a mean of the folds."""
+    return M.cv_auc(settle(model_rows(spark, sf)), FEATS, "label", PAIR)
+
+
+def train_and_test(spark, sf):
+    """Pairs with titles and bodies, of repositories in and out of the training half (by hash order)."""
+    d = settle(B.with_bodies(spark, sf, B.titled(spark, sf)))
+    half = S.repo_split(d.select("repo"), test_share=0.5, min_train=0, dev_share=0.0).select("repo", (F.col("split") == "test").alias("held"))
+    d = d.join(half, "repo")
+    return d.where(~F.col("held")), d.where("held")
+
+
+@query()
+def trained_scores(spark, sf):
+    """A model of some repositories' pairs, scored on the others': its report."""
+    train, test = train_and_test(spark, sf)
+    x, y, names = T.trained_features(train, test, PAIR, X.task_text(F.col("title_a"), F.col("body_a")), X.task_text(F.col("title_b"), F.col("body_b")))
+    return R.binary_report(settle(M.train_to_test(settle(x), settle(y), names, "label", PAIR)), "prob", "label")
+
+
+HYBRID = ["title_jaccard", "dup_title", "cross_agent", "near_miss", "cosine"]
+
+
+@query()
+def hybrid_fit(spark, sf):
+    """Weights of the hybrid classifier of a shared file, on all features but the shared file itself."""
+    f = settle(B.with_bodies(spark, sf, flags(spark, sf)).drop("files_a", "files_b"))
+    d = settle(T.hybrid_features(f, PAIR).withColumn("label", F.col("conflict")))
+    weights = M.fit_hybrid(d, HYBRID, "label")
+    return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(["bias", *HYBRID], weights, strict=True)], "term string, weight double")
+
+
+_GATE = "-0.889 + 0.232 * (cosine - 0.160) / 0.145 + 0.213 * (score - 0.088) / 0.151 + 0.004 * ((agent_a = agent_b)::INT - 0.956) / 0.204 + 0.546 * (rate - 0.292) / 0.120"
 
 
-@query(w("SELECT repo, pr_a, pr_b, round(1 / (1 + exp(-z)), 9) AS gate FROM (SELECT repo, pr_a, pr_b, -0.889 + 0.232 * (score - 0.160) / 0.145 + 0.213 * (score - 0.088) / 0.151 + 0.004 * (label - 0.956) / 0.204 + 0.546 * (0.3 - 0.292) / 0.120 AS z FROM s)", "titled", s=scored.sql))
+@query(w(f"SELECT t.repo, t.pr_a, t.pr_b, round(1 / (1 + exp(-({_GATE}))), 6) AS gate FROM titled t JOIN s USING (repo, pr_a, pr_b) JOIN ({SQL['tfidf_cosine']}) c USING (repo, pr_a, pr_b) JOIN ({SQL['trailing_rate']}) r USING (repo, pr_a, pr_b)", "titled", s=scored.sql))
 def gate_score(spark, sf):
-    s = scored(spark, sf)
-    return s.select(*PAIR, F.round(M.gate_score(F.col("score"), F.col("score"), F.col("label"), F.lit(0.3)), 9).alias("gate"))
+    """The released gate on its own inputs: cosine and Jaccard of titles, same agent, and the repository's rate so far."""
+    d = settle(B.titled(spark, sf).drop("files_a", "files_b"))
+    same = d.select(*PAIR, (F.col("agent_a") == F.col("agent_b")).cast("int").alias("same"))
+    g = same.join(T.tfidf_cosine(d, PAIR, F.col("title_a"), F.col("title_b")), PAIR).join(scored(spark, sf).select(*PAIR, "score"), PAIR).join(C.trailing_rate(d).select(*PAIR, "rate"), PAIR)
+    return g.select(*PAIR, F.round(M.gate_score(F.col("cosine"), F.col("score"), F.col("same"), F.col("rate")), 6).alias("gate"))
 
 
 @query("SELECT doc_id, 'none' AS category, CAST(1 AS INT) AS confidence, has_diff, CASE WHEN doc_id % 4 = 1 AND NOT has_diff THEN 'none' ELSE ['D', 'H', 'C', 'none'][(doc_id % 4) + 1] END AS official FROM (SELECT doc_id, doc_id % 3 = 0 AS has_diff FROM documents)")
@@ -231,7 +306,7 @@ def judge_echo(spark, sf):
     from weftline.operators.annotate import official_label
     from weftline.sources.providers import get_provider, judge
 
-    d = B.read(spark, sf, "documents").select("doc_id", X.pair_prompt(F.lit(1), F.col("text"), F.col("text"), 50).alias("prompt"))
+    d = B.read(spark, sf, "documents").select("doc_id", X.pair_prompt(F.lit(1), F.col("text"), F.col("text"), 1 << 30).alias("prompt"))
     a = judge(d, lambda: get_provider("echo"), ["doc_id"]).select("doc_id", X.parse_judgement(F.col("raw_text")).alias("j"), (F.col("doc_id") % 3 == 0).alias("has_diff"))
     label = F.element_at(F.array(*map(F.lit, ("D", "H", "C", "none"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return a.select("doc_id", "j.category", "j.confidence", "has_diff", official_label(label, F.col("has_diff")).alias("official"))

@@ -10,7 +10,8 @@ from weftline.operators import similarity as T
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
-from weftline.plans.registry import query
+from weftline.plans.registry import SQL, query
+from weftline.sources.scratch import settle
 
 
 def q_words(t):
@@ -41,9 +42,9 @@ def roc_points(spark, sf):
     return R.roc_points(scored(spark, sf), "score", "label")
 
 
-@query(ws("SELECT k, round(hits / k, 9) AS precision FROM (SELECT CAST(row_number() OVER o AS INT) AS k, sum(label) OVER (ORDER BY score DESC, repo, pr_a, pr_b ROWS UNBOUNDED PRECEDING) AS hits FROM s WINDOW o AS (ORDER BY score DESC, repo, pr_a, pr_b)) WHERE k IN (10, 50, 100, 200)"))
+@query(ws("SELECT k, round(hits / k, 9) AS precision FROM (SELECT CAST(row_number() OVER o AS INT) AS k, sum(label) OVER (ORDER BY score DESC, repo, pr_a, pr_b ROWS UNBOUNDED PRECEDING) AS hits FROM s WINDOW o AS (ORDER BY score DESC, repo, pr_a, pr_b)) WHERE k % 10 = 0 AND k <= 400"))
 def precision_at_k(spark, sf):
-    return R.precision_at(scored(spark, sf), "score", "label", [10, 50, 100, 200], PAIR)
+    return R.precision_at(scored(spark, sf), "score", "label", list(range(10, 401, 10)), PAIR)
 
 
 @query(ws("SELECT round(sum(pos * prec) / nullif(sum(pos), 0), 9) AS average_precision, round(sum(pos * (1 - score) * (1 - score) + (n - pos) * score * score) / sum(n), 9) AS brier FROM (SELECT *, sum(pos) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS prec FROM k)", k=_BLOCKS))
@@ -87,10 +88,10 @@ def ladder_features(spark, sf):
     return T.ladder_features(B.titled(spark, sf), PAIR)
 
 
-@query(ws("SELECT count(*) FILTER (label = 0 AND score >= 0.5) AS n_false_high, count(*) FILTER (label = 1 AND score <= 0.1) AS n_false_low, count(*) AS n FROM s"))
+@query(ws("SELECT count(*) FILTER (label = 0 AND score >= 0.9) AS n_false_high, count(*) FILTER (label = 1 AND score <= 0.1) AS n_false_low, count(*) AS n FROM s"))
 def confident_errors(spark, sf):
     s, y = F.col("score"), F.col("label")
-    return scored(spark, sf).agg(F.count_if((y == 0) & (s >= 0.5)).alias("n_false_high"), F.count_if((y == 1) & (s <= 0.1)).alias("n_false_low"), F.count("*").alias("n"))
+    return scored(spark, sf).agg(F.count_if((y == 0) & (s >= 0.9)).alias("n_false_high"), F.count_if((y == 1) & (s <= 0.1)).alias("n_false_low"), F.count("*").alias("n"))
 
 
 @query(ws("(SELECT 'high' AS side, repo, pr_a, pr_b, score FROM s WHERE label = 0 ORDER BY score DESC, repo, pr_a, pr_b LIMIT 5) UNION ALL (SELECT 'low', repo, pr_a, pr_b, score FROM s WHERE label = 1 ORDER BY score, repo, pr_a, pr_b LIMIT 5)"))
@@ -109,3 +110,8 @@ def folds(spark, sf):
 def error_histogram(spark, sf):
     e = F.abs(F.col("label") - F.col("score"))
     return scored(spark, sf).groupBy(F.least(F.floor(e * 20), F.lit(19)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(ws("SELECT n, n_pos, n - n_pos AS n_neg, auroc, CASE WHEN n_pos BETWEEN 1 AND n - 1 THEN average_precision END AS auprc, brier, round(coalesce(tp / nullif(guessed, 0), 0), 9) AS precision, round(coalesce(tp / nullif(n_pos, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(guessed + n_pos, 0), 0), 9) AS f1 FROM (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (score >= 0.5) AS guessed FROM s), (SELECT auc AS auroc FROM (" + SQL["auc"] + ")), (" + SQL["avg_precision"] + ")"))
+def binary_report(spark, sf):
+    return R.binary_report(settle(scored(spark, sf)), "score", "label")

@@ -14,7 +14,7 @@ from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
 from weftline.plans.measures import flags, q_mh, two_raters
-from weftline.plans.pools import _CLASS, q_jaccard, wf
+from weftline.plans.pools import _CLASS, FLAGS, FLAGS0, MEGA, NORM, TOKS, q_jaccard, wf
 from weftline.plans.registry import SQL, query
 from weftline.sources.scratch import settle
 
@@ -45,15 +45,25 @@ def indicator_scores(spark, sf):
     return T.indicator_scores(flags(spark, sf), PAIR)
 
 
-_WORDS = " UNION ALL ".join(f"SELECT {KEY}, {i} AS side, unnest(regexp_extract_all(lower(coalesce(title_{s}, '')), '[a-z0-9_]+')) AS token FROM titled" for i, s in enumerate("ab"))
-_COUNTS = f"SELECT {KEY}, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM words GROUP BY repo, pr_a, pr_b, token"
-_NORMS = f"SELECT {KEY}, sum(x * y) AS dot, sum(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE (ln(1.5) + 1) ** 2 END * x * x) AS na, sum(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE (ln(1.5) + 1) ** 2 END * y * y) AS nb FROM counts GROUP BY 1, 2, 3"
-_COS = "round(CASE WHEN na > 0 AND nb > 0 THEN dot / sqrt(na * nb) ELSE 0 END, 9) AS cosine"
+_TEXTS = f"SELECT {KEY}, coalesce(title_a, '') || ' ' || coalesce(x.body, '') AS ta, coalesce(title_b, '') || ' ' || coalesce(y.body, '') AS tb FROM titled LEFT JOIN bodies x ON x.pr = pr_a LEFT JOIN bodies y ON y.pr = pr_b"
+_WORDS = " UNION ALL ".join(f"SELECT {KEY}, '{s}' AS side, unnest(regexp_extract_all(lower(t{s}), '[a-z0-9_]+')) AS token FROM texts" for s in "ab")
+_COUNTS = f"SELECT {KEY}, side, token, count(*) AS c FROM words GROUP BY ALL"
+_IDF = "SELECT token, ln((1 + 2 * (SELECT count(*) FROM texts)) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY 1"
+_VECTORS = f"SELECT {KEY}, side, token, c * idf AS w FROM counts JOIN idf USING (token)"
+_NORMS = f"SELECT {KEY}, sum(w * w) FILTER (side = 'a') AS na, sum(w * w) FILTER (side = 'b') AS nb FROM vectors GROUP BY 1, 2, 3"
+_DOTS = f"SELECT {KEY}, sum(a.w * b.w) AS dot FROM (SELECT * FROM vectors WHERE side = 'a') a JOIN (SELECT * FROM vectors WHERE side = 'b') b USING (repo, pr_a, pr_b, token) GROUP BY 1, 2, 3"
+_COS = "round(coalesce(CASE WHEN na > 0 AND nb > 0 THEN dot / sqrt(na * nb) END, 0), 9) AS cosine"
 
 
-@query(wf(f"SELECT f.repo, f.pr_a, f.pr_b, round({q_jaccard('toks_a', 'toks_b', '1.0')}, 9) AS title_jaccard, {', '.join(f'coalesce({c}, false)::INT AS {c}' for c in ('dup_title', 'conflict', 'cross_agent', 'near_miss'))}, {_COS} FROM flags f LEFT JOIN norms n ON n.repo = f.repo AND n.pr_a = f.pr_a AND n.pr_b = f.pr_b", words=_WORDS, counts=_COUNTS, norms=_NORMS))
+def wt(body, **more):
+    """SQL over flags and the texts of both sides."""
+    parts = dict(texts=_TEXTS, words=_WORDS, counts=_COUNTS, idf=_IDF, vectors=_VECTORS, norms=_NORMS, dots=_DOTS)
+    return w(body, "titled", "bodies", megas=MEGA, norm=NORM, toks=TOKS, flags0=FLAGS0, flags=FLAGS, **parts, **more)
+
+
+@query(wt(f"SELECT f.repo, f.pr_a, f.pr_b, round({q_jaccard('toks_a', 'toks_b', '1.0')}, 9) AS title_jaccard, {', '.join(f'coalesce({c}, false)::INT AS {c}' for c in ('dup_title', 'conflict', 'cross_agent', 'near_miss'))}, {_COS} FROM flags f LEFT JOIN norms n ON n.repo = f.repo AND n.pr_a = f.pr_a AND n.pr_b = f.pr_b LEFT JOIN dots d ON d.repo = f.repo AND d.pr_a = f.pr_a AND d.pr_b = f.pr_b"))
 def hybrid_features(spark, sf):
-    return T.hybrid_features(flags(spark, sf), PAIR)
+    return T.hybrid_features(settle(B.with_bodies(spark, sf, flags(spark, sf)).drop("files_a", "files_b")), PAIR)
 
 
 @query(wf("SELECT primary_stratum, n, n_both_ok, round(n_both_ok / n, 9) AS share FROM (SELECT primary_stratum, count(*) AS n, count(*) FILTER (pr_a % 5 NOT IN (0, 1) AND pr_b % 5 NOT IN (0, 1)) AS n_both_ok FROM flags GROUP BY 1)"))

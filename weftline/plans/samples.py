@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.config import Settings
 from weftline.operators import audit
 from weftline.operators import sampling as S
 from weftline.plans import binding as B
@@ -11,6 +12,7 @@ from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
 from weftline.plans.pools import flags, wf
 from weftline.plans.registry import query
+from weftline.sources.scratch import settle
 
 SMALL = {"revert": None, "dup": 60, "fix_in_flight": 80, "bm_shared": 40, "overlap_other": 80, "near_miss": 200, "control": 200}
 KEY = "repo, pr_a, pr_b"
@@ -70,23 +72,73 @@ def sample_audit(spark, sf):
 
 @query(wf(f"SELECT repo, pr_a, pr_b, p.pi AS pi_prevalence, e.pi AS pi_enriched, p.pi IS NOT NULL AS in_prevalence_sample, e.pi IS NOT NULL AS in_enriched_sample, e.pi AS incl_prob, CAST(row_number() OVER (ORDER BY {HASH.format(20260824)}, {KEY}) AS INT) AS frame_id FROM ps p FULL JOIN es e USING (repo, pr_a, pr_b)", **PARTS))
 def judging_frame(spark, sf):
-    f = flags(spark, sf)
+    f = settle(flags(spark, sf).select(*PAIR, "mega", "cross_agent", "conflict", "primary_stratum", "both_merged", "cross_agent_candidate"))
     return S.frame(prevalence(spark, sf, f), enriched(spark, sf, f), PAIR)
 
 
-_CAL = {"overlap": ("conflict", 30), "dup": ("dup_title", 30), "revert": ("revert", 10), "near_miss": ("near_miss", 15), "control": ("primary_stratum = 'control'", 15)}
-_CALQ = ", ".join(f"CASE WHEN {c} THEN row_number() OVER (PARTITION BY {c} ORDER BY h, {KEY}) END AS q{i}" for i, (c, _) in enumerate(_CAL.values()))
-_CALD = " OR ".join(f"coalesce(q{i}, {n + 1}) <= {n}" for i, (_, n) in enumerate(_CAL.values()))
+_CAL = {"overlap": ("conflict", 30), **{k: (f"primary_stratum = '{k}'", n) for k, n in (("dup", 30), ("revert", 10), ("near_miss", 15), ("control", 15))}}
+_CALH = f"SELECT *, {HASH.format(20260825)} AS h FROM flags"
+_CALQ = " UNION ".join(f"SELECT * FROM (SELECT {KEY}, h FROM ch WHERE {c} ORDER BY h, {KEY} LIMIT {n})" for c, n in _CAL.values())
 
 
-@query(wf(f"SELECT {KEY}, drawn FROM (SELECT *, row_number() OVER (ORDER BY drawn DESC, h, {KEY}) AS turn FROM (SELECT *, {_CALD} AS drawn FROM (SELECT *, {_CALQ} FROM (SELECT *, {HASH.format(20260825)} AS h FROM flags)))) WHERE drawn OR turn <= 100"))
+def q_calibration(total):
+    return f"SELECT {KEY}, drawn FROM (SELECT *, row_number() OVER (ORDER BY drawn DESC, h, {KEY}) AS turn FROM (SELECT {KEY}, h, (repo, pr_a, pr_b) IN (SELECT (repo, pr_a, pr_b) FROM cq) AS drawn FROM ch)) WHERE turn <= {total}"
+
+
+def quotas():
+    return {k: (F.expr(c), n) for k, (c, n) in _CAL.items()}
+
+
+@query(wf(q_calibration(100), ch=_CALH, cq=_CALQ))
 def calibration_quota(spark, sf):
-    return S.quota_sample(flags(spark, sf), {k: (F.expr(c), n) for k, (c, n) in _CAL.items()}, 100, PAIR).select(*PAIR, "drawn")
+    return S.quota_sample(flags(spark, sf), quotas(), 100, PAIR).select(*PAIR, "drawn")
+
+
+@query(wf(q_calibration(60), ch=_CALH, cq=_CALQ))
+def calibration_cut(spark, sf):
+    """Fewer rows than the quotas draw: the draw is cut to the total."""
+    return S.quota_sample(flags(spark, sf), quotas(), 60, PAIR).select(*PAIR, "drawn")
+
+
+_SIZES = "SELECT repo, n, coalesce(sum(n) OVER (ORDER BY md5(concat_ws('|', '20260824', repo)), repo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT repo, count(*) AS n FROM labeled GROUP BY 1)"
+_TESTED = "SELECT *, before < CASE WHEN total < 200 THEN least(greatest(round_even(total * 0.6::DOUBLE, 0), 1), total) ELSE round_even(total * 0.6::DOUBLE, 0) END AS test FROM sizes"
+
+
+def q_split(dev):
+    return f"SELECT repo, n, CASE WHEN test THEN 'test' WHEN total < 200 OR before - coalesce(sum(CASE WHEN test THEN n END) OVER (), 0) < round_even(total * {dev}::DOUBLE, 0) THEN 'dev' ELSE 'train' END AS split FROM tested"
 
 
-@query(w("SELECT repo, n, CASE WHEN before < total * 0.6 THEN 'test' WHEN before < CASE WHEN total < 200 THEN total ELSE total * 0.8 END THEN 'dev' ELSE 'train' END AS split FROM (SELECT repo, n, coalesce(sum(n) OVER (ORDER BY md5(concat_ws('|', '20260824', repo)), repo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT repo, count(*) AS n FROM labeled GROUP BY 1))", "labeled"))
+@query(w(q_split(0.4), "labeled", sizes=_SIZES, tested=_TESTED))
 def repo_split(spark, sf):
-    return S.repo_split(B.labeled(spark, sf))
+    return S.repo_split(B.labeled(spark, sf), dev_share=Settings().dev_share)
+
+
+@query(w(q_split(0.2), "labeled", sizes=_SIZES, tested=_TESTED))
+def repo_split_three(spark, sf):
+    """With a fifth for dev, so that train has rows too."""
+    return S.repo_split(B.labeled(spark, sf), dev_share=0.2)
+
+
+_VAL = f"SELECT {KEY} FROM jf WHERE (repo, pr_a, pr_b) NOT IN (SELECT (repo, pr_a, pr_b) FROM cal) ORDER BY {HASH.format(20260826)}, {KEY} LIMIT 300"
+_FRAMED = {**PARTS, "jf": f"SELECT {KEY}, p.pi AS pi_prevalence, e.pi AS pi_enriched, conflict, primary_stratum FROM ps p FULL JOIN es e USING (repo, pr_a, pr_b) JOIN flags USING (repo, pr_a, pr_b)", "ch": _CALH.replace("FROM flags", "FROM jf"), "cq": _CALQ, "cal": q_calibration(100), "val": _VAL}
+_WEIGHTS = " UNION ALL ".join(f"SELECT '{n}' AS sample, count(*) AS n, round(sum(w) ** 2 / sum(w * w), 6) AS n_eff, min(w) AS w_min, median(w) AS w_median, max(w) AS w_max, count(*) FILTER (w >= 50 * (SELECT median(1 / pi_{n}) FROM jf WHERE pi_{n} IS NOT NULL)) AS n_extreme FROM (SELECT 1 / pi_{n} AS w FROM jf WHERE pi_{n} IS NOT NULL)" for n in ("prevalence", "enriched"))
+
+
+def framed(spark, sf):
+    f = settle(flags(spark, sf))
+    return S.framed(prevalence(spark, sf, f), enriched(spark, sf, f), f, PAIR)
+
+
+@query(wf(f"{_WEIGHTS} UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0 FROM {t}" for n, t in (("frame", "jf"), ("calibration", "cal"), ("validation", "val"))), **_FRAMED))
+def design_report(spark, sf):
+    """Figures of the sampling design: effective sizes, weights, and the sizes of frame, calibration and validation."""
+    return framed(spark, sf)["design"]
+
+
+@query(wf(f"SELECT {KEY} FROM val", **_FRAMED))
+def validation_sample(spark, sf):
+    """Rows of the frame that the calibration sample does not hold."""
+    return framed(spark, sf)["validation"].select(*PAIR)
 
 
 @query(w(f"SELECT {KEY}, conflict FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY r, conflict, {KEY}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo, conflict ORDER BY {HASH.format(20260824)}, {KEY}) AS r FROM labeled)) WHERE t <= 4", "labeled"))
@@ -104,7 +156,7 @@ def sample_invariants(spark, sf):
     return audit.violations(enriched(spark, sf), audit.share_rules("pi"), PAIR).withColumn("check", F.regexp_replace("check", "^pi_pi_", "pi_"))
 
 
-_SPLIT = "SELECT repo, CASE WHEN b < t * 0.6 THEN 'test' ELSE 'rest' END AS split FROM (SELECT repo, coalesce(sum(n) OVER (ORDER BY md5(concat_ws('|', '20260824', repo)), repo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM (SELECT repo, count(*) AS n FROM labeled GROUP BY 1))"
+_SPLIT = f"SELECT repo, CASE WHEN test THEN 'test' ELSE 'rest' END AS split FROM (SELECT * FROM ({_TESTED.replace('FROM sizes', f'FROM ({_SIZES})')}))"
 
 
 @query(w("SELECT count(*) AS n_shared_repos, (SELECT count(*) FROM (SELECT repo, pr_a AS pr FROM labeled JOIN sp USING (repo) WHERE split = 'test' INTERSECT SELECT repo, pr_b FROM labeled JOIN sp USING (repo) WHERE split <> 'test')) AS n_shared_prs FROM (SELECT repo FROM sp WHERE split = 'test' INTERSECT SELECT repo FROM sp WHERE split <> 'test')", "labeled", sp=_SPLIT))

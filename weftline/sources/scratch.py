@@ -11,5 +11,8 @@ def settle(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that spark.checkpoint.dir names; a folder of its own only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
