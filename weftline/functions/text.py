@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ def as_bool(c: Column, kind: str) -> Column:
 
 def normalize_title(c: Column) -> Column:
     """Lower case without bracketed tags; letters and digits between single spaces."""
+    # Patterns.
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\[[^\]]*\]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
@@ -60,6 +63,7 @@ def has_fix_word(normalised: Column, s: Settings = S) -> Column:
 def filename_tokens(c: Column) -> Column:
     """Words that look like file names or paths, without leading ./ and without outer / and dots; each once."""
     t = F.coalesce(c, F.lit(""))
+    # Patterns.
     names = F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9_./-]*[A-Za-z0-9_-]\.[A-Za-z][A-Za-z0-9]{0,5})"), F.lit(1))
     paths = F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)"), F.lit(1))
     bare = F.transform(F.concat(names, paths), lambda x: F.regexp_replace(F.regexp_replace(x, r"^(\./)+", ""), r"^[/.]+|[/.]+$", ""))
@@ -93,19 +97,21 @@ def parse_judgement(c: Column, categories=("D", "C", "H", "B", "I", "none")) ->
     return F.when(good, F.struct(j["category"].alias("category"), j["confidence"].cast("int").alias("confidence"), F.substring(F.coalesce(j["evidence"], F.lit("")), 1, 300).alias("evidence")))
 
 
-def parse_batch(c: Column) -> Column:
-    """(id, prob in 0 to 1) of each item of a JSON array in an answer, or of loose `id: .. prob: ..` text."""
+def parse_batch(c: Column, asked: Column | None = None) -> Column:
+    """(id, prob in 0 to 1) of each item of a JSON array in an answer, or of loose `id: .. prob: ..` text; only the ids asked for, if given."""
     items = F.from_json(F.regexp_extract(c, r"(?s)(\[.*\])", 1), "array<struct<id:int,prob:double>>")
+    # Pattern.
     pattern = r'"?id"?\s*[:=]\s*(\d+)\D+?"?prob"?\s*[:=]\s*(\d+(?:\.\d+)?)'
     ids, probs = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
     loose = F.transform(F.arrays_zip(ids.alias("i"), probs.alias("p")), lambda x: F.struct(x["i"].cast("int").alias("id"), x["p"].cast("double").alias("prob")))
     both = F.coalesce(F.when(F.size(items) > 0, items), loose)
-    good = F.filter(both, lambda x: x["id"].isNotNull() & x["prob"].isNotNull())
+    good = F.filter(both, lambda x: x["id"].isNotNull() & x["prob"].isNotNull() & (F.lit(True) if asked is None else F.array_contains(asked, x["id"])))
     return F.transform(good, lambda x: F.struct(x["id"].alias("id"), (F.least(F.greatest(x["prob"], F.lit(0.0)), F.lit(100.0)) / 100).alias("prob")))
 
 
 def fenced_code(c: Column) -> Column:
     """Lines of the first fenced block; none: null, empty: an empty array."""
+    # Pattern.
     fence = r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```"
     body = F.regexp_replace(F.regexp_extract(c, fence, 1), r"\n$", "")
     return F.when(c.rlike(fence), F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n")))
@@ -113,3 +119,18 @@ def fenced_code(c: Column) -> Column:
 
 def pair_prompt(no: Column, task_a: Column, task_b: Column, chars: int = 900) -> Column:
     return F.format_string("### Pair %d\nA: %s\nB: %s\n", no, F.substring(task_a, 1, chars), F.substring(task_b, 1, chars))
+
+
+def utc(c: Column) -> Column:
+    """A timestamp from text; what is none is null."""
+    return F.try_to_timestamp(c)
+
+
+def listed(c: Column, sign: str = "|") -> Column:
+    """The list that array_join(list, sign) wrote; empty text is the empty list."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, re.escape(sign)))
+
+
+def json_object(*columns: str) -> Column:
+    """A JSON object of some columns, in their order, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

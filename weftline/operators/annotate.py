@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import BLIND_PARTS, HARMFUL, LABELS
-from weftline.operators.stats import cohen_kappa, fleiss_kappa, krippendorff_alpha
+from weftline.operators.stats import class_scores, cohen_kappa, crosstab, fleiss_kappa, krippendorff_alpha
 
 
 def blinded(df: DataFrame, hidden: tuple[str, ...] = ()) -> DataFrame:
@@ -55,6 +55,14 @@ def agreement(sheets: list[DataFrame], item: str = "item") -> DataFrame:
     return cohen_kappa(two, "a", "b").crossJoin(F.broadcast(f)).crossJoin(F.broadcast(krippendorff_alpha(every, item, "label_category").select("alpha")))  # one row each
 
 
+def agreement_by_class(sheets: list[DataFrame], item: str = "item", labels=LABELS) -> tuple[DataFrame, DataFrame]:
+    """Of the first two raters, the first taken as true: scores by class with the macro F1 (over classes that have one), and the confusion grid."""
+    two = sheets[0].select(item, F.col("label_category").alias("a")).join(sheets[1].select(item, F.col("label_category").alias("b")), item)
+    per = class_scores(two, "a", "b")
+    macro = per.agg(F.round(F.avg("f1"), 9).alias("macro_f1"))
+    return per.crossJoin(F.broadcast(macro)), crosstab(two, "a", "b", list(labels))  # one row
+
+
 def official_label(provisional, has_diff):
     """A judged label that needs a diff counts as none without one."""
     return F.when(has_diff | provisional.isin("D", "C", "none"), provisional).otherwise("none")

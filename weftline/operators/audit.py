@@ -59,6 +59,51 @@ def audit(sections: dict[str, DataFrame], warn: tuple[str, ...] = ()) -> DataFra
     return out.withColumn("status", status)
 
 
+# Sections of the audit, in order.
+SECTIONS = ("data", "pools", "sampling", "gold", "judge", "static_analysis", "benchmark", "reproducibility")
+
+
+def full_audit(pairs: DataFrame, flags: DataFrame | None = None, frame: DataFrame | None = None, gold: DataFrame | None = None, judged: DataFrame | None = None, evidence: DataFrame | None = None, splits: DataFrame | None = None, manifest: dict | None = None, strict: bool = False) -> DataFrame:
+    """section, check, n, status over eight sections.  What a section needs and is not there is a warning, but a missing manifest is a failure if strict.
+
+    gold: item, label; judged: item, category, raw_text; evidence: repo, pr_a, pr_b; splits: repo, split.
+    """
+    spark, key = pairs.sparkSession, ["repo", "pr_a", "pr_b"]
+    one = lambda name, n: spark.createDataFrame([(name, int(n))], "check string, n long")
+    absent = lambda name: one(f"{name}_missing", 1)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+    outside = lambda df, name: count(df.join(pairs.select(*key), key, "left_anti"), name)
+    parts: dict[str, list[DataFrame]] = {s: [] for s in SECTIONS}
+    parts["data"].append(violations(pairs, pair_rules(), key))
+    parts["pools"].append(violations(flags, flag_rules()) if flags is not None else absent("flags"))
+    if frame is None:
+        parts["sampling"].append(absent("frame"))
+    else:
+        parts["sampling"] += [violations(frame, {"frame_id_null": F.col("frame_id").isNull()}, ["frame_id"]), outside(frame, "outside_population")]
+        for name in ("enriched", "prevalence"):
+            parts["sampling"].append(violations(frame.where(f"in_{name}_sample"), share_rules(f"pi_{name}")))
+    parts["gold"].append(violations(gold, label_rules("label"), ["item"]) if gold is not None else absent("gold"))
+    parts["judge"].append(violations(judged, {"raw_missing": F.col("raw_text").isNull(), **label_rules("category")}, ["item"]) if judged is not None else absent("judge"))
+    parts["static_analysis"].append(outside(evidence.select(*key).distinct(), "evidence_outside_population") if evidence is not None else absent("evidence"))
+    if splits is None:
+        parts["benchmark"].append(absent("splits"))
+    else:
+        both = splits.groupBy("repo").agg(F.countDistinct("split").alias("k")).where("k > 1")
+        parts["benchmark"].append(count(both, "repo_in_two_splits"))
+    if manifest is None:
+        parts["reproducibility"].append(one("manifest_absent" if strict else "manifest_missing", 1))
+    else:
+        for name in ("git_commit", "inputs", "row_counts", "pool_counts"):
+            parts["reproducibility"].append(one(f"{name}_empty" if name != "git_commit" else "git_commit_missing", not manifest.get(name)))
+    out = None
+    for section, tables in parts.items():
+        for d in tables:
+            d = d.select(F.lit(section).alias("section"), "check", "n")
+            out = d if out is None else out.unionByName(d)
+    status = F.when(F.col("n") == 0, "PASS").when(F.col("check").endswith("_missing") & ~F.col("check").isin("raw_missing"), "WARN").otherwise("FAIL")
+    return out.withColumn("status", status)
+
+
 def exit_code(report: DataFrame) -> int:
     return int(not report.where("status = 'FAIL'").isEmpty())
 

@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import micros
+from weftline.sources.scratch import settle
 
 DAY = 86_400_000_000
 
 
+def running_sums(t: DataFrame, by: str, at: str, sums: list[str], order: list[str] | None = None, bucket_days: int = 30) -> DataFrame:
+    """t with <name>_so_far: sums over the group's rows at or before, in order of `at` and `order`; without `order`, strictly before `at`.
+
+    Windows are within (group, time bucket), shifted by the totals of the buckets before, so that a group which holds most of the rows
+    is spread over its history.  The rows are written first, as they are read twice.
+    """
+    t = settle(t.withColumn("_b", F.floor(F.col(at) / (bucket_days * DAY)).cast("long")))
+    earlier = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = t.groupBy(by, "_b").agg(*(F.sum(c).alias(c) for c in sums)).select(by, "_b", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    w = Window.partitionBy(by, "_b").orderBy(at, *(order or []))
+    w = w.rangeBetween(Window.unboundedPreceding, -1) if order is None else w.rowsBetween(Window.unboundedPreceding, 0)
+    return t.withColumns({f"{c}_so_far": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums}).join(whole, [by, "_b"]).withColumns({f"{c}_so_far": F.col(f"{c}_so_far") + F.col(f"_{c}") for c in sums}).drop("_b", *(f"_{c}" for c in sums))
+
+
 def censored(df: DataFrame) -> DataFrame:
     """Missing closes at the latest time seen (one scalar); rows without an open go."""
     cutoff = df.agg(F.max(F.greatest("opened", "closed")).alias("_cutoff"))
@@ -37,21 +52,21 @@ def coactive_pairs(df: DataFrame, bucket_days: int = 60) -> DataFrame:
 def intervals(pairs: DataFrame) -> DataFrame:
     """The different requests of both roles: repo, pr, opened, closed."""
     side = lambda s: pairs.select("repo", F.col(f"pr_{s}").alias("pr"), F.col(f"opened_{s}").alias("opened"), F.col(f"closed_{s}").alias("closed"))
-    return side("a").unionByName(side("b")).dropDuplicates(["repo", "pr"])
+    return side("a").unionByName(side("b")).groupBy("repo", "pr").agg(F.min(F.struct("opened", "closed")).alias("s")).select("repo", "pr", "s.opened", "s.closed")
 
 
 def concurrency_at(points: DataFrame, spans: DataFrame, at: str = "at") -> DataFrame:
     """points (repo, key columns, `at` in microseconds) with `concurrency`: spans of the repo open then, ends included.
 
-    Opens, closes and points go into one ordered window per repo: linear, where a range join would be quadratic.
+    Opens, closes and points go into one running sum a repo: linear, where a range join would be quadratic.
     """
     keys = [c for c in points.columns if c not in ("repo", at)]
     none = [F.lit(None).cast(dict(points.dtypes)[k]).alias(k) for k in keys]
     up = spans.select("repo", micros(F.col("opened")).alias(at), F.lit(0).alias("kind"), F.lit(1).alias("step"), *none)
     down = spans.select("repo", micros(F.col("closed")).alias(at), F.lit(2).alias("kind"), F.lit(-1).alias("step"), *none)
     ask = points.select("repo", at, F.lit(1).alias("kind"), F.lit(0).alias("step"), *keys)
-    w = Window.partitionBy("repo").orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return up.union(down).union(ask).withColumn("concurrency", F.sum("step").over(w)).where("kind = 1").select("repo", at, *keys, "concurrency")
+    t = running_sums(up.union(down).union(ask), "repo", at, ["step"], ["kind"])
+    return t.where("kind = 1").select("repo", at, *keys, F.col("step_so_far").alias("concurrency"))
 
 
 def concurrency_profile(spans: DataFrame) -> DataFrame:
@@ -59,8 +74,13 @@ def concurrency_profile(spans: DataFrame) -> DataFrame:
     up = spans.select("repo", micros(F.col("opened")).alias("at"), F.lit(1).alias("step"))
     down = spans.select("repo", micros(F.col("closed")).alias("at"), F.lit(-1).alias("step"))
     steps = up.union(down).groupBy("repo", "at").agg(F.sum("step").alias("step"), F.count_if(F.col("step") > 0).alias("opens"))
-    w = Window.partitionBy("repo").orderBy("at")
-    t = steps.withColumn("level", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("held", F.lead("at").over(w) - F.col("at"))
+    t = running_sums(steps, "repo", "at", ["step"], []).withColumnRenamed("step_so_far", "level")
+    # The next step of a repo is in its bucket, or else the first one of the next bucket that it has.
+    b = F.floor(F.col("at") / (30 * DAY)).cast("long")
+    t = settle(t.withColumn("_b", b))
+    first = t.groupBy("repo", "_b").agg(F.min("at").alias("_first")).withColumn("_after", F.lead("_first").over(Window.partitionBy("repo").orderBy("_b"))).select("repo", "_b", "_after")
+    t = t.withColumn("_next", F.lead("at").over(Window.partitionBy("repo", "_b").orderBy("at"))).join(first, ["repo", "_b"])
+    t = t.withColumn("held", F.coalesce("_next", "_after") - F.col("at"))
     out = t.groupBy("repo").agg(F.sum("opens").alias("n_prs"), F.max("level").alias("max_level"), (F.max("at") - F.min("at")).alias("span"), F.sum(F.col("level") * F.col("held")).alias("area"))
     return out.select("repo", "n_prs", "max_level", (F.col("span") / DAY).alias("span_days"), F.when(F.col("span") > 0, F.col("area") / F.col("span")).alias("mean_level"))
 
@@ -69,9 +89,8 @@ def trailing_rate(pairs: DataFrame, prior: float = 10.0, default: float = 0.5) -
     """Each pair's smoothed conflict rate over the repo's pairs that were over before it began."""
     over = pairs.select("repo", micros(F.greatest("closed_a", "closed_b")).alias("at"), F.lit(0).alias("ask"), F.col("conflict").cast("long").alias("k"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("pr_a"), F.lit(None).cast("long").alias("pr_b"))
     ask = pairs.select("repo", micros(F.col("opened_b")).alias("at"), F.lit(1).alias("ask"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("n"), F.col("pr_a").cast("long").alias("pr_a"), F.col("pr_b").cast("long").alias("pr_b"))
-    w = Window.partitionBy("repo").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    t = over.union(ask).withColumn("k", F.coalesce(F.sum("k").over(w), F.lit(0))).withColumn("n", F.coalesce(F.sum("n").over(w), F.lit(0))).where("ask = 1")
-    return t.select("repo", "pr_a", "pr_b", F.col("n").alias("n_before"), ((F.col("k") + prior * default) / (F.col("n") + prior)).alias("rate"))
+    t = running_sums(over.union(ask), "repo", "at", ["k", "n"]).where("ask = 1")
+    return t.select("repo", "pr_a", "pr_b", F.col("n_so_far").alias("n_before"), ((F.col("k_so_far") + prior * default) / (F.col("n_so_far") + prior)).alias("rate"))
 
 
 def all_pairs_by_file(files: DataFrame) -> DataFrame:

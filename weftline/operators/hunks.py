@@ -126,14 +126,23 @@ def merge_status(exit_code, missing_ref, merge_base, conflict_files, timed_out):
     )
 
 
-def first_commit_after(pairs: DataFrame, commits: DataFrame) -> DataFrame:
-    """As-of join: each pair's first main-line commit strictly after both closes (repo, at, sha in commits)."""
+def first_commit_after(pairs: DataFrame, commits: DataFrame, bucket_days: int = 30) -> DataFrame:
+    """As-of join: each pair's first main-line commit strictly after both closes (repo, at, sha in commits).
+
+    Pairs and commits meet in windows of (repo, time bucket); where a bucket has no later commit, the first one of the next bucket
+    that has any is taken, so a repo with most of the rows is spread over its history.
+    """
     from pyspark.sql import Window
 
     from weftline.functions.numbers import micros
+    from weftline.sources.scratch import settle
 
+    bucket = F.floor(F.col("at") / (bucket_days * 86_400_000_000)).cast("long").alias("b")
     ask = pairs.select("repo", "pr_a", "pr_b", micros(F.greatest("closed_a", "closed_b")).alias("at"), F.lit(None).cast("string").alias("sha"))
     have = commits.select("repo", F.lit(None).cast("long").alias("pr_a"), F.lit(None).cast("long").alias("pr_b"), micros(F.col("at")).alias("at"), "sha")
-    w = Window.partitionBy("repo").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(F.col("sha").isNotNull(), F.struct("at", "sha"))).over(w)
-    return ask.union(have).withColumn("nxt", nxt).where("pr_a is not null").select("repo", "pr_a", "pr_b", F.col("nxt.sha").alias("recon_sha"))
+    t = settle(ask.union(have).select("*", bucket))
+    mine = F.min(F.when(F.col("sha").isNotNull(), F.struct("at", "sha")))
+    first = t.groupBy("repo", "b").agg(mine.alias("f")).withColumn("later", F.min("f").over(Window.partitionBy("repo").orderBy("b").rowsBetween(1, Window.unboundedFollowing))).select("repo", "b", "later")
+    w = Window.partitionBy("repo", "b").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    t = t.withColumn("nxt", mine.over(w)).where("pr_a is not null").join(first, ["repo", "b"])
+    return t.select("repo", "pr_a", "pr_b", F.coalesce("nxt", "later")["sha"].alias("recon_sha"))

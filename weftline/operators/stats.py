@@ -169,6 +169,21 @@ def binary_confusion(df: DataFrame, positive: Column, flag: Column, digits: int
     return g.select("tp", "fp", "fn", "tn", rd(tp, tp + fp, "precision"), rd(tp, tp + fn, "recall"), rd(tn, tn + fp, "specificity"), rd(2 * tp, 2 * tp + fp + fn, "f1"), rd(fp, fp + tn, "fpr"), rd(fn, fn + tp, "fnr"))
 
 
+def crude_odds(df: DataFrame, exposed: Column, outcome: Column, digits: int = 9) -> DataFrame:
+    """One row: the outcome's rate with and without the exposure, over all rows, and the odds ratio of the two rates."""
+    e, o = F.coalesce(exposed, F.lit(False)), F.coalesce(outcome, F.lit(False))
+    g = df.agg(F.count_if(e).alias("n_exposed"), F.count_if(~e).alias("n_other"), F.count_if(e & o).alias("a"), F.count_if(~e & o).alias("c"))
+    p, q = F.try_divide("a", "n_exposed"), F.try_divide("c", "n_other")
+    return g.select("n_exposed", "n_other", F.round(p, digits).alias("rate_exposed"), F.round(q, digits).alias("rate_other"), F.round(F.try_divide(p * (1 - q), q * (1 - p)), digits).alias("odds_ratio"))
+
+
+def overlap_by_category(df: DataFrame, label: str, flag: str, labels: list[str]) -> DataFrame:
+    """Per label, those without rows too: n, and how many have the flag and do not."""
+    every = df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")
+    g = df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("n_flag"), F.count_if(~F.col(flag)).alias("n_other"))
+    return every.join(g, label, "left").fillna(0, ["n", "n_flag", "n_other"])
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, y: str, iterations: int = 5000, seed: int = 20260824, level: float = 0.95, digits: int = 9) -> DataFrame:
     """Percentile interval of a mean over clusters drawn with replacement (Poisson weights from hashes).
 

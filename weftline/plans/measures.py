@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.config import Settings
+from weftline.config import LABELS, SPEC_CONFIG, Settings
 from weftline.functions import numbers as N
 from weftline.functions import paths as P
 from weftline.operators import annotate
@@ -13,7 +13,7 @@ from weftline.operators.ranking import cumulative_share
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import _MID, _SPANS, PAIR
-from weftline.plans.pools import flags, wf
+from weftline.plans.pools import _CLASS, _NAMES, flags, wf
 from weftline.plans.ranks import scored
 from weftline.plans.registry import query
 from weftline.sources.scratch import settle
@@ -64,12 +64,39 @@ def shared_dist(spark, sf):
     return d.agg(F.count("*").alias("n"), F.round(F.avg("s"), 9).alias("mean"), F.median("s").alias("med"), F.percentile("s", F.lit(0.9)).alias("p90"), F.percentile("s", F.lit(0.99)).alias("p99"), F.max("s").alias("most"), F.count_if(s == 1).alias("n1"), F.count_if(s == 2).alias("n2"), F.count_if(s == 3).alias("n3"), F.count_if(s > 3).alias("n4"))
 
 
-@query(w("SELECT count(*) AS n, count(*) FILTER (len(list_filter(s, lambda p: contains(p, '/'))) = 0) AS n_root_only, count(*) FILTER (len(list_filter(s, lambda p: NOT contains(p, '/'))) = 0) AS n_nested_only FROM (SELECT list_intersect(files_a, files_b) AS s FROM labeled WHERE conflict)", "labeled"))
+# Files of both sides, with a name of each class among them.
+_NAMED = f"SELECT repo, pr_a, pr_b, list_intersect(list_append(files_a, {_NAMES}[(pr_a % 12) + 1]), list_append(files_b, {_NAMES}[(pr_b % 12) + 1])) AS s FROM labeled"
+_CLASSED = f"SELECT repo, pr_a, pr_b, {_CLASS} AS class FROM (SELECT repo, pr_a, pr_b, lower(p) AS low, string_split(lower(p), '/')[-1] AS name FROM (SELECT repo, pr_a, pr_b, unnest(s) AS p FROM named))"
+_SPEC = f"class IN ({', '.join(repr(c) for c in SPEC_CONFIG)})"
+
+
+def classed(spark, sf):
+    """Shared files of each pair as classes."""
+    name = lambda c: F.element_at(F.array(*(F.lit(x.strip().strip("'")) for x in _NAMES.strip("[]").split(", "))), (F.col(c) % 12 + 1).cast("int"))
+    s = F.array_intersect(F.array_append("files_a", name("pr_a")), F.array_append("files_b", name("pr_b")))
+    d = B.labeled(spark, sf).select(*PAIR, s.alias("s")).where(F.size("s") > 0)
+    return d.select(*PAIR, F.transform("s", P.file_class).alias("classes"))
+
+
+@query(w(f"SELECT count(*) AS n, CAST(count(*) FILTER (spec) AS BIGINT) AS n_pure_config, CAST(count(*) FILTER (src) AS BIGINT) AS n_any_source, CAST(count(*) FILTER (NOT spec) AS BIGINT) AS n_any_other, round(count(*) FILTER (spec) / count(*), 9) AS pure_config_rate, round(count(*) FILTER (src) / count(*), 9) AS source_rate FROM (SELECT bool_and({_SPEC}) AS spec, bool_or(class = 'source') AS src FROM classed GROUP BY repo, pr_a, pr_b)", "labeled", named=_NAMED, classed=_CLASSED))
 def composition(spark, sf):
-    """Files at the root stand for configuration, nested ones for sources."""
-    d = B.labeled(spark, sf).where("conflict").select(F.array_intersect("files_a", "files_b").alias("s"))
-    nested = lambda p: F.contains(p, F.lit("/"))
-    return d.agg(F.count("*").alias("n"), F.count_if(F.forall("s", lambda p: ~nested(p))).alias("n_root_only"), F.count_if(F.forall("s", nested)).alias("n_nested_only"))
+    """Pairs by the classes of the files they share: configuration alone, any source, anything else."""
+    spec = F.forall("classes", lambda c: c.isin(*SPEC_CONFIG))
+    source = F.exists("classes", lambda c: c == "source")
+    g = classed(spark, sf).agg(F.count("*").alias("n"), F.count_if(spec).alias("n_pure_config"), F.count_if(source).alias("n_any_source"), F.count_if(~spec).alias("n_any_other"))
+    return g.select("*", F.round(F.col("n_pure_config") / F.col("n"), 9).alias("pure_config_rate"), F.round(F.col("n_any_source") / F.col("n"), 9).alias("source_rate"))
+
+
+@query(w("SELECT class, count(*) AS n FROM classed GROUP BY 1", "labeled", named=_NAMED, classed=_CLASSED))
+def shared_classes(spark, sf):
+    """How many shared files there are of each class."""
+    return classed(spark, sf).select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(w("SELECT language, count(*) AS n, count(*) FILTER (spec) AS n_pure_config FROM (SELECT repo, bool_and(" + _SPEC + ") AS spec FROM classed GROUP BY repo, pr_a, pr_b) JOIN repositories USING (repo) GROUP BY 1", "labeled", "repositories", named=_NAMED, classed=_CLASSED))
+def composition_by_language(spark, sf):
+    d = classed(spark, sf).join(B.repositories(spark, sf), "repo")
+    return d.groupBy("language").agg(F.count("*").alias("n"), F.count_if(F.forall("classes", lambda c: c.isin(*SPEC_CONFIG))).alias("n_pure_config"))
 
 
 @query(w("SELECT name, count(*) AS n FROM (SELECT string_split(x.path, '/')[-1] AS name FROM pairs p JOIN files x ON x.pr = pr_a JOIN files y ON y.pr = pr_b AND x.path = y.path) GROUP BY 1 ORDER BY n DESC, name LIMIT 12", "pairs", "files"))
@@ -238,6 +265,24 @@ def overlap_confusion(spark, sf):
 _RATE = "['D', 'H', 'B', 'none']"
 
 
+@query(w(f"SELECT label, count(pr_a) AS n, count(*) FILTER (conflict) AS n_flag, count(*) FILTER (NOT conflict) AS n_other FROM (SELECT unnest(['D', 'C', 'H', 'B', 'I', 'none']) AS label) LEFT JOIN (SELECT *, {_RATE}[(pr_b % 4) + 1] AS label FROM labeled) USING (label) GROUP BY 1", "labeled"))
+def overlap_by_category(spark, sf):
+    """Of each gold label: pairs with a shared file, and without."""
+    label = F.element_at(F.array(*map(F.lit, ("D", "H", "B", "none"))), (F.col("pr_b") % 4 + 1).cast("int"))
+    return S.overlap_by_category(B.labeled(spark, sf).withColumn("label", label), "label", "conflict", list(LABELS))
+
+
+@query(wf("SELECT n_exposed, n_other, round(p, 9) AS rate_exposed, round(q, 9) AS rate_other, round(p * (1 - q) / nullif(q * (1 - p), 0), 9) AS odds_ratio FROM (SELECT count(*) FILTER (conflict) AS n_exposed, count(*) FILTER (NOT conflict) AS n_other, count(*) FILTER (conflict AND merged_later) / nullif(count(*) FILTER (conflict), 0) AS p, count(*) FILTER (NOT conflict AND merged_later) / nullif(count(*) FILTER (NOT conflict), 0) AS q FROM flags)"))
+def crude_odds(spark, sf):
+    return S.crude_odds(flags(spark, sf), F.col("conflict"), F.col("merged_later"))
+
+
+@query(w(f"SELECT label, support, {_PR}, (SELECT round(avg(round(2 * (hit / nullif(guessed, 0)) * (hit / nullif(support, 0)) / nullif(hit / nullif(guessed, 0) + hit / nullif(support, 0), 0), 9)), 9) FROM prf) AS macro_f1 FROM prf", two=_TWO, prf=_PRF))
+def agreement_by_class(spark, sf):
+    t = two_raters(spark, sf)
+    return annotate.agreement_by_class([t.select("doc_id", F.col(c).alias("label_category")) for c in "ab"], "doc_id", ["0", "1"])[0]
+
+
 @query(w("SELECT item, ann1, ann2, decided, ann1 IS NOT NULL AND ann2 IS NOT NULL AND ann1 = ann2 AS agreed, coalesce(decided, CASE WHEN ann1 = ann2 THEN ann1 END) AS gold, CASE WHEN decided IS NOT NULL THEN 'adjudicated' WHEN ann1 = ann2 THEN 'agreed' END AS label_source FROM s1 FULL JOIN s2 USING (item) LEFT JOIN dd USING (item)",
   s1=f"SELECT doc_id AS item, {_RATE}[(doc_id % 4) + 1] AS ann1 FROM labels WHERE doc_id % 5 <> 0", s2=f"SELECT doc_id AS item, {_RATE}[(doc_id // 3 % 4) + 1] AS ann2 FROM labels WHERE doc_id % 7 <> 0", dd="SELECT doc_id AS item, 'C' AS decided FROM labels WHERE doc_id % 11 = 0"))
 def adjudicate(spark, sf):

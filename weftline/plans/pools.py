@@ -169,14 +169,14 @@ def cross_agent_cases(spark, sf):
 
 
 
-@query(w("SELECT repo, pr_a, pr_b, CAST(len(list_filter(list_intersect(files_a, files_b), lambda p: NOT contains(lower(p), 'standard'))) AS INT) AS n_shared_src, CAST(x.s AS BIGINT) AS sa, CAST(y.s AS BIGINT) AS sb FROM labeled JOIN sizes x ON x.pr = pr_a JOIN sizes y ON y.pr = pr_b WHERE conflict AND merged_a AND merged_b AND len(list_filter(list_intersect(files_a, files_b), lambda p: NOT contains(lower(p), 'standard'))) > 0 AND x.s <= 200 AND y.s <= 200", "labeled", sizes="SELECT pr, sum(additions + deletions) AS s FROM files GROUP BY 1"))
+@query(w("SELECT repo, pr_a, pr_b, CAST(len(list_filter(list_intersect(files_a, files_b), lambda p: NOT contains(lower(p), 'standard'))) AS INT) AS n_shared_src, CAST(x.s AS BIGINT) AS sa, CAST(y.s AS BIGINT) AS sb FROM labeled JOIN sizes x ON x.pr = pr_a JOIN sizes y ON y.pr = pr_b WHERE conflict AND merged_a AND merged_b AND len(list_filter(list_intersect(files_a, files_b), lambda p: NOT contains(lower(p), 'standard'))) > 0 AND x.s <= 1000 AND y.s <= 1000", "labeled", sizes="SELECT pr, sum(additions + deletions) AS s FROM files GROUP BY 1"))
 def merge_candidates(spark, sf):
     """Conflicting pairs of merged requests that share a source file and are small on both sides."""
     size = B.files(spark, sf).groupBy("pr").agg(F.sum(F.col("additions") + F.col("deletions")).alias("s"))
     shared = F.filter(F.array_intersect("files_a", "files_b"), lambda p: ~P.is_generated(p) & ~F.contains(F.lower(p), F.lit("standard")))
     d = B.labeled(spark, sf).where("conflict and merged_a and merged_b").select(*PAIR, F.size(shared).alias("n_shared_src")).where("n_shared_src > 0")
     for s in "ab":
-        d = d.join(size.where("s <= 200").select(F.col("pr").alias(f"pr_{s}"), F.col("s").alias(f"s{s}")), f"pr_{s}")
+        d = d.join(size.where("s <= 1000").select(F.col("pr").alias(f"pr_{s}"), F.col("s").alias(f"s{s}")), f"pr_{s}")
     return d.select(*PAIR, "n_shared_src", "sa", "sb")
 
 
@@ -201,11 +201,11 @@ def judge_json_parse(spark, sf):
     return d.select("doc_id", X.parse_judgement(raw).alias("j")).where("j is not null").select("doc_id", "j.category", "j.confidence", "j.evidence")
 
 
-@query("SELECT doc_id, CAST(doc_id % 7 AS INT) AS id, least(greatest(CAST(doc_id % 120 AS DOUBLE), 0), 100) / 100 AS prob FROM documents")
+@query("SELECT doc_id, CAST(doc_id % 7 AS INT) AS id, least(greatest(CAST(doc_id % 120 AS DOUBLE), 0), 100) / 100 AS prob FROM documents WHERE doc_id % 7 <> 6")
 def batch_parse(spark, sf):
     d = B.read(spark, sf, "documents").select("doc_id")
     raw = F.when(F.col("doc_id") % 2 == 0, F.format_string('[{"id": %d, "prob": %d}]', F.col("doc_id") % 7, F.col("doc_id") % 120)).otherwise(F.format_string("id: %d gives prob: %d", F.col("doc_id") % 7, F.col("doc_id") % 120))
-    return d.select("doc_id", F.inline(X.parse_batch(raw)))
+    return d.select("doc_id", F.inline(X.parse_batch(raw, F.array(*map(F.lit, range(6))))))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['a', 'b' || doc_id] END AS lines FROM documents WHERE doc_id % 3 <> 2")

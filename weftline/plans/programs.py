@@ -114,6 +114,24 @@ def tau_sweep(spark, sf):
     return D.policy_summary(settle(sweep(spark, sf)), ["policy", "tau"])
 
 
+@query()
+def policy_pareto(spark, sf):
+    """Quartiles of delay, makespan and avoided conflicts over episodes, of every policy and threshold: both Pareto figures."""
+    e = eps(spark, sf)
+    both = shared(spark, sf, e)
+    none = F.lit(None).cast("double")
+    fixed = D.episode_metrics(D.fifo(e), D.observed(e), both, "fifo").unionByName(gate_metrics(e, both, both.withColumn("score", F.lit(1.0)), 0.5, "oracle"))
+    return D.policy_summary(settle(fixed.withColumn("tau", none).unionByName(sweep(spark, sf))), ["policy", "tau"])
+
+
+@query()
+def tau_knee(spark, sf):
+    """Of each episode: the largest threshold that still avoids nine tenths of its conflicts, and its delay there; null where none does."""
+    m = settle(sweep(spark, sf)).where("obs_conflicts > 0")
+    good = F.when(F.col("avoided_pct") >= 90, F.struct("tau", "delay_days_per_pr"))
+    return m.groupBy("repo").agg(F.max("obs_conflicts").alias("obs_conflicts"), F.max(good).alias("k")).select("repo", "obs_conflicts", "k.tau", "k.delay_days_per_pr")
+
+
 # Patches made of the lines of an order: definitions and uses of names by return flag.
 _PATCH = "SELECT l_orderkey AS pr, lower(p_type) || '/' || split_part(p_name, ' ', 2) || '.py' AS path, string_agg(CASE WHEN l_returnflag = 'A' THEN '+def ' WHEN l_returnflag = 'R' THEN '-def ' ELSE '+  ' END || replace(p_name, ' ', '_') || '(x)', chr(10) ORDER BY l_returnflag, p_name) AS patch FROM lines GROUP BY 1, 2"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators import annotate, audit
 from weftline.operators import coactive as C
+from weftline.operators import sampling as S2
 from weftline.operators import similarity as T
 from weftline.operators import stats as S
 from weftline.plans import binding as B
@@ -15,8 +16,9 @@ from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
 from weftline.plans.measures import flags, q_mh, two_raters
 from weftline.plans.pools import _CLASS, FLAGS, FLAGS0, MEGA, NORM, TOKS, q_jaccard, wf
-from weftline.plans.registry import SQL, query
+from weftline.plans.registry import QUERIES, SQL, query
 from weftline.sources.scratch import settle
+from weftline.sources.tables import compared
 
 KEY = "repo, pr_a, pr_b"
 
@@ -115,3 +117,29 @@ def pilot_sample(spark, sf):
     d = B.labeled(spark, sf).select(*PAIR).withColumn("h", h)
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("repo").orderBy("h", *PAIR))).where("r <= 10")
     return d.orderBy("h", *PAIR).limit(300).select(*PAIR)
+
+
+@query(w("SELECT 'conflicts' AS \"column\", count(*) AS n, max(abs(labeled - coalesce(replayed, 0)))::DOUBLE AS max_diff, count(*) FILTER (abs(labeled - coalesce(replayed, 0)) > 0.001) AS n_differ FROM (SELECT repo, count(*) FILTER (conflict) AS labeled FROM labeled GROUP BY 1) LEFT JOIN again USING (repo)", "labeled", "files", spans=_SPANS, touch=_TOUCH, again=_AGAIN))
+def replay_differences(spark, sf):
+    """Labelled and replayed conflicts by repository: the largest difference, and how many differ."""
+    r = settle(replay_check(spark, sf))
+    return compared(r.select("repo", F.col("labeled").alias("conflicts")), r.select("repo", F.col("replayed").alias("conflicts")), ["repo"], ["conflicts"])
+
+
+@query()
+def audit_sections(spark, sf):
+    """All eight sections of the audit over pairs, flags, frame, labels, judgements, evidence and split."""
+    from weftline.plans import programs, samples
+
+    f = settle(flags(spark, sf))
+    made = S2.framed(samples.prevalence(spark, sf, f), samples.enriched(spark, sf, f), f, PAIR)
+    gold = B.read(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.when(F.col("toxic") == 1, "H").otherwise("none").alias("label"))
+    judged = programs.judge_echo(spark, sf).select(F.col("doc_id").alias("item"), "category", F.lit("kept").alias("raw_text"))
+    return audit.full_audit(f, f, made["frame"], gold, judged, programs.evidence(spark, sf), S2.repo_split(f))
+
+
+@query(f"SELECT contrast, odds_ratio, lo, hi, n_exposed, odds_ratio IS NOT NULL AND (lo > 1 OR hi < 1) AS apart FROM (SELECT * FROM ({SQL['outcome_battery']}) UNION ALL SELECT * FROM ({SQL['mh_robustness']}))")
+def odds_forest(spark, sf):
+    """Odds ratios of all contrasts with their intervals, as a forest plot shows them."""
+    d = QUERIES["outcome_battery"](spark, sf).unionByName(mh_robustness(spark, sf))
+    return d.select("contrast", "odds_ratio", "lo", "hi", "n_exposed", F.coalesce((F.col("lo") > 1) | (F.col("hi") < 1), F.lit(False)).alias("apart"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import as_bool
+from weftline.sources.layout import exists, input_paths
 
 PAIRS = "repo string, pr_a long, pr_b long, agent_a string, agent_b string, opened_a timestamp, closed_a timestamp, opened_b timestamp, closed_b timestamp, cross_agent string, conflict string, both_files string"
 FILES = "repo string, pr long, filepath string, additions long, deletions long"
@@ -26,11 +27,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, root: str, paths: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The four source tables, truth values of any spelling made boolean; paths override names."""
+    """The four source tables, truth values of any spelling made boolean; paths override where they are."""
     out = {}
-    for name, schema in TABLES.items():
-        path = (paths or {}).get(name) or next((p for p in (f"{root}/{name}.csv", f"{root}/{name}.csv.gz") if os.path.exists(p)), f"{root}/{name}.csv")
-        df = read_csv(spark, path, schema)
+    for name, path in input_paths(spark, root, paths).items():
+        df = read_csv(spark, path, TABLES[name])
         flags = [c for c in ("cross_agent", "conflict", "both_files", "merged") if c in df.columns]
         out[name] = df.withColumns({c: as_bool(F.col(c), "string") for c in flags})
     return out
@@ -68,6 +68,41 @@ def append_log(df: DataFrame, path: str, key: list[str], schema: str) -> DataFra
     return log().dropDuplicates(key)
 
 
+def append_csv(df: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Append the rows whose key the table of CSV files lacks; each file has a header.  Gives the table, one row a key."""
+    spark = df.sparkSession
+    done = spark.read.schema(df.schema).csv(path, header=True) if exists(spark, path) else None
+    pending(df, done, key).write.mode("append").option("header", True).csv(path)
+    return spark.read.schema(df.schema).csv(path, header=True).dropDuplicates(key)
+
+
+def with_versions(df: DataFrame, version: str) -> DataFrame:
+    """Dataset and configuration version of each record, where it has none yet."""
+    stamp = lambda c: F.coalesce(F.col(c), F.lit(version)) if c in df.columns else F.lit(version)
+    return df.withColumns({c: stamp(c) for c in ("dataset_version", "config_version")})
+
+
+def lookup(df: DataFrame, keys: list[tuple], names: list[str]) -> DataFrame:
+    """Rows of the listed keys, with `place` telling the place of the key in the list; a key that is missing has no row."""
+    kinds = dict(df.dtypes)
+    asked = df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(keys)], ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", place int")
+    return df.join(F.broadcast(asked), names).orderBy("place")  # as many rows as keys are listed
+
+
+def first_per_key(df: DataFrame, key: list[str], *order) -> DataFrame:
+    """The first row of each key in an explicit order, which has to decide; by an aggregate, so that no key is sorted."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, *(F.col(f"_row.`{c}`").alias(c) for c in rest)).select(*df.columns)
+
+
+def compared(a: DataFrame, b: DataFrame, key: list[str], columns: list[str], tolerance: float = 1e-3) -> DataFrame:
+    """Per column: rows that both have, the largest absolute difference, and how many differ by more than the tolerance."""
+    j = a.select(*key, *(F.col(c).alias(f"{c}_a") for c in columns)).join(b.select(*key, *(F.col(c).alias(f"{c}_b") for c in columns)), key)
+    diff = lambda c: F.abs(F.col(f"{c}_a").cast("double") - F.col(f"{c}_b").cast("double"))
+    one = j.agg(F.count("*").alias("n"), *(F.max(diff(c)).alias(f"m_{i}") for i, c in enumerate(columns)), *(F.count_if(diff(c) > tolerance).alias(f"k_{i}") for i, c in enumerate(columns)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"m_{i}").alias("max_diff"), F.col(f"k_{i}").alias("n_differ")) for i, c in enumerate(columns)))))
+
+
 def sha256_file(path: str) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:
