@@ -107,24 +107,26 @@ def gated_at(eps: DataFrame, scores: DataFrame | None, taus: tuple[float, ...],
     return e.groupBy("repo", "tau").cogroup(hits.groupBy("repo", "tau")).applyInPandas(run, schema)
 
 
-def schedule_conflicts(starts: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs that share a file (repo, pr_a, pr_b) and overlap under the start times; ends excluded."""
-    side = lambda s: starts.select("repo", F.col("pr").alias(f"pr_{s}"), F.col("start").alias(f"s_{s}"), (F.col("start") + F.col("dur")).alias(f"e_{s}"))
-    t = shared.join(side("a"), ["repo", "pr_a"]).join(side("b"), ["repo", "pr_b"])
-    return t.where(F.greatest("s_a", "s_b") < F.least("e_a", "e_b")).select("repo", "pr_a", "pr_b")
-
-
-def episode_metrics(starts: DataFrame, base: DataFrame, shared: DataFrame, policy: str) -> DataFrame:
-    """Per repo: conflicts under the policy and as observed, share avoided, new ones, added delay, makespan inflation."""
-    mine, seen = schedule_conflicts(starts, shared), schedule_conflicts(base, shared)
-    count = lambda df, n: df.groupBy("repo").agg(F.count("*").alias(n))
+def schedule_conflicts(starts: DataFrame, shared: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that share a file (repo, pr_a, pr_b) and overlap under the start times; ends excluded.  `more`: columns that tell schedules apart."""
+    side = lambda s: starts.select("repo", *more, F.col("pr").alias(f"pr_{s}"), F.col("start").alias(f"s_{s}"), (F.col("start") + F.col("dur")).alias(f"e_{s}"))
+    t = shared.join(side("a"), ["repo", "pr_a"]).join(side("b"), ["repo", *more, "pr_b"])
+    return t.where(F.greatest("s_a", "s_b") < F.least("e_a", "e_b")).select("repo", *more, "pr_a", "pr_b")
+
+
+def episode_metrics(starts: DataFrame, base: DataFrame, shared: DataFrame, policy: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per repo (and per value of `more`, which tells schedules apart): conflicts under the policy and as observed, share avoided, new ones, added delay, makespan inflation."""
+    by = ["repo", *more]
+    mine, seen = schedule_conflicts(starts, shared, more), schedule_conflicts(base, shared)
+    count = lambda df, n, keys: df.groupBy(*keys).agg(F.count("*").alias(n))
     new = mine.join(seen, ["repo", "pr_a", "pr_b"], "left_anti")
-    span = lambda df, n: df.groupBy("repo").agg(F.max(F.col("start") + F.col("dur")).alias(n))
-    g = starts.groupBy("repo").agg(F.count("*").alias("n_prs"), F.sum(F.col("start") - F.col("arr")).alias("delay"), F.max(F.col("start") + F.col("dur")).alias("makespan"))
-    g = g.join(span(base, "base_makespan"), "repo").join(count(mine, "conflicts"), "repo", "left").join(count(seen, "obs_conflicts"), "repo", "left").join(count(new, "new_conflicts"), "repo", "left").fillna(0)
+    end = F.max(F.col("start") + F.col("dur"))
+    g = starts.groupBy(*by).agg(F.count("*").alias("n_prs"), F.sum(F.col("start") - F.col("arr")).alias("delay"), end.alias("makespan"))
+    g = g.join(base.groupBy("repo").agg(end.alias("base_makespan")), "repo").join(count(seen, "obs_conflicts", ["repo"]), "repo", "left")
+    g = g.join(count(mine, "conflicts", by), by, "left").join(count(new, "new_conflicts", by), by, "left").fillna(0, ["obs_conflicts", "conflicts", "new_conflicts"])
     c, o = F.col("conflicts"), F.col("obs_conflicts")
     return g.select(
-        "repo", F.lit(policy).alias("policy"), "n_prs", "conflicts", "obs_conflicts", F.round(F.try_divide(100.0 * (o - c), o), 6).alias("avoided_pct"), "new_conflicts",
+        *by, F.lit(policy).alias("policy"), "n_prs", "conflicts", "obs_conflicts", F.round(F.try_divide(100.0 * (o - c), o), 6).alias("avoided_pct"), "new_conflicts",
         F.round(F.col("delay") / DAY, 6).alias("added_delay_days"), F.round(F.col("delay") / DAY / F.col("n_prs"), 6).alias("delay_days_per_pr"), F.round(F.col("makespan") / DAY, 6).alias("makespan_days"),
         F.round(F.try_divide(100.0 * (F.col("makespan") - F.col("base_makespan")), F.col("base_makespan")), 6).alias("makespan_inflation_pct"),
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import Z, gap_hours, wilson
 
+PRIME = (1 << 31) - 1
+
 
 def rate_table(df: DataFrame, *by, flag: str = "conflict") -> DataFrame:
     """Per group: n, k and rate of a flag."""
@@ -188,13 +190,18 @@ def cluster_bootstrap(df: DataFrame, cluster: str, y: str, iterations: int = 500
     """Percentile interval of a mean over clusters drawn with replacement (Poisson weights from hashes).
 
     Only each cluster's sum and count enter; replicates are dealt over the cluster, and a cluster's weight in a
-    replicate is the Poisson(1) quantile of a hash, so nothing depends on partitioning and reruns agree.
+    replicate is the Poisson(1) quantile of a number that a hash of the cluster and the replicate's own give, so nothing depends on
+    partitioning and reruns agree.
     """
     sums = df.groupBy(cluster).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n"))
     # Cumulative Poisson(1) probabilities.
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    drawn = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("it").cast("string"))), 1, 13)
-    u = (F.conv(drawn, 16, 10).cast("double") + 0.5) / float(1 << 52)
+    # Numbers below a prime of 31 bits, squared twice between linear steps: products stay within 62 bits in any engine.
+    part = lambda at: F.pmod(F.conv(F.substring("h", at, 12), 16, 10).cast("long"), F.lit(PRIME))
+    sums = sums.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string")))).select("s", "n", part(1).alias("x"), part(13).alias("y"))
+    it = F.col("it").cast("long")
+    step = lambda z, k, c: (z * z % PRIME * k + c) % PRIME
+    u = (step(step((F.col("x") + it * 1103515245) % PRIME, 48271, F.col("y")), 69621, it) + 0.5) / float(PRIME)
     weight = sum(((u > t).cast("int") for t in steps), F.lit(0))
     reps = sums.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("w", weight).groupBy("it").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     q = (1 - level) / 2

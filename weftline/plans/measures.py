@@ -300,8 +300,12 @@ _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 
 def q_bootstrap(source, y):
     weight = " + ".join(f"(u > {x!r}::DOUBLE)::INT" for x in _POISSON)
-    reps = f"SELECT it, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT it, s, n, {weight} AS w FROM (SELECT it, s, n, (CAST('0x' || substr(md5(concat_ws('|', '20260824', repo, it)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM g, range(1, 5001) AS r(it))) GROUP BY 1"
-    return f"WITH g AS (SELECT repo, sum({y}::INT)::DOUBLE AS s, count(*) AS n FROM {source} GROUP BY 1) SELECT round(sum(s) / sum(n), 9) AS estimate, (SELECT round(quantile_cont(m, 0.025), 9) FROM ({reps})) AS lo, (SELECT round(quantile_cont(m, 0.975), 9) FROM ({reps})) AS hi, count(*) AS n_clusters FROM g"
+    step = "(({z}) * ({z}) % 2147483647 * {k} + {c}) % 2147483647".format
+    one = step(z="(x + it * 1103515245) % 2147483647", k=48271, c="y")
+    drawn = f"SELECT it, s, n, {one} AS z FROM h, range(1, 5001) AS r(it)"
+    reps = f"SELECT it, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT it, s, n, {weight} AS w FROM (SELECT it, s, n, ({step(z='z', k=69621, c='it')} + 0.5::DOUBLE) / 2147483647 AS u FROM ({drawn}))) GROUP BY 1"
+    part = "CAST('0x' || substr(md5(concat_ws('|', '20260824', repo)), {}, 12) AS BIGINT) % 2147483647".format
+    return f"WITH g AS (SELECT repo, sum({y}::INT)::DOUBLE AS s, count(*) AS n FROM {source} GROUP BY 1), h AS (SELECT s, n, {part(1)} AS x, {part(13)} AS y FROM g) SELECT round(sum(s) / sum(n), 9) AS estimate, (SELECT round(quantile_cont(m, 0.025), 9) FROM ({reps})) AS lo, (SELECT round(quantile_cont(m, 0.975), 9) FROM ({reps})) AS hi, count(*) AS n_clusters FROM g"
 
 
 @query(w(f"SELECT * FROM ({q_bootstrap('labeled', 'conflict')})", "labeled"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers as N
@@ -103,9 +101,7 @@ def sweep(spark, sf):
         d = d.join(t.select(F.col("pr").alias(f"pr_{s}"), F.col("title").alias(f"title_{s}")), f"pr_{s}", "left")
     j = X.jaccard(X.title_tokens(X.normalize_title(F.col("title_a"))), X.title_tokens(X.normalize_title(F.col("title_b"))), 1.0)
     starts = settle(D.gated_at(e, settle(d.select(*PAIR, j.alias("score"))), TAUS))
-    base = D.observed(e)
-    each = [D.episode_metrics(starts.where(F.col("tau") == tau).drop("tau"), base, both, "predictor").withColumn("tau", F.lit(tau)) for tau in TAUS]
-    return reduce(lambda x, y: x.unionByName(y), each)
+    return D.episode_metrics(starts, D.observed(e), both, "predictor", ("tau",))
 
 
 @query()
