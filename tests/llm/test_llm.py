@@ -131,6 +131,29 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_is_told_by_place(spark, tmp_path):
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        t = " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(30))
+        rows += [(rng.choice([None, 3 * g, 3 * g + 1]), t, i) for i in range(rng.randrange(1, 6))]
+    rng.shuffle(rows)
+    path = f"file://{tmp_path}/t"
+    spark.createDataFrame(rows, "doc_id int, text string, n long").repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+    fps = {k: slow_fingerprint(t) for k, (_, t, _) in enumerate(rows)}
+    comp = slow_components(fps)
+    want = Counter()
+    for root in set(comp.values()):
+        best = min((rows[k][0] is None, rows[k][0] or 0) for k in comp if comp[k] == root)
+        want[None if best[0] else best[1]] += 1
+    for frame in (docs, docs.repartition(3), docs.where("n >= 0").select("text", "doc_id", "n")):
+        got = simhash.one_of_each(frame)
+        assert got.schema == frame.schema
+        got = got.collect()
+        assert Counter(r.doc_id for r in got) == want and {(r.doc_id, r.text, r.n) for r in got} <= set(rows)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 TOK = "byte_bpe_50k.json"
 

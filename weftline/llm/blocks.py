@@ -37,10 +37,14 @@ def stable(docs: DataFrame) -> DataFrame:
     How a scan of files is split follows the cores that are alive, unless the session fixes the least number of
     splits; it is fixed here at what it is now, so that executors may come and go between passes.
     """
+    return settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """As stable(), with all columns."""
     spark = docs.sparkSession
     if not spark.conf.get(_SPLITS, None):
         spark.conf.set(_SPLITS, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if _plain(docs):
         return docs
     path = fresh(spark, "stable")
@@ -179,3 +183,41 @@ def reduce_asked(requests: DataFrame, answer: Callable, name: str) -> tuple[str,
     requests.groupBy("bucket").applyInArrow(run, TELL).repartition("pid").write.partitionBy("pid").parquet(path)
     meta = spark.read.schema(TELL).parquet(path).where("pid < 0").select(F.split(F.col("vals").cast("string"), "=").alias("kv"))
     return path, meta.groupBy(F.col("kv")[0].alias("name")).agg(F.sum(F.col("kv")[1].cast("double")).alias("value"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """The rows of a settled table that `kept` names, where they stand; texts are not moved.
+
+    kept: row (as monotonically_increasing_id numbers them: partition and place) and doc_id.  Each task reads the places of
+    its partition from the shared folder; a row whose doc_id is another than the kept one's raises.
+    """
+    import pyarrow.compute as pc
+
+    path = fresh(docs.sparkSession, name)
+    place = F.col("row").bitwiseAND((1 << 33) - 1)
+    kept.select(F.shiftright("row", 33).cast("int").alias("pid"), place.alias("at"), F.col("doc_id").cast("long").alias("doc_id")).repartition("pid").write.partitionBy("pid").parquet(path)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, where = open_store(path)
+        files = [f for f in fs.get_file_info(pafs.FileSelector(f"{where}/pid={TaskContext.get().partitionId()}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        told = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f.path)).read(["at", "doc_id"]) for f in files]).sort_by("at") if files else pa.table({"at": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64())})
+        at, ids, done = told.column("at").to_numpy(), told.column("doc_id").combine_chunks(), 0
+        for b in batches:
+            lo, hi = np.searchsorted(at, [done, done + b.num_rows])
+            mine = b.take(pa.array(at[lo:hi] - done))
+            had = mine.column("doc_id").cast(pa.int64())
+            same = pc.fill_null(pc.equal(had, ids.slice(lo, hi - lo)), False)
+            none = pc.and_(pc.is_null(had), pc.is_null(ids.slice(lo, hi - lo)))
+            if not pc.all(pc.or_(same, none), min_count=0).as_py():
+                raise RuntimeError("the documents differ from those of the pass before; write them to a table first")
+            done += b.num_rows
+            if mine.num_rows:
+                yield mine
+        if len(at) and at[-1] >= done:
+            raise RuntimeError("the documents differ from those of the pass before; write them to a table first")
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,8 @@ are compared by exact popcount, and only a spanning star of each linked set leav
 
 A key with more than `limit` fingerprints is never compared in one task: its members are dealt again by the bits
 outside the partition (four equal parts, of which a close pair must share one), and keys that are still larger
-are cut into chunks, each pair of chunks one task.  Nothing is dropped.
+are cut into chunks, each pair of chunks one task.  Nothing is dropped; a key that n fingerprints share even then costs
+n^2 / (limit / 2) rows, in tasks of bounded size.
 
 Cases: null or empty text has fingerprint 0 and links like any other.  Repeated rows each keep their row.  A
 null doc_id takes part; it is a component's id only if the component holds no other.  Very long texts are hashed
@@ -26,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.blocks import keep_rows, settled
 from weftline.llm.components import components
-from weftline.llm.shared import batch_of, cut, small_batches, table, texts
+from weftline.llm.shared import batch_of, cut, free, small_batches, table, texts
 
 SEED, WORDS, DISTANCE, PARTS, LIMIT = 42, 3, 3, 4, 2000
-_FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("row", pa.int64())])
 _SIG = pa.schema([("sig", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -49,17 +51,18 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp): the text's xxhash64, and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, row: str | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, row): the text's xxhash64, the fingerprint as a signed long, and the column that tells rows apart, if any."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in texts(b)], np.uint64).view(np.int64)
-            yield batch_of(_FP, b.column("doc_id"), b.column("text_hash"), pa.array(fp))
+            yield batch_of(_FP, b.column("doc_id"), b.column("text_hash"), pa.array(fp), b.column("row"))
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    mark = F.col(row) if row else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), mark.cast("long").alias("row")).mapInArrow(run, "doc_id long, text_hash long, fp long, row long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -270,16 +273,28 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, limit: i
     return edges
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, parts: int = PARTS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id): root is a component's own, component_id the smallest doc_id that links reach."""
-    rows = table(fingerprints(docs, words), "fingerprints")
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, parts: int = PARTS, limit: int = LIMIT, row: str | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, row, root, component_id): root is a component's own, component_id the smallest doc_id that links reach."""
+    rows = table(fingerprints(docs, words, row), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = cut(least)
     roots = components(links(distinct.select("fp"), distance, parts, limit)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "row", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs that stay if each component keeps one: a row of its smallest doc_id (none comes last), and of these the first.
+
+    Rows are told apart by their place, and filtered where they stand.
+    """
+    docs = settled(docs)
+    row = free("_w_", docs.columns) + "row"
+    groups = near_duplicates(docs.withColumn(row, F.monotonically_increasing_id()), words, distance, row=row)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("k"))
+    return keep_rows(docs, first.select("k.row", "k.doc_id"), "kept")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
