@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, packing, secrets, simhash
-from weftline.llm.shared import free, fresh
+from weftline.llm.shared import fresh
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    w = free("_w_", docs.columns)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias(f"{w}id"), F.col("k.text_hash").alias(f"{w}text"))
-    rows = docs.withColumn(f"{w}hash", F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{w}id")) & (F.col(f"{w}hash") == F.col(f"{w}text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", f"{w}hash"]).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
