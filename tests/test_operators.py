@@ -389,3 +389,18 @@ def test_pending_repos(spark):
     done = p.where("repo = 'b' and k > 2")
     assert [tuple(r) for r in pools.pending_repos(p, done, ["repo", "k"]).collect()] == [("a", 5), ("b", 3), ("c", 1)]
     assert [r.repo for r in pools.pending_repos(p, None, ["repo", "k"], 1).collect()] == ["b"]
+
+
+def test_first_come_first_served_over_buckets(spark):
+    import random
+
+    from weftline.operators import schedule
+
+    rng, day = random.Random(3), schedule.DAY
+    rows = [(rng.choice("aab"), i, rng.randrange(0, 3) * day // 2, rng.randrange(0, 300) * day) for i in range(200)]
+    got = {r.pr: r.start for r in schedule.fifo(spark.createDataFrame(rows, "repo string, pr int, dur long, arr long")).collect()}
+    free: dict[str, int] = {}
+    for repo, pr, dur, arr in sorted(rows, key=lambda r: (r[3], r[1])):
+        start = max(arr, free.get(repo, arr))
+        assert got[pr] == start
+        free[repo] = start + dur

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +105,9 @@ def pending_repos(pairs: DataFrame, done: DataFrame | None, key: list[str], n: i
     return order if n is None else order.limit(n)
 
 
-def near_miss_examples(pairs: DataFrame, key: list[str], least: int = 15) -> DataFrame:
-    """Up to `least` disjoint pairs, by key, that one reading of a directory key calls near and the canonical one does not, or the other way round."""
+def near_miss_examples(pairs: DataFrame, key: list[str], names: tuple[str, ...] = ("canonical", "with_name", "dirs_only", "depth1", "depth3"), most: int = 15) -> DataFrame:
+    """Up to `most` disjoint pairs, by key, on which readings of the directory key differ from the first one named."""
     v = near_miss_variants()
-    names = ("canonical", "with_name", "dirs_only")
     d = pairs.where(~F.col("conflict")).select(*key, "files_a", "files_b", *(F.coalesce(v[n], F.lit(False)).alias(n) for n in names))
-    return d.where((F.col("canonical") != F.col("with_name")) | (F.col("canonical") != F.col("dirs_only"))).orderBy(*key).limit(least)
+    differ = [F.col(n) != F.col(names[0]) for n in names[1:]]
+    return d.where(reduce(lambda x, y: x | y, differ)).orderBy(*key).limit(most)

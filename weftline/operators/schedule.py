@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import micros
+from weftline.sources.scratch import settle
 
 DAY = 86_400_000_000
 
@@ -33,11 +34,19 @@ def episodes(pairs: DataFrame, min_pairs: int = 100, min_conflicts: int = 20) ->
 
 
 def fifo(eps: DataFrame) -> DataFrame:
-    """start of each request when a repo runs one at a time, in order of arrival: a prefix maximum and a prefix sum."""
-    w = Window.partitionBy("repo").orderBy("arr", "pr")
-    before = F.coalesce(F.sum("dur").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = eps.withColumn("_before", before)
-    return t.withColumn("start", F.max(F.col("arr") - F.col("_before")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")).drop("_before")
+    """start of each request when a repo runs one at a time, in order of arrival: a prefix sum, and a prefix maximum over it.
+
+    Both go by (repo, time bucket) and are shifted by the buckets before, so that a repo with most of the requests is spread over its history.
+    """
+    from weftline.operators.coactive import running_sums
+
+    t = running_sums(eps, "repo", "arr", ["dur"], ["pr"]).withColumn("_before", F.col("dur_so_far") - F.col("dur")).drop("dur_so_far")
+    t = settle(t.withColumn("_slack", F.col("arr") - F.col("_before")).withColumn("_b", F.floor(F.col("arr") / (30 * DAY)).cast("long")))
+    earlier = Window.partitionBy("repo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    most = t.groupBy("repo", "_b").agg(F.max("_slack").alias("_m")).select("repo", "_b", F.max("_m").over(earlier).alias("_m"))
+    w = Window.partitionBy("repo", "_b").orderBy("arr", "pr").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_upto", F.max("_slack").over(w)).join(most, ["repo", "_b"])
+    return t.select(*eps.columns, (F.greatest("_upto", "_m") + F.col("_before")).alias("start"))
 
 
 def observed(eps: DataFrame) -> DataFrame:

@@ -180,9 +180,12 @@ def merge_candidates(spark, sf):
     return d.select(*PAIR, "n_shared_src", "sa", "sb")
 
 
-@query(w(f"SELECT repo, pr_a, pr_b, canonical, with_name, dirs_only FROM (SELECT repo, pr_a, pr_b, {', '.join(f'coalesce({NEAR[k]}, false) AS {k}' for k in ('canonical', 'with_name', 'dirs_only'))} FROM labeled WHERE NOT conflict) WHERE canonical <> with_name OR canonical <> dirs_only ORDER BY repo, pr_a, pr_b LIMIT 15", "labeled"))
+_READINGS = ("canonical", "with_name", "dirs_only", "depth1", "depth3")
+
+
+@query(w(f"SELECT * FROM (SELECT repo, pr_a, pr_b, {', '.join(f'coalesce({NEAR[k]}, false) AS {k}' for k in _READINGS)} FROM labeled WHERE NOT conflict) WHERE {' OR '.join(f'canonical <> {k}' for k in _READINGS[1:])} ORDER BY repo, pr_a, pr_b LIMIT 15", "labeled"))
 def near_miss_examples(spark, sf):
-    return O.near_miss_examples(B.labeled(spark, sf), PAIR).select(*PAIR, "canonical", "with_name", "dirs_only")
+    return O.near_miss_examples(B.labeled(spark, sf), PAIR).select(*PAIR, *_READINGS)
 
 
 @query(wf("SELECT * FROM (SELECT 'pairs' AS section, unnest(['null_key', 'self_pair', 'opened_out_of_order', 'null_conflict', 'conflict_differs', 'cross_agent_differs', 'duplicate_key']) AS \"check\", CAST(0 AS BIGINT) AS n, 'PASS' AS status UNION ALL SELECT 'flags', unnest(['near_miss_with_conflict', 'bm_shared_without_conflict', 'fix_in_flight_without_conflict', 'unknown_stratum']), CAST(count(*) FILTER (near_miss AND conflict) AS BIGINT), 'PASS' FROM flags)"))
