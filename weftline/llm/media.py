@@ -168,7 +168,7 @@ def read(places: DataFrame, where: str) -> DataFrame:
 def media_columns(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     where = fresh(docs.sparkSession, "shards")
     refs = table(store(docs, where, shard_bytes), "refs")
-    features = table(read(index(refs), where), "media")
+    features = read(index(refs), where)  # not written: the join keeps them once
     return refs.select("doc_id", "n_bytes", "digest").join(features, "digest")
 
 
