@@ -30,23 +30,34 @@ def q_hamilton(source, n, least):
 PREV_D = "SELECT *, concat_ws('|', mega, cross_agent, conflict) AS cell FROM flags"
 PREV = f"SELECT {KEY}, d.cell, quota / size AS pi FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {HASH.format(20260824)}, {KEY}) AS turn FROM pd) d JOIN pq q ON q.cell = d.cell WHERE turn <= quota"
 ENR_D = "SELECT *, concat_ws('|', primary_stratum, mega, cross_agent, both_merged, CASE WHEN primary_stratum = 'revert' OR cross_agent_candidate THEN 'census' ELSE 'sampled' END) AS cell FROM flags"
-_T = "CASE primary_stratum " + " ".join(f"WHEN '{k}' THEN {-1 if v is None else v}" for k, v in SMALL.items()) + " END"
-ENR_Q = (
-    "SELECT cell, size, CASE WHEN whole THEN size ELSE seats + (turn <= least(free, total) - given AND rem >= 0)::INT END AS quota FROM (SELECT *, sum(seats) OVER (PARTITION BY primary_stratum) AS given, row_number() OVER (PARTITION BY primary_stratum ORDER BY rem DESC, cell) AS turn FROM ("
-    "SELECT *, CASE WHEN NOT whole AND seats < size THEN (size * free) % greatest(total, 1) ELSE -1 END AS rem FROM (SELECT *, CASE WHEN whole THEN 0 WHEN total <= free THEN size ELSE (size * free) // greatest(total, 1) END AS seats FROM ("
-    "SELECT *, greatest(target - sum(CASE WHEN whole THEN size ELSE 0 END) OVER (PARTITION BY primary_stratum), 0) AS free, sum(CASE WHEN whole THEN 0 ELSE size END) OVER (PARTITION BY primary_stratum) AS total FROM ("
-    f"SELECT *, target < 0 OR size <= 20 OR cell LIKE '%|census' AS whole FROM (SELECT cell, primary_stratum, count(*) AS size, {_T} AS target FROM ed GROUP BY 1, 2))))))"
-)
 ENR = f"SELECT {KEY}, d.cell, quota / size AS pi FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {HASH.format(20260824)}, {KEY}) AS turn FROM ed) d JOIN eq q ON q.cell = d.cell WHERE turn <= quota"
-PARTS = {"pd": PREV_D, "pq": q_hamilton("pd", 600, 20), "ps": PREV, "ed": ENR_D, "eq": ENR_Q, "es": ENR}
+
+
+def q_enriched(targets, census):
+    goal = "CASE primary_stratum " + " ".join(f"WHEN '{k}' THEN {-1 if v is None else v}" for k, v in targets.items()) + " END"
+    return (
+        "SELECT cell, size, CASE WHEN whole THEN size ELSE seats + (turn <= least(free, total) - given AND rem >= 0)::INT END AS quota FROM (SELECT *, sum(seats) OVER (PARTITION BY primary_stratum) AS given, row_number() OVER (PARTITION BY primary_stratum ORDER BY rem DESC, cell) AS turn FROM ("
+        "SELECT *, CASE WHEN NOT whole AND seats < size THEN (size * free) % greatest(total, 1) ELSE -1 END AS rem FROM (SELECT *, CASE WHEN whole THEN 0 WHEN total <= free THEN size ELSE (size * free) // greatest(total, 1) END AS seats FROM ("
+        "SELECT *, greatest(target - sum(CASE WHEN whole THEN size ELSE 0 END) OVER (PARTITION BY primary_stratum), 0) AS free, sum(CASE WHEN whole THEN 0 ELSE size END) OVER (PARTITION BY primary_stratum) AS total FROM ("
+        f"SELECT *, target < 0 OR size <= {census} OR cell LIKE '%|census' AS whole FROM (SELECT cell, primary_stratum, count(*) AS size, {goal} AS target FROM ed GROUP BY 1, 2))))))"
+    )
+
+
+def parts(n, least, targets, census):
+    return {"pd": PREV_D, "pq": q_hamilton("pd", n, least), "ps": PREV, "ed": ENR_D, "eq": q_enriched(targets, census), "es": ENR}
+
+
+C = Settings()
+PARTS = parts(C.prevalence_n, C.prevalence_min, C.targets, C.census)
+FEW = parts(600, 20, SMALL, 20)
 
 
 def prevalence(spark, sf, f=None):
-    return S.prevalence_sample(flags(spark, sf) if f is None else f, PAIR, 600, 20)
+    return S.prevalence_sample(flags(spark, sf) if f is None else f, PAIR)
 
 
 def enriched(spark, sf, f=None):
-    return S.enriched_sample(flags(spark, sf) if f is None else f, PAIR, SMALL, 20)
+    return S.enriched_sample(flags(spark, sf) if f is None else f, PAIR)
 
 
 @query(w("SELECT cell, size, quota FROM q", "requests", q=q_hamilton("(SELECT agent AS cell FROM requests)", 700, 3)))
@@ -65,6 +76,17 @@ def enriched_sample(spark, sf):
     return enriched(spark, sf).select(*PAIR, "cell", "pi")
 
 
+@query(wf(f"SELECT {KEY}, cell, pi FROM ps", **FEW))
+def prevalence_few(spark, sf):
+    """A smaller sample, of which small tables are not the whole."""
+    return S.prevalence_sample(flags(spark, sf), PAIR, 600, 20).select(*PAIR, "cell", "pi")
+
+
+@query(wf(f"SELECT {KEY}, cell, pi FROM es", **FEW))
+def enriched_few(spark, sf):
+    return S.enriched_sample(flags(spark, sf), PAIR, SMALL, 20).select(*PAIR, "cell", "pi")
+
+
 @query(wf("SELECT cell, count(*) AS n, any_value(pi) AS pi, round(sum(1 / pi), 6) AS weight FROM es GROUP BY 1", **PARTS))
 def sample_audit(spark, sf):
     return S.sample_audit(enriched(spark, sf))
@@ -146,9 +168,22 @@ def cap_per_repo(spark, sf):
     return S.cap_per_group(B.labeled(spark, sf).select(*PAIR, "conflict"), "repo", "conflict", 4, PAIR)
 
 
-@query(w("SELECT repo, pr_a, pr_b, CAST(len(files_a) AS INT) AS n_files_a, CAST(len(files_b) AS INT) AS n_files_b, array_to_string(files_a[1:3], chr(10)) AS files_a_text, array_to_string(files_b[1:3], chr(10)) AS files_b_text, array_to_string(list_sort(list_intersect(files_a, files_b))[1:3], chr(10)) AS files_shared FROM labeled", "labeled"))
+def q_inputs(cap):
+    return w(f"SELECT repo, pr_a, pr_b, CAST(len(files_a) AS INT) AS n_files_a, CAST(len(files_b) AS INT) AS n_files_b, array_to_string(files_a[1:{cap}], chr(10)) AS files_a_text, array_to_string(files_b[1:{cap}], chr(10)) AS files_b_text, array_to_string(list_sort(list_intersect(files_a, files_b))[1:{cap}], chr(10)) AS files_shared FROM labeled", "labeled")
+
+
+INPUTS = ("n_files_a", "n_files_b", "files_a_text", "files_b_text", "files_shared")
+
+
+@query(q_inputs(C.file_cap))
 def judge_inputs(spark, sf):
-    return S.judge_inputs(B.labeled(spark, sf), cap=3).select(*PAIR, "n_files_a", "n_files_b", "files_a_text", "files_b_text", "files_shared")
+    return S.judge_inputs(B.labeled(spark, sf)).select(*PAIR, *INPUTS)
+
+
+@query(q_inputs(3))
+def judge_inputs_cut(spark, sf):
+    """With so low a cap on file lists that it cuts some."""
+    return S.judge_inputs(B.labeled(spark, sf), cap=3).select(*PAIR, *INPUTS)
 
 
 @query(wf("SELECT 'pi_out_of_range' AS \"check\", count(*) FILTER (pi IS NULL OR pi <= 0 OR pi > 1) AS n FROM es UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM es GROUP BY repo, pr_a, pr_b HAVING count(*) > 1)", **PARTS))
