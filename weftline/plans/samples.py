@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.config import Settings
-from weftline.operators import audit
+from weftline.functions import text as X
+from weftline.functions.paths import repo_of_url
+from weftline.operators import audit, pools
 from weftline.operators import sampling as S
 from weftline.plans import binding as B
 from weftline.plans.binding import with_parts as w
 from weftline.plans.joins import PAIR
 from weftline.plans.pools import flags, wf
 from weftline.plans.registry import query
+from weftline.sources.layout import render_item
 from weftline.sources.scratch import settle
+from weftline.sources.tables import lookup
 
 SMALL = {"revert": None, "dup": 60, "fix_in_flight": 80, "bm_shared": 40, "overlap_other": 80, "near_miss": 200, "control": 200}
 KEY = "repo, pr_a, pr_b"
@@ -203,3 +207,44 @@ def split_leakage(spark, sf):
     j = d.join(s, "repo")
     prs = j.where("test").select("repo", F.col("pr_a").alias("pr")).intersect(j.where("not test").select("repo", F.col("pr_b").alias("pr")))
     return repos.agg(F.count("*").alias("n_shared_repos")).crossJoin(F.broadcast(prs.agg(F.count("*").alias("n_shared_prs"))))  # one row each
+
+
+_SIDE = "'--- PR {s} ---' || chr(10) || 'TITLE: ' || coalesce(title_{s}, '') || chr(10) || 'DESCRIPTION: ' || substr(coalesce({s}.body, ''), 1, 1200) || chr(10) || 'CHANGED FILES (' || len(files_{s}) || '):' || chr(10) || array_to_string(files_{s}[1:80], chr(10)) || chr(10)"
+_BOTH = "CASE WHEN len(list_intersect(files_a, files_b)) = 0 THEN '(none)' ELSE array_to_string(list_sort(list_intersect(files_a, files_b))[1:80], chr(10)) END"
+
+
+@query(w(f"SELECT repo, pr_a, pr_b, sha256('Rate the pair.' || chr(10) || 'REPOSITORY: ' || repo || chr(10) || chr(10) || {_SIDE.format(s='a')} || chr(10) || {_SIDE.format(s='b')} || chr(10) || 'FILES CHANGED BY BOTH:' || chr(10) || {_BOTH} || chr(10)) AS prompt_sha256 FROM titled LEFT JOIN bodies a ON a.pr = pr_a LEFT JOIN bodies b ON b.pr = pr_b", "titled", "bodies"))
+def judge_prompts(spark, sf):
+    """Digest of each pair's whole prompt."""
+    d = S.judge_inputs(B.with_bodies(spark, sf, B.titled(spark, sf)))
+    d = d.withColumns({f"files_{s}": F.col(f"files_{s}_text") for s in "ab"})
+    return d.select(*PAIR, F.sha2(render_item("Rate the pair."), 256).alias("prompt_sha256"))
+
+
+@query(w("SELECT repo, count(*) AS pending FROM pairs WHERE pr_b % 3 <> 0 GROUP BY 1 ORDER BY pending DESC, repo LIMIT 20", "pairs"))
+def pending_repos(spark, sf):
+    """The repositories with the most pairs that are not done yet (a third of the pairs is)."""
+    d = B.pairs(spark, sf)
+    return pools.pending_repos(d, d.where("pr_b % 3 = 0"), PAIR, 20)
+
+
+@query("SELECT c_custkey AS repo, CASE WHEN c_custkey % 4 <> 0 THEN 'known/r' || c_custkey WHEN c_custkey % 8 = 0 THEN 'own' || c_nationkey || '/r' || c_custkey END AS full_name FROM customer")
+def repo_from_url(spark, sf):
+    """The repository's name by its id, or else from its URL; null if neither has it."""
+    c = B.read(spark, sf, "customer").select(F.col("c_custkey").alias("repo"), "c_nationkey")
+    known = c.where("repo % 4 <> 0").select("repo", F.concat(F.lit("known/r"), F.col("repo").cast("string")).alias("full_name"))
+    url = F.when(F.col("repo") % 8 == 0, F.concat(F.lit("https://host/repos/own"), F.col("c_nationkey").cast("string"), F.lit("/r"), F.col("repo").cast("string"), F.lit("/pulls/7"))).otherwise("https://host/none")
+    return c.join(known, "repo", "left").select("repo", F.coalesce("full_name", repo_of_url(url)).alias("full_name"))
+
+
+@query("SELECT o_orderkey AS pr, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS opened, string_split(o_orderpriority, '-') AS parts, '{\"pr\":' || o_orderkey || ',\"agent\":\"' || o_orderpriority || '\"}' AS entry FROM orders")
+def value_helpers(spark, sf):
+    """Times from text (a fifth of it unreadable), lists from text, and JSON objects."""
+    o = B.read(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), F.col("o_orderpriority").alias("agent"), F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise("not yet").alias("t"))
+    return o.select("pr", X.utc(F.col("t")).cast("timestamp_ntz").alias("opened"), X.listed(F.col("agent"), "-").alias("parts"), X.json_object("pr", "agent").alias("entry"))
+
+
+@query("SELECT n_nationkey, n_name, place::INT AS place FROM nation JOIN (VALUES (7, 0), (3, 1), (19, 3)) AS k(n, place) ON n = n_nationkey")
+def keyed_lookup(spark, sf):
+    """Rows of listed keys, with their place in the list; one of the keys is in no row."""
+    return lookup(B.read(spark, sf, "nation").select("n_nationkey", "n_name"), [(7,), (3,), (99,), (19,)], ["n_nationkey"])
