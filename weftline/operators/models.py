@@ -26,18 +26,31 @@ def logit(features: list[str], w: np.ndarray) -> Column:
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, l2: float = 1e-4, iterations: int = 200, tol: float = 1e-8) -> np.ndarray:
-    """Bias and weights; each step is one aggregation of gradient and Hessian, solved on the driver ((k + 1)^2 sums)."""
+    """Bias and weights; rows with a null take no part.
+
+    Each step is one pass: every task adds up its gradient and Hessian by matrix products over Arrow batches, and their (k + 1)(k + 2)
+    sums go to the driver, which solves for the step.
+    """
+    import pyarrow as pa
+
     k = len(features) + 1
-    x = [F.lit(1.0), *map(F.col, features)]
+    rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)), F.col(label).cast("double").alias("y")).dropna()
     w = np.zeros(k)
     for _ in range(iterations):
-        p = sigmoid(logit(features, w))
-        d = df.select(*features, F.col(label).cast("double").alias("_y"), p.alias("_p"))
-        h = F.col("_p") * (1 - F.col("_p")) + 1e-9
-        r = d.agg(*(F.sum(x[i] * (F.col("_p") - F.col("_y"))).alias(f"g{i}") for i in range(k)), *(F.sum(x[i] * x[j] * h).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        g = np.array([r[f"g{i}"] or 0.0 for i in range(k)]) + l2 * np.append(0, w[1:])
-        hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + l2 * np.diag([0.0] + [1.0] * (k - 1)) + 1e-12 * np.eye(k)
-        step = np.linalg.solve(hess, g)
+
+        def run(batches, w=w):
+            total = np.zeros(k + k * k)
+            for b in batches:
+                x = np.column_stack([np.ones(b.num_rows), *(b.column(f"x{i}").to_numpy() for i in range(k - 1))])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+                total[:k] += x.T @ (p - b.column("y").to_numpy())
+                total[k:] += ((x * (p * (1 - p) + 1e-9)[:, None]).T @ x).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+        sums = {r["at"]: r["v"] for r in rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}
+        total = np.array([sums.get(i, 0.0) for i in range(k + k * k)])
+        ridge = l2 * np.array([0.0, *[1.0] * (k - 1)])
+        step = np.linalg.solve(total[k:].reshape(k, k) + np.diag(ridge + 1e-12), total[:k] + ridge * w)
         w = w - step
         if np.abs(step).max() < tol:
             break
