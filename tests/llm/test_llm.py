@@ -733,6 +733,35 @@ def test_vectors_of_every_length_are_searched(spark):
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_large_leaves_are_split_again(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    middles = rng.normal(size=(60, 8)) * 6
+    rows = [(i, [float(z) for z in middles[0 if i % 3 == 0 else i % 60] + rng.normal(size=8)]) for i in range(6000)] + [(9000 + i, [float(i + 1), 1.0, -2.0]) for i in range(400)]
+    v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    every, counts = ann.distinct(v, 6).checkpoint(), {8: 6000, 3: 400}
+    x = {8: ann.unit(np.array([r for _, r in rows[:6000]])), 3: ann.unit(np.array([r for _, r in rows[6000:]]))}
+    forest = ann.Forest({d: ann.Tree(x[d][:200]) for d in (3, 8)})
+    before = {d: np.bincount(t.leaf_of(x[d])).max() for d, t in forest.trees.items()}
+    ann.refine(forest, every, counts, sample=2000, thin=1)
+    for d, t in forest.trees.items():
+        size = np.bincount(t.leaf_of(x[d]), minlength=len(t.children))
+        assert size.max() < before[d] / 3 and not any(n and t.children[i] for i, n in enumerate(size))
+        assert sorted(k for kids in t.children for k in kids) == list(range(1, len(t.children))) and len(t.centres) == len(t.children)
+        assert sorted(t.in_order()) == sorted(t.visits(x[d][:1], t.leaves)[0]) and len(t.visits(x[d][:70], 3)) == min(70, len(x[d]))
+    assert forest.first == {3: 0, 8: len(forest.trees[3].children)}
+    nodes = sum(len(t.children) for t in forest.trees.values())
+    small = ann.Forest({d: ann.Tree(x[d][:200]) for d in (3, 8)})
+    fitted = sum(len(t.children) for t in small.trees.values())
+    ann.refine(small, every, counts, thin=1, numbers=400)
+    assert fitted <= sum(len(t.children) for t in small.trees.values()) <= fitted + 400 / 3 < nodes
+    got = defaultdict(list)
+    for r in ann.search(v, v.where("vec_id % 50 = 0"), sample=200, calibrate=200, target=1.0, thin=1, chunk=256).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((round(-r.score, 12), r.vec_id))
+    want = slow_nearest(rows)
+    assert set(got) == set(want)
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_shares_take_the_rare_whole():
     assert ann.shares({8: 1000, 3: 10, 5: 400}, 500) == {3: 10, 8: 245, 5: 245}
     assert ann.shares({8: 7}, 500) == {8: 7} and ann.shares({1: 5, 2: 5, 3: 5}, 2) == {1: 1, 2: 1, 3: 1}

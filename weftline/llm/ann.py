@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample of unit vectors (`sample`); every vector is then put into the leaf it descends
-to.  A query opens nodes in the order of a priority queue by cosine to their centres; the leaves it meets first
+The tree is fitted on a bounded sample of unit vectors (`sample`).  So that leaves do not grow with the table, each is split again
+where it lies, by a subtree fitted on a larger sample (1 in THIN rows, up to `numbers` numbers in all centres), one task a leaf; every
+vector is then put into the leaf it descends to.  A query opens nodes in the order of a priority queue by cosine to their centres; the leaves it meets first
 are its bins.  How many bins to visit is calibrated: for some vectors, drawn apart from the sample, the exact neighbours among all
 vectors are found in blocks, and visits are widened until the asked share of them lies in visited bins.
 
@@ -19,7 +20,10 @@ smaller id.  Fewer candidates than k: all found.  An empty table gives an empty
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from weftline.llm.shared import small_batches, table
 
 K, SAMPLE, BRANCH, LEAF, TARGET, CALIBRATE, CHUNK = 5, 20_000, 8, 50, 0.97, 200, 4096
+THIN, NUMBERS, ROWS = 8, 1 << 23, 8  # a subtree has no more nodes than a node for ROWS rows of its sample
 _SPAN = 1 << 40
 FOUND = "query_id long, vec_id long, score double"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -87,14 +92,15 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Tree:
     """Centres of all nodes; children of inner nodes; a node without children is a leaf."""
 
-    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 7):
+    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 7, nodes: int | None = None):
+        """nodes: no more than so many, the largest split first."""
         rng = np.random.Generator(np.random.PCG64(seed))
         self.centres, self.children = [x.mean(axis=0) if len(x) else np.zeros(x.shape[1])], [[]]
-        todo = [(0, x)]
-        while todo:
-            node, rows = todo.pop()
+        todo = [(-len(x), 0, x)]
+        while todo and (nodes is None or len(self.centres) + branch <= nodes):
+            _, node, rows = heapq.heappop(todo)
             if len(rows) <= leaf:
-                continue
+                break
             label = self._split(rows, branch, rng)
             groups = [rows[label == g] for g in np.unique(label)]
             if len(groups) < 2:
@@ -103,10 +109,21 @@ class Tree:
                 self.children[node].append(len(self.centres))
                 self.centres.append(g.mean(axis=0))
                 self.children.append([])
-                todo.append((len(self.centres) - 1, g))
+                heapq.heappush(todo, (-len(g), len(self.centres) - 1, g))
         c = np.stack(self.centres)
         self.centres = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
+    def graft(self, subtrees: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Put a subtree at each of some leaves: centres and parents of its nodes, but for the root (0), which is the leaf."""
+        centres = [self.centres]
+        for leaf, (c, parent) in sorted(subtrees.items()):
+            base = len(self.children) - 1
+            self.children += [[] for _ in c]
+            for i, p in enumerate(parent.tolist()):
+                self.children[base + p if p else leaf].append(base + 1 + i)
+            centres.append(c)
+        self.centres = np.concatenate(centres)
+
     @staticmethod
     def _split(rows: np.ndarray, k: int, rng, steps: int = 8) -> np.ndarray:
         c = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)]
@@ -118,30 +135,34 @@ class Tree:
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
-        todo = [0]
+        todo = [(0, np.arange(len(x)))] if len(x) else []
         while todo:
-            node = todo.pop()
+            node, here = todo.pop()
             if kids := self.children[node]:
-                here = np.flatnonzero(at == node)
-                if len(here):
-                    at[here] = np.array(kids)[(x[here] @ self.centres[kids].T).argmax(axis=1)]
-                    todo += kids
+                label = (x[here] @ self.centres[kids].T).argmax(axis=1)
+                at[here] = np.array(kids)[label]
+                todo += [(kids[g], here[label == g]) for g in np.unique(label)]
         return at
 
-    def visits(self, x: np.ndarray, limit: int) -> list[list[int]]:
-        """The first `limit` leaves that each row opens, best bin first."""
-        near, out = x @ self.centres.T, []
-        for row in near:
-            queue, leaves = [(-1.0, 0)], []
-            while queue and len(leaves) < limit:
+    def opened(self, x: np.ndarray, block: int = 64) -> Iterator[Iterator[int]]:
+        """For each row the leaves that it opens, best bin first."""
+
+        def walk(row: np.ndarray) -> Iterator[int]:
+            queue = [(-1.0, 0)]
+            while queue:
                 node = heapq.heappop(queue)[1]
                 if kids := self.children[node]:
                     for k in kids:
                         heapq.heappush(queue, (-row[k], k))
                 else:
-                    leaves.append(node)
-            out.append(leaves)
-        return out
+                    yield node
+
+        for at in range(0, len(x), block):
+            yield from map(walk, x[at : at + block] @ self.centres.T)
+
+    def visits(self, x: np.ndarray, limit: int) -> list[list[int]]:
+        """The first `limit` leaves that each row opens."""
+        return [list(islice(leaves, limit)) for leaves in self.opened(x)]
 
     def in_order(self) -> list[int]:
         """Leaves, depth first."""
@@ -162,8 +183,12 @@ class Forest:
     """A tree for each length of vectors; `first` is what a tree's nodes are numbered from."""
 
     def __init__(self, trees: dict[int, Tree]):
-        self.trees, self.first, at = trees, {}, 0
-        for d, t in trees.items():
+        self.trees = trees
+        self.number()
+
+    def number(self) -> None:
+        self.first, at = {}, 0
+        for d, t in self.trees.items():
             self.first[d] = at
             at += len(t.children)
 
@@ -231,7 +256,59 @@ def brute_force(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int = K)
     return ranked(vectors.mapInArrow(run, FOUND), k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, target: float = TARGET, calibrate: int = CALIBRATE, chunk: int = CHUNK) -> DataFrame:
+def placed_by(every: DataFrame, told) -> DataFrame:
+    """leaf, ids, embedding; told: a broadcast Forest."""
+
+    def place(batches):
+        for b in batches:
+            leaf = np.zeros(b.num_rows, np.int64)
+            for d, at, x in by_length(b.column("embedding")):
+                leaf[at] = told.value.first[d] + told.value.trees[d].leaf_of(unit(x))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("ids"), b.column("embedding")], names=["leaf", "ids", "embedding"])
+
+    return every.mapInArrow(place, f"leaf long, ids array<long>, embedding {dict(every.dtypes)['embedding']}")
+
+
+def refine(forest: Forest, every: DataFrame, counts: dict[int, int], sample: int = SAMPLE, thin: int = THIN, numbers: int = NUMBERS) -> None:
+    """Split again the leaves that hold many vectors, each by a tree of its own.
+
+    Of every `thin` vectors one is drawn, fewer where all centres together would hold more than `numbers` numbers, and
+    no more than `sample` a leaf; a leaf is split if more than LEAF of its vectors are drawn.
+    """
+    spark = every.sparkSession
+    rate = min(1 / thin, ROWS * numbers / sum(d * n for d, n in counts.items()))
+    here = lambda mark, share: F.pmod(F.xxhash64(F.lit(mark), "embedding"), F.lit(_SPAN)) < F.floor(F.lit(float(_SPAN)) * share)
+    few = table(placed_by(every.where(here(2, F.lit(rate))), spark.sparkContext.broadcast(forest)), "drawn")
+    big = [(r["leaf"], min(1.0, sample / r["n"])) for r in few.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).collect()]  # no more than leaves
+    if not big:
+        return
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(np.array([i[0] for i in t.column("ids").to_pylist()], np.int64), kind="stable")))
+        x = unit(matrix(t.column("embedding")))
+        tree = Tree(x, nodes=max(1, len(x) // ROWS))
+        parent = np.zeros(len(tree.children), np.int64)
+        for node, kids in enumerate(tree.children):
+            parent[kids] = node
+        leaf = np.full(len(parent), t.column("leaf")[0].as_py(), np.int64)
+        return pa.table({"leaf": leaf, "node": np.arange(len(parent)), "parent": parent, "centre": pa.array(list(tree.centres), pa.list_(pa.float64()))}).slice(1)
+
+    large = spark.createDataFrame(big, "leaf long, share double")
+    drawn = few.join(F.broadcast(large), "leaf").where(here(3, F.col("share"))).select("leaf", "ids", "embedding")
+    got = drawn.groupBy("leaf").applyInArrow(fit, "leaf long, node long, parent long, centre array<double>").toArrow().sort_by([("leaf", "ascending"), ("node", "ascending")])
+    leaf, parent = got.column("leaf").to_numpy(), got.column("parent").to_numpy()
+    for d, first in forest.first.items():
+        subtrees = {}
+        lo, hi = np.searchsorted(leaf, [first, first + len(forest.trees[d].children)])
+        for one in np.unique(leaf[lo:hi]):
+            a, b = np.searchsorted(leaf, [one, one + 1])
+            subtrees[int(one - first)] = (matrix(got.column("centre").slice(a, b - a)), parent[a:b])
+        if subtrees:
+            forest.trees[d].graft(subtrees)
+    forest.number()
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, target: float = TARGET, calibrate: int = CALIBRATE, chunk: int = CHUNK, thin: int = THIN) -> DataFrame:
     """query_id, rank, vec_id, score; both tables have vec_id and embedding and come from valid()."""
     spark = vectors.sparkSession
     small_batches(spark, 2000)
@@ -250,17 +327,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
 
     fitted = drawn(sample, 0)
     forest = Forest({d: Tree(unit(fitted[d][1]) if d in fitted else np.zeros((0, d))) for d in sorted(counts)})
-    told = spark.sparkContext.broadcast(forest)  # no more nodes than the sample has vectors, and one a length
-
-    def place(batches):
-        for b in batches:
-            leaf = np.zeros(b.num_rows, np.int64)
-            for d, at, x in by_length(b.column("embedding")):
-                leaf[at] = told.value.first[d] + told.value.trees[d].leaf_of(unit(x))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("ids"), b.column("embedding")], names=["leaf", "ids", "embedding"])
-
+    refine(forest, every, counts, sample, thin)
+    told = spark.sparkContext.broadcast(forest)  # no more nodes than the sample has vectors, one a length, and NUMBERS numbers
     element = dict(every.dtypes)["embedding"]
-    placed = table(every.mapInArrow(place, f"leaf long, ids array<long>, embedding {element}"), "placed")
+    placed = table(placed_by(every, told), "placed")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as leaves
     # Drawn apart from the sample: the tree fits its own vectors better than others.
     tried = {d: x for d, x in drawn(calibrate, 1).items() if forest.trees[d].leaves > 1}
@@ -274,9 +344,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     for d, (mine, x) in tried.items():
         tree = forest.trees[d]
         need = []
-        for i, leaves in zip(mine, tree.visits(unit(x), tree.leaves), strict=True):
-            place_of = {forest.first[d] + leaf: r for r, leaf in enumerate(leaves)}
-            need += [place_of[leaf] + 1 for leaf in met[d][int(i)]]
+        for i, leaves in zip(mine, tree.opened(unit(x)), strict=True):
+            wanted = Counter(met[d][int(i)])
+            for r, leaf in enumerate(leaves):
+                need += [r + 1] * wanted.pop(forest.first[d] + leaf, 0)
+                if not wanted:
+                    break
         if need:
             visits[d] = sorted(need)[min(len(need) - 1, int(np.ceil(target * len(need))))]
 
