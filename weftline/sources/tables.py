@@ -57,13 +57,7 @@ def append_log(df: DataFrame, path: str, key: list[str], schema: str) -> DataFra
     """Append the rows whose key the JSON-lines log lacks; gives the log, first entry per key."""
     spark = df.sparkSession
     log = lambda: spark.read.schema(schema).json(path)
-    try:
-        done = log().cache()
-        done.count()
-    except Exception as e:  # noqa: BLE001 - no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = None
+    done = log() if exists(spark, path) else None  # its files are those of now, whatever is appended
     pending(df, done, key).write.mode("append").json(path)
     return log().dropDuplicates(key)
 
