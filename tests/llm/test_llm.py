@@ -762,6 +762,18 @@ def test_large_leaves_are_split_again(spark):
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_trees_do_not_depend_on_how_rows_arrive(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(i % 9, 2) for _ in range(6)]) for i in range(2500)]
+    found = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts))
+        got = ann.search(v, v.where("vec_id % 50 = 0"), sample=300, calibrate=50, target=0.6, thin=2, chunk=256)
+        found.append(sorted(tuple(r) for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
 def test_shares_take_the_rare_whole():
     assert ann.shares({8: 1000, 3: 10, 5: 400}, 500) == {3: 10, 8: 245, 5: 245}
     assert ann.shares({8: 7}, 500) == {8: 7} and ann.shares({1: 5, 2: 5, 3: 5}, 2) == {1: 1, 2: 1, 3: 1}

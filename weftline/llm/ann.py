@@ -256,6 +256,11 @@ def brute_force(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int = K)
     return ranked(vectors.mapInArrow(run, FOUND), k)
 
 
+def in_order(t: pa.Table) -> pa.Table:
+    """By smallest id, so that a tree does not depend on how rows arrive."""
+    return t.take(pa.array(np.argsort(np.array([i[0] for i in t.column("ids").to_pylist()], np.int64), kind="stable")))
+
+
 def placed_by(every: DataFrame, told) -> DataFrame:
     """leaf, ids, embedding; told: a broadcast Forest."""
 
@@ -284,7 +289,7 @@ def refine(forest: Forest, every: DataFrame, counts: dict[int, int], sample: int
         return
 
     def fit(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(np.array([i[0] for i in t.column("ids").to_pylist()], np.int64), kind="stable")))
+        t = in_order(t)
         x = unit(matrix(t.column("embedding")))
         tree = Tree(x, nodes=max(1, len(x) // ROWS))
         parent = np.zeros(len(tree.children), np.int64)
@@ -321,7 +326,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     def drawn(total: int, mark: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """(smallest ids, vectors) by length: about `total` vectors, by hash."""
         rate = F.create_map(*(F.lit(x) for d, t in shares(counts, total).items() for x in (d, t * (_SPAN - 1) // counts[d])))
-        few = every.where(F.pmod(F.xxhash64(F.lit(mark), "embedding"), F.lit(_SPAN)) <= F.element_at(rate, length)).toArrow()
+        few = in_order(every.where(F.pmod(F.xxhash64(F.lit(mark), "embedding"), F.lit(_SPAN)) <= F.element_at(rate, length)).toArrow())
         first = np.array([i[0] for i in few.column("ids").to_pylist()], np.int64)
         return {d: (first[at], x) for d, at, x in by_length(few.column("embedding"))}
 
