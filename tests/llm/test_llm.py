@@ -117,6 +117,24 @@ def test_links_of_dense_groups(spark, limit, batch):
     assert parts(roots) == parts(slow_components({x: x for x in fps}))
 
 
+def test_links_where_execution_adapts(spark):
+    """Rows of a key meet although the join before is broadcast at run time, when its shuffle could be read by mapper."""
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(300)} | {base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(200)}
+    fps |= {x ^ 1 << rng.randrange(20) ^ 1 << rng.randrange(20, 40) ^ 1 << rng.randrange(40, 64) for x in list(fps)}
+    rows = [(x - (1 << 64) if x >> 63 else x,) for x in sorted(fps)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(simhash.links(spark.createDataFrame(rows, "fp long"), limit=50)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    roots = {x: x for x in fps} | {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in got}
+    parts = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+    assert parts(roots) == parts(slow_components({x: x for x in fps}))
+
+
 def test_thresholds_by_dynamic_programming():
     flat, hot = np.full(256, 10), np.zeros(256, np.int64)
     hot[3] = 2560

@@ -188,7 +188,11 @@ def _star(keys: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
 
 
 def _compare(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """Edges among rows that share the keys; a key has a bounded number of rows."""
+    """Edges among rows that share the keys; a key has a bounded number of rows.
+
+    Rows are dealt by a hash of the keys.  Dealt by the keys themselves after a join on them, Spark drops the exchange for the join's
+    own, which adaptive execution may then split or read by mapper, as mapInArrow asks for no distribution; rows of a key would not all meet.
+    """
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -222,7 +226,7 @@ def _compare(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, limit: int = LIMIT) -> DataFrame:
